@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimi.llm import bpe, frequency, packing, skeleton
+from garimi.llm import bpe, frequency, mojibake, packing, skeleton
 from garimi.llm.seen import SeenBefore
 from garimi.sources.tables import table
 
@@ -61,5 +61,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_assignments(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_seen, p1_error_report, p3_found, p3_counts, p5_found, p5_canonical, p6_ids, p7_assignments, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_seen, p1_error_report, p3_found, p3_counts, p5_found, p5_canonical, p6_ids, p7_assignments, p7_fill, p8_found, p8_restored)}
