@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimi.llm import bpe, frequency, mojibake, packing, skeleton
+from garimi.llm import bpe, frequency, mojibake, packing, pii, skeleton
 from garimi.llm.seen import SeenBefore
 from garimi.sources.tables import table
 
@@ -31,6 +31,21 @@ def p1_error_report(spark: SparkSession, d: str) -> DataFrame:
     return _seen(spark, d).error_report()
 
 
+def _pii(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    findings = table(spark, d, "findings")
+    texts = pii.free_texts(table(spark, d, "gold_cases"), findings)
+    return texts, pii.Detector(texts, pii.gazetteer(findings)).found()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pii(spark, d)[1].select("tbl", "row_id", "pii_type", "start_pos")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts, found = _pii(spark, d)
+    return pii.redact(found, texts)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.marked_counts(table(spark, d, "candidate_events")).filter("mark is not null").select("word", "direction", "mark")
 
@@ -70,4 +85,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_seen, p1_error_report, p3_found, p3_counts, p5_found, p5_canonical, p6_ids, p7_assignments, p7_fill, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_seen, p1_error_report, p2_found, p2_redacted, p3_found, p3_counts, p5_found, p5_canonical, p6_ids, p7_assignments, p7_fill, p8_found, p8_restored)}
