@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,33 +13,16 @@ from pyspark.sql import types as T
 WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+#: The same characters, as text.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Ranges whose characters are composed already and compose with nothing before them: a string of these
+#: alone is in NFC. Few ranges, the common ones first, keep the test cheap.
+SURE = r"\x{00}-\x{2FF}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A0}-\x{30FF}\x{3200}-\x{33FF}\x{2010}-\x{205E}\x{2460}-\x{25FF}\x{FF01}-\x{FFEF}"
+
+
 def strip_ws(c: Column) -> Column:
     """Without outer white space, of any kind."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
-
-
-@lru_cache(1)
-def _unsure_class() -> str:
-    """Regex class of every code point that a string not in NFC must hold at least one of: those that
-    are not normalised themselves and those that a character before may compose with."""
-    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    unsure = set()
-    for cp in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
-        if unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch):
-            unsure.add(cp)
-        parts = unicodedata.decomposition(ch).split()
-        if len(parts) == 2 and parts[0][0] != "<":
-            seconds.add(int(parts[1], 16))
-    points, ranges = sorted(p for p in unsure | seconds if p >= 0x80), []
-    for p in points:
-        if ranges and ranges[-1][1] == p - 1:
-            ranges[-1][1] = p
-        else:
-            ranges.append([p, p])
-    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 @F.pandas_udf(T.StringType())
@@ -51,7 +32,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """Composed form (NFC). Only strings that may not be composed leave the JVM; null stays null."""
-    return F.coalesce(_nfc(F.when(c.rlike(_unsure_class()), c)), c)
+    return F.coalesce(_nfc(F.when(c.rlike(f"[^{SURE}]"), c)), c)
 
 
 def line_start(text: Column, pos: Column) -> Column:
