@@ -15,9 +15,8 @@ WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 
 #: The same characters, as text.
 WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Ranges whose characters are composed already and compose with nothing before them: a string of these
-#: alone is in NFC. Few ranges, the common ones first, keep the test cheap.
-SURE = r"\x{00}-\x{2FF}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A0}-\x{30FF}\x{3200}-\x{33FF}\x{2010}-\x{205E}\x{2460}-\x{25FF}\x{FF01}-\x{FFEF}"
+#: A string of these alone (up to Latin letters, and Hangul syllables) is in NFC. Two ranges keep the test cheap.
+SURE = r"\x{00}-\x{2FF}\x{AC00}-\x{D7A3}"
 
 
 def strip_ws(c: Column) -> Column:
@@ -32,7 +31,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """Composed form (NFC). Only strings that may not be composed leave the JVM; null stays null."""
-    return F.coalesce(_nfc(F.when(c.rlike(f"[^{SURE}]"), c)), c)
+    return F.coalesce(_nfc(F.when((F.octet_length(c) != F.length(c)) & c.rlike(f"[^{SURE}]"), c)), c)
 
 
 def line_start(text: Column, pos: Column) -> Column:
