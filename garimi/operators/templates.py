@@ -100,7 +100,8 @@ def suggestions(matched: DataFrame, items: DataFrame, positions: DataFrame, span
 
 def value_after_label(text: Column, label: Column) -> Column:
     """(value, start_pos) within the span: what follows its label, else the whole span, without outer white space."""
-    mark = F.regexp_extract(text, F.concat(F.lit(r"(?s)^(.*?\Q"), label, F.lit(rf"\E[{WS}]*[:：][{WS}]*)")), 1)
+    pattern = F.concat(F.lit(r"(?s)^(.*?\Q"), label, F.lit(rf"\E[{WS}]*[:：][{WS}]*)"))
+    mark = F.call_function("regexp_extract", text, pattern, F.lit(1))
     rest = F.substring(text, F.length(mark) + 1, F.length(text))
     use = (label != "") & (F.length(mark) > 0) & (F.regexp_replace(rest, f"[{WS}]", "") != "")
     skip = F.when(use, F.length(mark)).otherwise(0)
@@ -112,13 +113,32 @@ def value_after_label(text: Column, label: Column) -> Column:
 TEMPLATE = "template_id long, page_index int, label string, xb int, yb int, kind string, type string, sample_count int"
 
 
+def frequent_templates(a: DataFrame, documents: DataFrame, share: float = 0.2, group: str = "doc_type") -> DataFrame:
+    """(template_id, page_index, label, xb, yb): one template for each group of documents, of the anchors
+    that at least ``share`` of its documents with any anchor have. ``template_id`` is the hash of the group's name."""
+    x = a.join(documents.select("doc_id", group).filter(F.col(group).isNotNull()), "doc_id")
+    n = x.select(group, "doc_id").distinct().groupBy(group).agg(F.count("*").alias("docs"))
+    held = x.groupBy(group, *ANCHOR).agg(F.count("*").alias("n")).join(n, group).filter(F.col("n") >= F.col("docs") * share)
+    return held.select(F.conv(F.substring(F.md5(F.col(group).cast("binary")), 1, 8), 16, 10).cast("long").alias("template_id"), *ANCHOR)
+
+
+def signatures(a: DataFrame, positions: DataFrame, documents: DataFrame, group: str = "doc_type") -> DataFrame:
+    """group, doc_id, anchors, items: what one document teaches. An array holds a document's own labels or findings."""
+    left = a.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(*ANCHOR))).alias("anchors"))
+    right = positions.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("type", "page_index", "xb", "yb", "label"))).alias("items"))
+    return left.join(right, "doc_id").join(documents.select("doc_id", F.coalesce(group, F.lit("")).alias(group)), "doc_id")
+
+
 def fold_templates(signatures: DataFrame, group: str = "doc_type") -> DataFrame:
     """Templates learned from documents in order of doc_id, one after the other, within each group of forms.
 
-    A merge changes what later documents match, so a group is folded in sequence; but what is folded are its
-    *distinct* signatures (a form in a million copies is one row with a count), which repeat strongly.
-    ``signatures``: group, doc_id, anchors and items as arrays of structs. Columns of ``TEMPLATE``."""
-    once = signatures.groupBy(group, "anchors", "items").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    A merge changes what later documents match, so a group's fold is sequential by nature. What is folded
+    are its distinct anchor sets, each with the items of all its documents (united before any row moves to
+    the fold): a form in a million copies is one row with a count. Columns of ``TEMPLATE``."""
+    sets = signatures.groupBy(group, "anchors").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    item = signatures.select(group, "anchors", "doc_id", F.explode("items").alias("i")).groupBy(group, "anchors", "i.type", "i.page_index", "i.xb", "i.yb").agg(F.min_by("i.label", "doc_id").alias("label"))
+    items = item.groupBy(group, "anchors").agg(F.array_sort(F.collect_list(F.struct("type", "page_index", "xb", "yb", "label"))).alias("items"))
+    once = sets.join(items, [group, "anchors"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
