@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCHES = "array<struct<value:string,start_pos:int,end_pos:int>>"
@@ -43,3 +43,10 @@ def literal_occurrences(text: Column, value: Column) -> Column:
     """Every place of a literal string, without overlap; an empty or null string has none."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     return F.when((value != "") & F.contains(text, value), occurrences(text, quoted)).otherwise(F.array().cast(MATCHES))
+
+
+def each(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """A row for each element of ``array``, as ``name``, with the columns ``keep``. The outer form keeps the
+    optimizer from inferring a filter on the array's size, which would compute a costly array twice and,
+    below an exchange, in too few tasks."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

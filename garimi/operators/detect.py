@@ -137,9 +137,13 @@ def repeated_label_names(text: Column, found: Column) -> Column:
     whatever their surname."""
     ends = F.transform(occurrences(text, P.REPEATED_LABEL, D.REPEATED_NAME_LABEL), lambda m: m["end_pos"])
     starts = F.transform(F.filter(found, lambda f: f["type"] == D.NAME), lambda f: f["start_pos"])
-    words = F.filter(after_labels(text, P.REPEATED_LABEL), lambda w: ~F.array_contains(starts, w["start_pos"]))
-    new = _all(words, D.NAME, grp=D.GROUP_CROSS, confidence=0, crossed=True)
-    return F.when(F.arrays_overlap(ends, starts), F.concat(found, new)).otherwise(found)
+
+    def added(s: Column) -> Column:
+        words = F.filter(after_labels(text, P.REPEATED_LABEL), lambda w: ~F.array_contains(s, w["start_pos"]))
+        new = _all(words, D.NAME, grp=D.GROUP_CROSS, confidence=0, crossed=True)
+        return F.when(F.arrays_overlap(ends, s), F.concat(found, new)).otherwise(found)
+
+    return let(starts, added)
 
 
 def cross_validate(text: Column, found: Column) -> Column:
@@ -173,7 +177,7 @@ def hints(text: Column, found: Column) -> Column:
         _all(occurrences(text, P.ACCOUNT, "-"), D.ACCOUNT + "(추정)", **kw),
         _all(occurrences(text, P.CARD), D.CARD + "(추정)", **kw),
     )
-    return F.filter(each, lambda f: ~F.array_contains(spans, F.struct(f["start_pos"], f["end_pos"])))
+    return let(spans, lambda s: F.filter(each, lambda f: ~F.array_contains(s, F.struct(f["start_pos"], f["end_pos"]))))
 
 
 def classify(v: Column) -> Column:
@@ -187,7 +191,7 @@ def classify(v: Column) -> Column:
 
 def exploded(documents: DataFrame, found: Column, *keep: str) -> DataFrame:
     """A row for each finding, with emit_ord, its place in the array."""
-    rows = documents.select("doc_id", *keep, F.posexplode(found).alias("emit_ord", "f"))
+    rows = documents.select("doc_id", *keep, F.posexplode_outer(found).alias("emit_ord", "f")).filter("f is not null")
     return rows.select("doc_id", *keep, "f.*", "emit_ord")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
-from garimi.functions.offsets import occurrences
+from garimi.functions.offsets import each, occurrences
 from garimi.operators import detect
 
 MARK = r"\{\{.*?\}\}|\[\[.*?\]\]"
@@ -26,14 +26,14 @@ def parse_marked(cases: DataFrame) -> DataFrame:
 
 
 def gold_spans(cases: DataFrame) -> DataFrame:
-    return parse_marked(cases).select("case_id", F.explode("gold").alias("g")).select("case_id", "g.*")
+    return each(parse_marked(cases), F.col("gold"), "g", "case_id").select("case_id", "g.*")
 
 
 def predictions(cases: DataFrame) -> DataFrame:
     """Names and addresses that the rules find in the plain texts."""
     p = parse_marked(cases)
-    found = F.explode(F.concat(detect.names(F.col("plain")), detect.addresses(F.col("plain"))))
-    return p.select("case_id", found.alias("f")).select("case_id", "f.type", "f.value", "f.start_pos", "f.end_pos")
+    found = F.concat(detect.names(F.col("plain")), detect.addresses(F.col("plain")))
+    return each(p, found, "f", "case_id").select("case_id", "f.type", "f.value", "f.start_pos", "f.end_pos")
 
 
 def accuracy(cases: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from garimi.functions.offsets import each, occurrences
+
 BLOCK = 512  # characters: positions are joined block by block, so a long document isn't one key
 
 
@@ -80,9 +82,7 @@ def approval_gate(pages: DataFrame, warned: DataFrame, views: DataFrame) -> Data
 def words_of(spans: DataFrame, width=text_width) -> DataFrame:
     """Words of level spans with their boxes and offsets: doc_id, page_index, span_id, word, start_pos, x0, y0, x1, y1."""
     level = spans.filter("dir.dy = 0 and bbox is not null")
-    from garimi.functions.offsets import occurrences
-
-    w = level.select("doc_id", "page_index", "span_id", "text", "fontsize", "origin", "bbox", F.col("start_pos").alias("at"), F.explode(occurrences(F.col("text"), r"[^ \t\n]+")).alias("w"))
+    w = each(level, occurrences(F.col("text"), r"[^ \t\n]+"), "w", "doc_id", "page_index", "span_id", "text", "fontsize", "origin", "bbox", F.col("start_pos").alias("at"))
     before = width(F.substring(F.col("text"), F.lit(1), F.col("w.start_pos")), F.col("fontsize"))
     return w.select(
         "doc_id", "page_index", "span_id", F.col("w.value").alias("word"), (F.col("at") + F.col("w.start_pos")).alias("start_pos"), (F.col("at") + F.col("w.end_pos")).alias("end_pos"),

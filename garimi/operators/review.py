@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
-from garimi.functions.offsets import literal_occurrences
+from garimi.functions.offsets import each, literal_occurrences
 from garimi.operators.detect import classify
 
 SPAN = ["doc_id", "start_pos", "end_pos"]
@@ -28,7 +28,7 @@ def set_all(findings: DataFrame, orders: DataFrame) -> DataFrame:
 def occurrences_of(values: DataFrame, documents: DataFrame) -> DataFrame:
     """Every place of each (doc_id, value) in its document."""
     x = values.select("doc_id", "value").distinct().join(documents.select("doc_id", "text"), "doc_id")
-    x = x.select("doc_id", "value", F.explode(literal_occurrences(F.col("text"), F.col("value"))).alias("m"))
+    x = each(x, literal_occurrences(F.col("text"), F.col("value")), "m", "doc_id", "value")
     return x.select("doc_id", "value", "m.start_pos", "m.end_pos")
 
 

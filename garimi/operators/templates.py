@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
 from garimi import patterns as P
-from garimi.functions.offsets import occurrences
+from garimi.functions.offsets import each, occurrences
 from garimi.functions.text import WS, line_start
 from garimi.operators.layout import spans_covering
 
@@ -43,7 +43,7 @@ def _first_span(points: DataFrame, spans: DataFrame, key: list[str]) -> DataFram
 
 def anchors(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """Distinct (doc_id, page_index, label, xb, yb): the layout signature of each document."""
-    labels = documents.filter("text is not null").select("doc_id", F.explode(occurrences(F.col("text"), P.LAYOUT_LABEL)).alias("m"))
+    labels = each(documents, occurrences(F.col("text"), P.LAYOUT_LABEL), "m", "doc_id")
     labels = labels.select("doc_id", F.regexp_extract("m.value", P.LAYOUT_LABEL, 1).alias("label"), "m.start_pos", "m.end_pos")
     cells = _first_span(labels, spans, ["doc_id", "label", "start_pos"])
     return cells.select("doc_id", *ANCHOR).distinct()

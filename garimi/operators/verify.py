@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimi.functions.masking import mask_text, mask_value
+from garimi.functions.offsets import each
 from garimi.operators import detect
 
 
@@ -28,7 +29,7 @@ def masked(documents: DataFrame, *keep: str) -> DataFrame:
 def leftovers(masked_rows: DataFrame) -> DataFrame:
     """Findings whose value still stands at its span after masking."""
     left = F.filter("found", lambda f: F.substring(F.col("masked"), f["start_pos"] + 1, F.length(f["value"])) == f["value"])
-    rows = masked_rows.select("doc_id", F.explode(left).alias("f"))
+    rows = each(masked_rows, left, "f", "doc_id")
     return rows.select("doc_id", "f.type", "f.value", "f.start_pos")
 
 
@@ -49,7 +50,8 @@ def gate(plan: DataFrame, left: DataFrame, documents: DataFrame) -> DataFrame:
 def byte_residue(masked_rows: DataFrame) -> DataFrame:
     """Original values whose UTF-8 bytes still occur anywhere in the masked text. A value that also stands
     elsewhere, where no detector finds it, shows up here."""
-    rows = masked_rows.select("doc_id", F.encode("masked", "UTF-8").alias("bytes"), F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"))))).alias("f"))
+    kinds = F.array_distinct(F.transform("found", lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"))))
+    rows = each(masked_rows, kinds, "f", "doc_id", F.encode("masked", "UTF-8").alias("bytes"))
     return rows.filter(F.contains("bytes", F.encode("f.value", "UTF-8"))).select("doc_id", "f.type", "f.value")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from garimi import dictionaries as D
 from garimi import patterns as P
 from garimi.functions import masking as M
-from garimi.functions.offsets import occurrences
+from garimi.functions.offsets import each, occurrences
 from garimi.functions.text import line_end, line_start, strip_ws
 from garimi.operators import audit, detect, evaluate, findings as G, layout, learning, replay, review, templates, verify
 from garimi.sources.tables import table
@@ -48,13 +48,13 @@ def _names(f: DataFrame) -> DataFrame:
 def flagship(s, d):
     """Detect, mask and verify every document; findings and leftovers by document type and type."""
     m = verify.masked(_docs(s, d), "doc_type")
-    each = m.select("doc_type", "masked", F.explode("found").alias("f"))
+    rows = each(m, F.col("found"), "f", "doc_type", "masked")
     left = F.substring("masked", F.col("f.start_pos") + 1, F.length("f.value")) == F.col("f.value")
-    return each.groupBy("doc_type", F.col("f.type").alias("type")).agg(F.count("*").alias("n_findings"), F.count_if(left).alias("n_left"))
+    return rows.groupBy("doc_type", F.col("f.type").alias("type")).agg(F.count("*").alias("n_findings"), F.count_if(left).alias("n_left"))
 
 
 def _plain(s, d, array):
-    rows = _docs(s, d).select("doc_id", F.explode(array).alias("f"))
+    rows = each(_docs(s, d), array, "f", "doc_id")
     return rows.select("doc_id", "f.value", "f.start_pos", "f.end_pos")
 
 
@@ -64,13 +64,13 @@ for _name, _detector in (("d1_phone", detect.phones), ("d2_email", detect.emails
 
 @query
 def d4_rrn_checksum(s, d):
-    v = _docs(s, d).select(F.explode(occurrences(F.col("text"), P.RRN, "-")).alias("m")).select("m.value").distinct()
+    v = each(_docs(s, d), occurrences(F.col("text"), P.RRN, "-"), "m").select("m.value").distinct()
     return v.select("value", detect.rrn_valid(F.col("value")).alias("valid"))
 
 
 @query
 def d8_line_span(s, d):
-    rows = _docs(s, d).select("doc_id", "text", F.explode(detect.phones(F.col("text"))).alias("f"))
+    rows = each(_docs(s, d), detect.phones(F.col("text")), "f", "doc_id", "text")
     pos = F.col("f.start_pos")
     return rows.select("doc_id", pos.alias("start_pos"), line_start(F.col("text"), pos).alias("line_start"), line_end(F.col("text"), pos).alias("line_end"))
 
@@ -87,7 +87,7 @@ def d10_occurrences(s, d):
 
 @query
 def n1_after_labels(s, d):
-    rows = _docs(s, d).select("doc_id", F.explode(detect.after_labels(F.col("text"), P.NAME_LABEL)).alias("w"))
+    rows = each(_docs(s, d), detect.after_labels(F.col("text"), P.NAME_LABEL), "w", "doc_id")
     return rows.select("doc_id", "w.value", "w.start_pos")
 
 
@@ -99,20 +99,20 @@ def n2_surname_word(s, d):
 
 @query
 def n6_names(s, d):
-    rows = _docs(s, d).select("doc_id", F.explode(detect.names(F.col("text"))).alias("f"))
+    rows = each(_docs(s, d), detect.names(F.col("text")), "f", "doc_id")
     return rows.select("doc_id", "f.value", "f.start_pos", "f.grp", "f.confidence")
 
 
 @query
 def n8_hints(s, d):
     x = F.col("text")
-    rows = _docs(s, d).select("doc_id", F.explode(detect.hints(x, detect.detect_all(x))).alias("f"))
+    rows = each(_docs(s, d), detect.hints(x, detect.detect_all(x)), "f", "doc_id")
     return rows.select("doc_id", "f.type", "f.value", "f.start_pos", "f.grp")
 
 
 @query
 def g1_union(s, d):
-    rows = _docs(s, d).select(F.explode(detect.raw_findings(F.col("text"))).alias("f"))
+    rows = each(_docs(s, d), detect.raw_findings(F.col("text")), "f")
     return rows.groupBy("f.type").agg(F.count("*").alias("n"))
 
 
