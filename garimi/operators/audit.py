@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
+from garimi.operators.ranking import numbered
 
 FLAG = "⚠ 있음"
+IDS = 100_000  # ids a block spans when names or numbers are given out: at most so many rows a task, ids being unique
 
 
 def format_counts(counts: Column) -> Column:
@@ -28,10 +30,10 @@ def content_hash(text: Column) -> Column:
 
 def output_names(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Name of each result (doc_id, doc_type, day): ``type_day_NNN.pdf``, numbered on from the largest
-    number of the day over all types. Numbers are given per day, in order of doc_id; days are spread over tasks."""
+    number of the day over all types. Numbers are given per day, in order of doc_id, block by block of ids."""
     used = existing.select(F.regexp_extract("output_filename", r"^.+_(\d{8})_(\d{3,})\.pdf$", 1).alias("day"), F.regexp_extract("output_filename", r"^.+_(\d{8})_(\d{3,})\.pdf$", 2).cast("int").alias("n")).filter("day <> ''")
     top = used.groupBy("day").agg(F.max("n").alias("top"))
-    x = batch.join(top, "day", "left").withColumn("serial", (F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("day").orderBy("doc_id"))).cast("int"))
+    x = numbered(batch, ["day"], F.floor(F.col("doc_id") / IDS), ["doc_id"], "n").join(top, "day", "left").withColumn("serial", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("int"))
     # An unknown type is written as the catch-all type; characters that no file name may hold become _.
     kind = F.regexp_replace(F.coalesce("doc_type", F.lit("기타")), r'[\\/:*?"<>|]', "_")
     return x.select("doc_id", "day", "serial", F.format_string("%s_%s_%03d.pdf", kind, "day", "serial").alias("output_filename"))
@@ -40,9 +42,9 @@ def output_names(batch: DataFrame, existing: DataFrame) -> DataFrame:
 def unique_names(files: DataFrame) -> DataFrame:
     """A free name for each file (id, name): the first keeps it, the next ones get ``(1)``, ``(2)``, ... before
     the suffix."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("id")) - 1
+    n = F.col("nth") - 1
     stem, suffix = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
-    return files.select("id", "name", F.when(n == 0, F.col("name")).otherwise(F.concat(stem, F.lit("("), n.cast("string"), F.lit(")"), suffix)).alias("dest"))
+    return numbered(files, ["name"], F.floor(F.col("id") / IDS), ["id"], "nth").select("id", "name", F.when(n == 0, F.col("name")).otherwise(F.concat(stem, F.lit("("), n.cast("string"), F.lit(")"), suffix)).alias("dest"))
 
 
 def already_processed(path: Column, keywords: Column) -> Column:

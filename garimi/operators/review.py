@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
@@ -80,10 +80,10 @@ def undo_redo(actions: DataFrame) -> DataFrame:
     out: doc_id, target, approve. A new action forgets what was undone; undo or redo of nothing does nothing.
     A document's actions are what its reviewers clicked, so one array of them is small."""
     step = F.struct("seq", "kind", "target", "approve")
-    each = actions.groupBy("doc_id").agg(F.array_sort(F.collect_list(step)).alias("a"))
+    by_doc = actions.groupBy("doc_id").agg(F.array_sort(F.collect_list(step)).alias("a"))
     none = F.array().cast("array<struct<seq:int,target:bigint,approve:boolean>>")
     done = F.aggregate("a", F.struct(none.alias("done"), none.alias("undone")), _history, lambda s: s["done"])
-    rows = each.select("doc_id", F.explode(done).alias("d")).select("doc_id", "d.*")
+    rows = by_doc.select("doc_id", F.explode(done).alias("d")).select("doc_id", "d.*")
     return rows.groupBy("doc_id", "target").agg(F.max_by("approve", "seq").alias("approve"))
 
 
@@ -100,9 +100,3 @@ def learning_signals(findings: DataFrame) -> DataFrame:
     names = findings.filter((F.col("type") == D.NAME) & (F.col("value") != "") & (off | add))
     word = F.when(add, F.substring("value", 1, 1)).otherwise(F.col("value"))
     return names.select("doc_id", "finding_id", word.alias("word"), F.when(add, D.NAME_DIRECTION).otherwise(D.EXCLUDE_DIRECTION).alias("direction"))
-
-
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -145,3 +145,15 @@ def test_reports_hold_no_values(spark):
     text = audit.summary(log).first().report
     assert "  - 이름: 2건\n  - 전화번호: 1건" in text and "회전된" in text and "숨겨진" not in text
     assert audit.history(log).first().rotated_text == audit.FLAG
+
+
+def test_numbering_in_blocks_equals_row_number(spark):
+    from pyspark.sql import Window
+
+    from garimi.operators.ranking import numbered
+
+    r = random.Random(9)
+    rows = [("hot" if r.random() < 0.4 else r.choice(["a", "b", None]), i) for i in r.sample(range(5000), 400)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    got = numbered(df, ["k"], F.floor(F.col("id") / 100), ["id"], "n").withColumn("m", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    assert got.count() == 400 and got.filter("n <> m").count() == 0
