@@ -173,13 +173,18 @@ def classify(v: str) -> str:
     )
 
 
-_MASKED = (
-    DETECT
-    + f", mk as (select doc_id, start_pos, emit, type, value, {mask_by_type('type', 'value')} as mask from det), "
-    + "fold as (select doc_id, list({'s': start_pos, 'n': length(value), 'm': mask} order by start_pos desc, emit) as fs from mk group by doc_id), "
-    + "masked as (select d.doc_id, d.text, case when fs is null then d.text else list_reduce(list_prepend(d.text, list_transform(fs, lambda f: lpad(f.s::varchar, 9, '0') || lpad(f.n::varchar, 9, '0') || f.m)), "
-    + "lambda acc, f: substr(acc, 1, substr(f, 1, 9)::int) || substr(f, 19) || substr(acc, substr(f, 1, 9)::int + substr(f, 10, 9)::int + 1)) end as masked from documents d left join fold using (doc_id) where d.text is not null)"
-)
+def masked_ctes(source: str = "documents", text: str = "text", key: str = "doc_id") -> str:
+    """The detection CTEs and ``masked``: each text with its findings masked, last start first."""
+    return (
+        detect_ctes(source, text, key)
+        + f", mk as (select {key}, start_pos, emit, type, value, {mask_by_type('type', 'value')} as mask from det), "
+        + f"fold as (select {key}, list({{'s': start_pos, 'n': length(value), 'm': mask}} order by start_pos desc, emit) as fs from mk group by {key}), "
+        + f"masked as (select d.{key}, d.{text} as text, case when fs is null then d.{text} else list_reduce(list_prepend(d.{text}, list_transform(fs, lambda f: lpad(f.s::varchar, 9, '0') || lpad(f.n::varchar, 9, '0') || f.m)), "
+        + f"lambda acc, f: substr(acc, 1, substr(f, 1, 9)::int) || substr(f, 19) || substr(acc, substr(f, 1, 9)::int + substr(f, 10, 9)::int + 1)) end as masked from {source} d left join fold using ({key}) where d.{text} is not null)"
+    )
+
+
+_MASKED = "with " + masked_ctes()
 
 
 def _places(values: str) -> str:
@@ -308,6 +313,7 @@ ORACLE = {
     "r8_retry": _F + " select finding_id from f where exists (select 1 from f g where g.finding_id % 9 = 0 and g.doc_id = f.doc_id and g.value = f.value)",
     "v1_leftovers": _MASKED + " select d.doc_id, d.type, d.value, d.start_pos from det d join masked m using (doc_id) where substr(m.masked, d.start_pos + 1, length(d.value)) = d.value",
     "v4_byte_residue": _MASKED + " select distinct d.doc_id, d.type, d.value from det d join masked m using (doc_id) where contains(m.masked, d.value)",
+    "v3_hidden": f"with h as (select finding_id as hid, '메모: 연락처 010-9999-8888, ' || coalesce(type, '기타') || ': ' || coalesce(value, '') as content from (select distinct * from findings)), {masked_ctes('h', 'content', 'hid')} select hid as ord, (select count(*) from det d where d.hid = m.hid)::int as n_found, masked, not exists (select 1 from det d where d.hid = m.hid and contains(m.masked, d.value)) as clean from masked m",
     "v3_redetected": _MASKED + ", " + _again("masked", "masked") + " select type, count(*) as n from det_m group by 1",
     "v5_gate": _MASKED + f", f as (select distinct * from findings), x as (select f.*, d.text, {mask_by_type('f.type', 'f.value')} as mask from f left join documents d using (doc_id) where approved), u as (select doc_id, count(*) as unmapped from x where not coalesce(substr(text, start_pos + 1, end_pos - start_pos) = value and length(mask) = length(value), false) group by 1), l as (select d.doc_id, count(*) as left_over from det d join masked m using (doc_id) where substr(m.masked, d.start_pos + 1, length(d.value)) = d.value group by 1) select doc_id, coalesce(unmapped, 0) as unmapped, coalesce(left_over, 0) as left_over, unmapped is null and left_over is null as publish from documents left join u using (doc_id) left join l using (doc_id)",
     "s1_rebuild_text": _F + " select doc_id, page_index, string_agg(text, chr(10) order by span_ord, span_id) || chr(10) as text from s where text <> '' group by all",

@@ -44,8 +44,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHUFFLING = ("Aggregate", "Join", "Window", "Exchange", "Sort", "Repartition")
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` over at least as many partitions as the cluster has cores, for stages of costly Python
-    work on few input files; untouched when the scan already has enough."""
+    """``df`` over at least as many partitions as the cluster has cores, for stages of costly work on few
+    input files. A plain scan that has enough already is left as it is; anything behind a shuffle is
+    repartitioned outright, for asking an adaptive plan for its partitions would run it."""
     least = least or df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(word in plan for word in _SHUFFLING):
+        return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
