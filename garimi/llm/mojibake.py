@@ -27,7 +27,7 @@ from garimi.staging import spread, staged
 #: Fixed encodings: those text is written in, and those it is wrongly read in.
 WRITTEN = ("utf-8", "cp949")
 SINGLE_BYTE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8-r", "iso8859-2", "iso8859-15", "cp1254")
-MULTI_BYTE = ("cp949", "cp932", "gbk", "big5", "euc_jp")
+MULTI_BYTE = ("cp949", "cp932", "shift_jis", "gbk", "big5", "euc_jp")
 TWICE = ("cp1252", "latin-1")
 RUN = r"[^\x00-\x7F]+"
 
@@ -134,6 +134,8 @@ def undo(token: str) -> tuple[str, str] | None:
             word = back(token)
         except (UnicodeError, KeyError):
             continue
+        if regex.fullmatch(r"\p{Han}{1,2}", word):
+            continue  # a few letters and a space may read as an ideograph by chance
         if word != token and not word.isascii() and regex.fullmatch(r"[가-힣\p{Han}\p{Latin}\p{P}\p{S}]+", word) and not regex.search(r"[\x80-\x9f]", word):
             return word, name
     return None
@@ -174,10 +176,10 @@ def matches(documents: DataFrame) -> DataFrame:
     best = staged(best, "garbled-tokens")
     odd = vocab.filter(~F.col("token").rlike(_HANGUL) & (F.length("token") > 1)).select("token")
     rest = spread(odd.join(best.select("token").distinct(), "token", "left_anti")).mapInPandas(_undone, "token string, word string, chain string")
-    t = F.col("token")
+    t = F.regexp_replace("token", r"[\p{Z}\p{Cf}]", "")  # spaces and soft hyphens strew clean text as well
     korean = F.col("word").rlike("[가-힣]")
     strong = (
-        (t.rlike(r"[^\p{L}\p{M}\p{Z}]") & (F.length(t) > 1))
+        (t.rlike(r"[^\p{L}\p{M}]") & (F.length(t) > 1))
         | (t.rlike(r"^\p{IsLatin}+$") & (F.length(t) > 3))
         | (t.rlike(r"\p{IsHan}") & (F.length(t) > 1) & korean)
         | (~t.rlike(r"^\p{IsLatin}+$") & ~t.rlike(_HANGUL) & (F.length(t) > 2) & (korean | ~t.rlike(r"\p{IsHan}")))
