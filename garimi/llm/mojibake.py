@@ -180,7 +180,7 @@ def matches(documents: DataFrame) -> DataFrame:
     korean = F.col("word").rlike("[가-힣]")
     strong = (
         (t.rlike(r"[^\p{L}\p{M}]") & (F.length("token") > 1))
-        | (t.rlike(r"^\p{IsLatin}+$") & (F.length(t) > 3))
+        | (t.rlike(r"^\p{IsLatin}+$") & ((F.length(t) > 3) | (F.length("token") > 3) & F.col("word").rlike("[가-힣]{2}")))
         | (t.rlike(r"\p{IsHan}") & (F.length(t) > 1) & korean)
         | (~t.rlike(r"^\p{IsLatin}+$") & ~t.rlike(_HANGUL) & (F.length(t) > 2) & (korean | ~t.rlike(r"\p{IsHan}")))
     )
