@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimi.staging import spread
@@ -160,11 +161,11 @@ def encode(documents: DataFrame, folder: str | None = None, vocabulary: str = VO
     """doc_id, ids: each row's text as token ids, without special tokens (their strings are ordinary
     text). A null or an empty text gives an empty list. Each row by itself; no shuffle."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = spread(documents.select("doc_id", "text"))
+    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInArrow(_ids(_vocabulary(folder, vocabulary)), schema)
 
 
 def count_tokens(documents: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens: the length of ``encode``'s list, which is not kept."""
-    rows = spread(documents.select("doc_id", "text"))
+    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInArrow(_counts(_vocabulary(folder, vocabulary)), "doc_id long, n_tokens long")

@@ -36,7 +36,7 @@ def terms(events: DataFrame) -> DataFrame:
 
 def heavy_terms(rows: DataFrame) -> list[tuple[str, str]]:
     """The terms with at least ``HEAVY_SHARE`` of all rows, at most ``HEAVY_MOST``, by one mergeable sketch."""
-    top, n = rows.agg(F.expr(f"approx_top_k(struct(word, direction).word || '\\u0001' || direction, {HEAVY_MOST}, {HEAVY_MOST * 16})"), F.count("*")).first()
+    top, n = rows.agg(F.expr(f"approx_top_k(concat(word, '\\u0001', direction), {HEAVY_MOST}, {HEAVY_MOST * 16})"), F.count("*")).first()
     return [tuple(t["item"].split("\u0001", 1)) for t in top or [] if t["count"] >= max(2, HEAVY_SHARE * n)]
 
 

@@ -204,7 +204,7 @@ def evidence(documents: DataFrame, found: DataFrame) -> DataFrame:
 def garbled(documents: DataFrame) -> DataFrame:
     """``evidence`` of the documents that are garbled: at least one strong token, or two tokens of one
     chain that are half of all odd ones. Null and empty texts and documents without an id are never."""
-    rows = documents.filter("text is not null and doc_id is not null").select("doc_id", "text")
+    rows = documents.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return evidence(rows, matches(rows)).filter("n_strong > 0 or (n_chain > 1 and n_chain * 2 >= n_odd)")
 
 
@@ -246,5 +246,5 @@ def restored(documents: DataFrame) -> DataFrame:
     """doc_id, text (repaired where possible), n_repaired, n_left, chain of the garbled documents. Rows
     that share a doc_id are each repaired."""
     found = garbled(documents).select("doc_id", "chain", "fixes")
-    rows = documents.filter("text is not null").select("doc_id", "text").join(found, "doc_id")
+    rows = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id")
     return rows.mapInPandas(_repaired, "doc_id long, text string, n_repaired int, n_left int, chain string")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimi import dictionaries as D
+from garimi.functions.text import nfc
 from garimi.llm.skeleton import prototypes, skeleton_col
 from garimi.staging import spread, staged
 
@@ -279,8 +280,8 @@ def _make_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def free_texts(gold: DataFrame, findings: DataFrame) -> DataFrame:
     """(tbl, row_id, text) of the rows in question, each once: all gold cases without their markers, and
     findings whose type is null or 기타. Null and empty texts and rows without an id hold nothing."""
-    a = gold.select(F.lit("gold_cases").alias("tbl"), F.col("case_id").alias("row_id"), F.regexp_replace("marked_text", r"\{\{(.*?)\}\}|\[\[(.*?)\]\]", "$1$2").alias("text"))
-    b = findings.filter(F.col("type").isNull() | (F.col("type") == D.OTHER)).select(F.lit("findings").alias("tbl"), F.col("finding_id").alias("row_id"), F.col("value").alias("text"))
+    a = gold.select(F.lit("gold_cases").alias("tbl"), F.col("case_id").cast("long").alias("row_id"), F.regexp_replace("marked_text", r"\{\{(.*?)\}\}|\[\[(.*?)\]\]", "$1$2").alias("text"))
+    b = findings.filter(F.col("type").isNull() | (F.col("type") == D.OTHER)).select(F.lit("findings").alias("tbl"), F.col("finding_id").cast("long").alias("row_id"), F.col("value").alias("text"))
     return a.unionByName(b).filter("row_id is not null and text <> ''").groupBy("tbl", "row_id").agg(F.min("text").alias("text"))
 
 
@@ -289,8 +290,6 @@ def gazetteer(findings: DataFrame) -> DataFrame:
     least ``GAZETTEER_DOCS`` documents as findings of type 이름, counted over all of them."""
     v = skeleton_col(F.regexp_replace("value", r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\s]+(?=[가-힣])|[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""))
     names = findings.filter((F.col("type") == D.NAME) & F.col("value").isNotNull()).select("doc_id", v.alias("v")).distinct()
-    from garimi.functions.text import nfc
-
     names = names.select("doc_id", nfc(F.col("v")).alias("v"))
     one, two = "|".join(sorted(_ONE)), "|".join(sorted(_TWO))
     hangul = F.array(F.regexp_extract("v", f"^(?:{one})([가-힣]{{1,2}})$", 1), F.regexp_extract("v", f"^(?:{two})([가-힣]{{1,2}})$", 1))

@@ -50,3 +50,9 @@ def test_marks(spark):
 
 def test_empty(spark):
     assert frequency.marked_counts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(1, 1, "가", "제외", "t", 9, 9, "x"), (2, 2, "가", "제외", "t", 9, 9, "x")]
+    df = spark.createDataFrame(rows, SCHEMA + ", n_events int, which int, mark string")
+    assert [(r.word, r.n_events, r.n_docs) for r in frequency.marked_counts(df).collect()] == [("가", 2, 2)]

@@ -45,3 +45,10 @@ def test_forms_and_undo():
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert m.garbled(none).count() == 0 and m.restored(none).count() == 0
+
+
+def test_clashing_columns_repeats_and_types(spark):
+    rows = [(i, "성명: 김철수", "x", 1) for i in range(5)] + [(9, "성명".encode().decode("latin-1"), "x", 1)] * 2 + [(None, "성명".encode().decode("latin-1"), "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, token string, n_docs int")
+    assert [r.doc_id for r in m.garbled(df).collect()] == [9]
+    assert [(r.doc_id, r.text) for r in m.restored(df).collect()] == [(9, "성명")] * 2

@@ -90,3 +90,12 @@ def test_empty_tables(spark):
 
 def test_very_long_text():
     assert [s[0] for s in pii.spans("가" * 100_000 + " 010-1234-5678 " + "a" * 100_000)] == ["전화번호"]
+
+
+def test_clashing_columns_repeats_and_long_texts(spark):
+    long = "가나다 " * 30_000 + "연락처 010-1234-5678"
+    gold = spark.createDataFrame([(1, "x", long, "t", 1), (1, "x", long, "t", 1), (2, "x", "전화 010-1234-5678 확인", "t", 1), (None, "x", "010-1234-5678", "t", 1)], "case_id int, label string, marked_text string, text string, row_id int")
+    findings = spark.createDataFrame([(1, 1, "기타", "휴대폰 010-1111-2222", "t")], "finding_id int, doc_id int, type string, value string, tbl string")
+    texts = pii.free_texts(gold, findings)
+    got = sorted((r.tbl, r.row_id, r.start_pos) for r in pii.Detector(texts, pii.gazetteer(findings)).found().filter("pii_type = '전화번호'").collect())
+    assert got == [("findings", 1, 4), ("gold_cases", 1, len(long) - 13), ("gold_cases", 2, 3)]
