@@ -52,7 +52,8 @@ def byte_residue(masked_rows: DataFrame) -> DataFrame:
     elsewhere, where no detector finds it, shows up here."""
     kinds = F.array_distinct(F.transform("found", lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"))))
     rows = each(masked_rows, kinds, "f", "doc_id", F.encode("masked", "UTF-8").alias("bytes"))
-    return rows.filter(F.contains("bytes", F.encode("f.value", "UTF-8"))).select("doc_id", "f.type", "f.value")
+    # Coalesced, so that no null test on the masked text is inferred and computed a second time below.
+    return rows.filter(F.coalesce(F.contains("bytes", F.encode("f.value", "UTF-8")), F.lit(False))).select("doc_id", "f.type", "f.value")
 
 
 def retry_spans(findings: DataFrame, left: DataFrame) -> DataFrame:

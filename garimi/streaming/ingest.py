@@ -23,14 +23,18 @@ def publish(batch: DataFrame, folder: str, batch_id: int) -> None:
     findings, both under the batch's id. A batch that is run again overwrites its own part, so a retry
     neither doubles nor loses rows; readers see ``_SUCCESS`` only when all of it is there."""
     found = detect.detect_all(F.col("text"))
-    rows = batch.filter("text is not null").select("doc_id", "text", found.alias("found")).withColumn("masked", mask_text(F.col("text"), F.col("found")))
-    failed = leftovers(rows).select("doc_id").distinct()
-    good = rows.join(failed, "doc_id", "left_anti")
-    counts = F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda f: f["type"])), lambda t: F.struct(t.alias("k"), F.size(F.filter("found", lambda f: f["type"] == t)).alias("v"))))
-    good.select("doc_id", "masked").write.mode("overwrite").parquet(f"{folder}/masked/batch_id={batch_id}")
-    # A document without findings leaves no audit row.
-    audit = good.filter(F.size("found") > 0).select("doc_id", content_hash(F.col("text")).alias("original_sha256"), format_counts(counts).alias("masked_counts"))
-    audit.write.mode("overwrite").parquet(f"{folder}/audit/batch_id={batch_id}")
+    rows = batch.filter("text is not null").select("doc_id", "text", found.alias("found")).withColumn("masked", mask_text(F.col("text"), F.col("found"))).persist()
+    try:
+        failed = leftovers(rows).select("doc_id").distinct()
+        good = rows.join(failed, "doc_id", "left_anti")
+        kinds = F.array_distinct(F.transform("found", lambda f: f["type"]))
+        counts = F.map_from_entries(F.transform(kinds, lambda t: F.struct(t.alias("k"), F.size(F.filter("found", lambda f: f["type"] == t)).alias("v"))))
+        good.select("doc_id", "masked").write.mode("overwrite").parquet(f"{folder}/masked/batch_id={batch_id}")
+        # A document without findings leaves no audit row.
+        audit = good.filter(F.size("found") > 0).select("doc_id", content_hash(F.col("text")).alias("original_sha256"), format_counts(counts).alias("masked_counts"))
+        audit.write.mode("overwrite").parquet(f"{folder}/audit/batch_id={batch_id}")
+    finally:
+        rows.unpersist()
 
 
 def mask_stream(documents: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
