@@ -3,8 +3,11 @@
 Every distinct clean word of the corpus is garbled under every encoding chain: its bytes in one
 encoding read in another, once or twice, with undefined bytes kept, replaced or dropped. The tokens of
 the documents are joined by hash against this table of garbled forms. Because forms are generated and
-not undone, chains that lose bytes are found and repaired as well. A match is verified by the corpus:
-the original must stand in at least as many documents as the garbled form does.
+not undone, chains that lose bytes are found and repaired as well. A match that chance could make is
+verified by the corpus: the original must stand in at least as many distinct texts as the garbled form
+does. A match beyond chance needs no counts, for a garbled source or a garbled text that is copied often
+outnumbers the clean words; any other without them is repaired only where the rest of the document shows
+the same chain.
 
 A word is a longest run of characters outside ASCII: single-byte readings of UTF-8 or of the Korean code
 page never leave that range, so runs are garbled whole. Words that occur nowhere clean (names, say) are
@@ -108,6 +111,8 @@ def forms(word: str) -> dict[str, str]:
             continue
         if form == word or form in out or not regex.search(r"[^\x00-\x7f�]", form) or regex.search(r"[\x00-\x7f]", form):
             continue
+        if name == "cp949>utf-8:replace" and "�" not in form and regex.search("[가-힣]", form):
+            continue  # the word is garbled and the form its original
         if len(form) > 1 or any(m in name for m in _MULTI):
             out[form] = name
     return out
@@ -117,8 +122,9 @@ def _garbled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), 1000):
             part = b.iloc[at : at + 1000]
-            rows = [(f, w, n, c) for w, n in zip(part["word"], part["word_docs"], strict=True) for f, c in forms(w).items()]
-            yield pd.DataFrame(rows, columns=["token", "word", "word_docs", "chain"])
+            clean = [bool(regex.search(_HANGUL, w)) or undo(w) is None for w in part["word"]]
+            rows = [(f, w, n, ok, c) for w, n, ok in zip(part["word"], part["word_docs"], clean, strict=True) for f, c in forms(w).items()]
+            yield pd.DataFrame(rows, columns=["token", "word", "word_docs", "clean", "chain"])
 
 
 def undo(token: str) -> tuple[str, str] | None:
@@ -159,23 +165,39 @@ def doc_tokens(documents: DataFrame) -> DataFrame:
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
-    """token, n_docs over the whole corpus. Repeated texts count each time they stand in a row."""
-    return doc_tokens(documents).groupBy("token").agg(F.count("*").alias("n_docs"))
+    """token, n_docs over the whole corpus. Repeated texts count once."""
+    texts = documents.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), _runs(F.col("text")).alias("runs")).filter("size(runs) > 0").distinct()
+    return texts.select(F.explode("runs").alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
+
+
+def _beyond_chance() -> Column:
+    """Whether no clean text explains a match of token and word, however often the token stands: it holds
+    characters that only a wrong reading makes, or the original is long enough. Signs alone never are, for
+    those of one code page are those of another."""
+    word, token = F.col("word"), F.col("token")
+    letters = F.length(F.regexp_replace(word, r"[^\p{L}]", ""))
+    utf8 = F.col("chain").startswith("utf-8") & word.rlike(r"[가-힣\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{2}")
+    mixed = (letters > 1) & (F.length(token) > 3) & token.rlike(r"\p{L}") & token.rlike(r"[^\p{L}\p{M}]")
+    return F.col("clean") & (F.length(token) > 1) & (token.rlike(r"[\x{80}-\x{9F}\x{FFFD}]") | (letters > 2) | utf8 | mixed)
 
 
 def matches(documents: DataFrame) -> DataFrame:
-    """Garbled tokens of the corpus: token, word (the original), chain, strong.
+    """Garbled tokens of the corpus: token, word (the original), chain, sure, counted, strong.
 
+    ``sure``: the corpus (``counted``) or the token verifies the match; else only other tokens of the
+    document can. Of several originals, one that the corpus verifies goes first.
     ``strong``: the token alone shows that its document is garbled. A token of plain letters that real
     text may hold (few accented letters, one ideograph or syllable) is not."""
     vocab = staged(vocabulary(documents), "vocabulary")
     words = vocab.filter((F.length("token") <= LONGEST_WORD) & ~F.col("token").rlike(_BROKEN)).select(F.col("token").alias("word"), F.col("n_docs").alias("word_docs"))
-    table = spread(words).mapInPandas(_garbled_forms, "token string, word string, word_docs long, chain string")
-    hits = table.join(vocab.select("token", F.col("n_docs").alias("token_docs")), "token").filter("word_docs >= token_docs and (length(token) > 1 or word_docs > token_docs)")
-    best = hits.groupBy("token", "chain").agg(F.max_by("word", F.struct("word_docs", "word")).alias("word"))
+    table = spread(words).mapInPandas(_garbled_forms, "token string, word string, word_docs long, clean boolean, chain string")
+    counted = F.expr("word_docs >= token_docs and (length(token) > 1 or word_docs > token_docs)")
+    hits = table.join(vocab.select("token", F.col("n_docs").alias("token_docs")), "token").withColumn("counted", counted).withColumn("sure", F.col("counted") | _beyond_chance())
+    hits = hits.filter(F.col("sure") | F.col("clean") & F.col("token").rlike(r"\p{L}"))
+    best = hits.groupBy("token", "chain").agg(F.max_by("word", F.struct("counted", "sure", "word_docs", "word")).alias("word"), F.max("sure").alias("sure"), F.max("counted").alias("counted"))
     best = staged(best, "garbled-tokens")
     odd = vocab.filter(~F.col("token").rlike(_HANGUL) & (F.length("token") > 1)).select("token")
-    rest = spread(odd.join(best.select("token").distinct(), "token", "left_anti")).mapInPandas(_undone, "token string, word string, chain string")
+    rest = spread(odd.join(best.filter("sure").select("token").distinct(), "token", "left_anti")).mapInPandas(_undone, "token string, word string, chain string")
     t = F.regexp_replace("token", r"[\p{Z}\p{Cf}]", "")  # spaces and soft hyphens strew clean text as well
     korean = F.col("word").rlike("[가-힣]")
     strong = (
@@ -184,21 +206,30 @@ def matches(documents: DataFrame) -> DataFrame:
         | (t.rlike(r"\p{IsHan}") & (F.length(t) > 1) & korean)
         | (~t.rlike(r"^\p{IsLatin}+$") & ~t.rlike(_HANGUL) & (F.length(t) > 2) & (korean | ~t.rlike(r"\p{IsHan}")))
     )
-    return best.select("token", "word", "chain").unionByName(rest.select("token", "word", "chain")).withColumn("strong", strong)
+    yes = F.lit(True)
+    both = best.select("token", "word", "chain", "sure", "counted").unionByName(rest.select("token", "word", "chain", yes.alias("sure"), yes.alias("counted")))
+    return both.withColumn("strong", F.col("sure") & strong)
 
 
 def evidence(documents: DataFrame, found: DataFrame) -> DataFrame:
     """For each document with a garbled token: doc_id, chain (the one with most garbled characters),
-    n_strong, n_weak (of one chain), n_odd, and fixes (token, word, chain) for its tokens."""
+    n_strong, n_weak (of one chain), n_odd, and fixes (token, word, chain) for its tokens. Tokens that
+    aren't sure are no evidence; they are fixed if others show their chain."""
     tokens = doc_tokens(documents).filter(~F.col("token").rlike("^[가-힣]{2,}$"))
+    sure, strong = F.col("sure"), F.col("strong")
     by_chain = tokens.join(found, "token").groupBy("doc_id", "chain").agg(
-        F.first("n_odd").alias("n_odd"), F.count_if("strong").alias("strong"), F.count_if(~F.col("strong")).alias("weak"),
-        F.sum(F.length("token")).alias("chars"), F.collect_list(F.struct("token", "word")).alias("fixes"),
+        F.first("n_odd").alias("n_odd"), F.count_if(strong).alias("strong"), F.count_if(sure & ~strong).alias("weak"),
+        F.sum(F.when(sure, F.length("token")).otherwise(0)).alias("chars"), F.collect_list(F.struct("token", "word", "sure", "counted")).alias("fixes"),
     )
-    return by_chain.groupBy("doc_id").agg(
+    read = lambda x: F.substring_index(x["chain"], ":", 1)  # whatever became of undefined bytes
+    seen = lambda x: F.aggregate(F.filter("groups", lambda y: read(y) == read(x)), F.lit(0).cast("long"), lambda n, y: n + y["strong"] * 2 + y["weak"]) > 1
+    kept = lambda x: F.when(seen(x), x["fixes"]).otherwise(F.filter(x["fixes"], lambda f: f["sure"]))
+    by_doc = by_chain.groupBy("doc_id").agg(
         F.first("n_odd").alias("n_odd"), F.sum("strong").alias("n_strong"), F.max(F.col("strong") + F.col("weak")).alias("n_chain"),
-        F.max_by("chain", F.struct("chars", "chain")).alias("chain"), F.collect_list(F.struct("chars", "chain", "fixes")).alias("fixes"),
+        F.max_by("chain", F.struct("chars", "chain")).alias("chain"), F.collect_list(F.struct("chars", "chain", "strong", "weak", "fixes")).alias("groups"),
     )
+    fixes = F.transform("groups", lambda x: F.struct(x["chars"].alias("chars"), x["chain"].alias("chain"), kept(x).alias("fixes")))
+    return by_doc.filter("n_strong > 0 or n_chain > 0").select("doc_id", "n_odd", "n_strong", "n_chain", "chain", fixes.alias("fixes"))
 
 
 def garbled(documents: DataFrame) -> DataFrame:
@@ -236,8 +267,10 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, text, chain, fixes in zip(b["doc_id"], b["text"], b["chain"], b["fixes"], strict=True):
             known: dict[str, str] = {}
-            for part in sorted(fixes, key=lambda p: (p["chain"] == chain, p["chars"])):
-                known.update({f["token"]: f["word"] for f in part["fixes"]})
+            parts = sorted(fixes, key=lambda p: (p["chain"] == chain, p["chars"]))
+            for counted in (False, True):
+                for part in parts:
+                    known.update({f["token"]: f["word"] for f in part["fixes"] if f["counted"] == counted})
             rows.append((doc, *repair(text, chain, known), chain))
         yield pd.DataFrame(rows, columns=["doc_id", "text", "n_repaired", "n_left", "chain"])
 

@@ -52,3 +52,13 @@ def test_clashing_columns_repeats_and_types(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string, token string, n_docs int")
     assert [r.doc_id for r in m.garbled(df).collect()] == [9]
     assert [(r.doc_id, r.text) for r in m.restored(df).collect()] == [(9, "성명")] * 2
+
+
+def test_garbled_outnumbers_clean(spark):
+    """One garbled text in most rows, and a source that is garbled as a whole: each word stands clean in one row only."""
+    line = "예산 집행 내역과 계약을 체결하였다"
+    for chain in ("utf-8>cp949:replace", "utf-8>latin-1:stripped", "cp949>gbk:replace", "cp949>latin-1:kept"):
+        bad = " ".join(m.chains()[chain](w) for w in line.split())
+        rows = [(0, line), (1, "臾 林松竹 金星正"), (2, "다른 문장")] + [(10 + i, bad) for i in range(6)] + [(20 + i, f"{bad} {i}") for i in range(6)]
+        got = {r.doc_id: r.text for r in m.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {10 + i: line for i in range(6)} | {20 + i: f"{line} {i}" for i in range(6)}, chain
