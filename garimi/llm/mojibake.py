@@ -17,6 +17,7 @@ characters under one chain that loses nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -97,34 +98,47 @@ def inverses() -> dict[str, Callable[[str], str]]:
 _MULTI = tuple(f">{r}:" for r in MULTI_BYTE)
 _HANGUL = "^[가-힣]+$"
 _BROKEN = r"[\x{80}-\x{9F}\x{FFFD}\x{E000}-\x{F8FF}]"
-LONGEST_WORD = 60  # a longer run is no word: it is undone whole (below), not put into the table
+LONGEST_KEY = 60  # characters; a longer run goes by its digest, so that the table stays narrow
+BATCH_CHARS = 20_000  # characters of words that are garbled at once; a longer run alone
 
 
 def forms(word: str) -> dict[str, str]:
     """Garbled form to the first chain that makes it. A form of one character is kept only if it is all
     that a reading in pairs of bytes makes of a character; else bytes were lost beyond recognition."""
-    out: dict[str, str] = {}
+    return dict(_each_form(word))
+
+
+def _each_form(word: str) -> Iterator[tuple[str, str]]:
+    seen: set[str] = set()  # keys, for the forms of a long word are longer still
     for name, garble in chains().items():
         try:
             form = garble(word)
         except (UnicodeError, KeyError):
             continue
-        if form == word or form in out or not regex.search(r"[^\x00-\x7f�]", form) or regex.search(r"[\x00-\x7f]", form):
+        if form == word or (known := _key(form)) in seen or not regex.search(r"[^\x00-\x7f�]", form) or regex.search(r"[\x00-\x7f]", form):
             continue
         if name == "cp949>utf-8:replace" and "�" not in form and regex.search("[가-힣]", form):
             continue  # the word is garbled and the form its original
         if len(form) > 1 or any(m in name for m in _MULTI):
-            out[form] = name
-    return out
+            seen.add(known)
+            yield form, name
+
+
+def _key(run: str) -> str:
+    """What a run is joined by: itself or, of a longer one, its digest, which is ASCII and so no run."""
+    return run if len(run) <= LONGEST_KEY else hashlib.sha256(run.encode()).hexdigest()
+
+
+def key(run: Column) -> Column:
+    return F.when(F.length(run) <= LONGEST_KEY, run).otherwise(F.sha2(run, 256))
 
 
 def _garbled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for at in range(0, len(b), 1000):
-            part = b.iloc[at : at + 1000]
+        for _, part in b.groupby(b["word"].str.len().cumsum() // BATCH_CHARS):
             clean = [bool(regex.search(_HANGUL, w)) or undo(w) is None for w in part["word"]]
-            rows = [(f, w, n, ok, c) for w, n, ok in zip(part["word"], part["word_docs"], clean, strict=True) for f, c in forms(w).items()]
-            yield pd.DataFrame(rows, columns=["token", "word", "word_docs", "clean", "chain"])
+            rows = [(_key(f), _key(w), n, ok, c) for w, n, ok in zip(part["word"], part["word_docs"], clean, strict=True) for f, c in _each_form(w)]
+            yield pd.DataFrame(rows, columns=["key", "word", "word_docs", "clean", "chain"])
 
 
 def undo(token: str) -> tuple[str, str] | None:
@@ -189,10 +203,12 @@ def matches(documents: DataFrame) -> DataFrame:
     ``strong``: the token alone shows that its document is garbled. A token of plain letters that real
     text may hold (few accented letters, one ideograph or syllable) is not."""
     vocab = staged(vocabulary(documents), "vocabulary")
-    words = vocab.filter((F.length("token") <= LONGEST_WORD) & ~F.col("token").rlike(_BROKEN)).select(F.col("token").alias("word"), F.col("n_docs").alias("word_docs"))
-    table = spread(words).mapInPandas(_garbled_forms, "token string, word string, word_docs long, clean boolean, chain string")
+    words = vocab.filter(~F.col("token").rlike(_BROKEN)).select(F.col("token").alias("word"), F.col("n_docs").alias("word_docs"))
+    table = spread(words).mapInPandas(_garbled_forms, "key string, word string, word_docs long, clean boolean, chain string")
     counted = F.expr("word_docs >= token_docs and (length(token) > 1 or word_docs > token_docs)")
-    hits = table.join(vocab.select("token", F.col("n_docs").alias("token_docs")), "token").withColumn("counted", counted).withColumn("sure", F.col("counted") | _beyond_chance())
+    hits = table.join(vocab.select(key(F.col("token")).alias("key"), "token", F.col("n_docs").alias("token_docs")), "key").drop("key")
+    long = words.filter(F.length("word") > LONGEST_KEY).select(key(F.col("word")).alias("word"), F.col("word").alias("whole"))
+    hits = hits.join(long, "word", "left").withColumn("word", F.coalesce("whole", "word")).drop("whole").withColumn("counted", counted).withColumn("sure", F.col("counted") | _beyond_chance())
     hits = hits.filter(F.col("sure") | F.col("clean") & F.col("token").rlike(r"\p{L}"))
     best = hits.groupBy("token", "chain").agg(F.max_by("word", F.struct("counted", "sure", "word_docs", "word")).alias("word"), F.max("sure").alias("sure"), F.max("counted").alias("counted"))
     best = staged(best, "garbled-tokens")
@@ -201,7 +217,8 @@ def matches(documents: DataFrame) -> DataFrame:
     t = F.regexp_replace("token", r"[\p{Z}\p{Cf}]", "")  # spaces and soft hyphens strew clean text as well
     korean = F.col("word").rlike("[가-힣]")
     strong = (
-        (t.rlike(r"[^\p{L}\p{M}]") & (F.length("token") > 1))
+        ((F.length("word") > 11) & (F.length(t) > 11))  # no chance makes a match as long
+        | (t.rlike(r"[^\p{L}\p{M}]") & (F.length("token") > 1))
         | (t.rlike(r"^\p{IsLatin}+$") & ((F.length(t) > 3) | (F.length("token") > 3) & F.col("word").rlike("[가-힣]{2}")))
         | (t.rlike(r"\p{IsHan}") & (F.length(t) > 1) & korean)
         | (~t.rlike(r"^\p{IsLatin}+$") & ~t.rlike(_HANGUL) & (F.length(t) > 2) & (korean | ~t.rlike(r"\p{IsHan}")))

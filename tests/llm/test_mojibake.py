@@ -62,3 +62,15 @@ def test_garbled_outnumbers_clean(spark):
         rows = [(0, line), (1, "臾 林松竹 金星正"), (2, "다른 문장")] + [(10 + i, bad) for i in range(6)] + [(20 + i, f"{bad} {i}") for i in range(6)]
         got = {r.doc_id: r.text for r in m.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == {10 + i: line for i in range(6)} | {20 + i: f"{line} {i}" for i in range(6)}, chain
+
+
+def test_long_runs(spark):
+    """Runs of more than 60 characters, one of them a text without ASCII spaces, garbled by chains that lose bytes."""
+    runs = ["".join(chr(0xAC00 + i * 7) for i in range(1200)), "個人情報の取扱いについて、次の通り定める。　本規程は全社員に適用する。" * 3, "가나" * 12_000]
+    rows, want = [(i, r) for i, r in enumerate(runs)], {}
+    for i, r in enumerate(runs):
+        for j, chain in enumerate(("utf-8>cp949:replace", "utf-8>cp949:ignore", "utf-8>latin-1:stripped")):
+            rows.append((100 + 10 * i + j, "끝 " + m.chains()[chain](r)))
+            want[100 + 10 * i + j] = "끝 " + r
+    got = {r.doc_id: r.text for r in m.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
