@@ -98,6 +98,7 @@ def inverses() -> dict[str, Callable[[str], str]]:
 _MULTI = tuple(f">{r}:" for r in MULTI_BYTE)
 _HANGUL = "^[가-힣]+$"
 _BROKEN = r"[\x{80}-\x{9F}\x{FFFD}\x{E000}-\x{F8FF}]"
+_COMMON = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if len(chr(c).encode("euc_kr", "ignore")) == 2)  # the 2,350 syllables of KS X 1001
 LONGEST_KEY = 60  # characters; a longer run goes by its digest, so that the table stays narrow
 BATCH_CHARS = 20_000  # characters of words that are garbled at once; a longer run alone
 
@@ -201,7 +202,7 @@ def matches(documents: DataFrame) -> DataFrame:
     ``sure``: the corpus (``counted``) or the token verifies the match; else only other tokens of the
     document can. Of several originals, one that the corpus verifies goes first.
     ``strong``: the token alone shows that its document is garbled. A token of plain letters that real
-    text may hold (few accented letters, one ideograph or syllable) is not."""
+    text may hold (few accented letters, one ideograph or syllable, Hangul with less than two rare syllables) is not."""
     vocab = staged(vocabulary(documents), "vocabulary")
     words = vocab.filter(~F.col("token").rlike(_BROKEN)).select(F.col("token").alias("word"), F.col("n_docs").alias("word_docs"))
     table = spread(words).mapInPandas(_garbled_forms, "key string, word string, word_docs long, clean boolean, chain string")
@@ -216,8 +217,11 @@ def matches(documents: DataFrame) -> DataFrame:
     rest = spread(odd.join(best.filter("sure").select("token").distinct(), "token", "left_anti")).mapInPandas(_undone, "token string, word string, chain string")
     t = F.regexp_replace("token", r"[\p{Z}\p{Cf}]", "")  # spaces and soft hyphens strew clean text as well
     korean = F.col("word").rlike("[가-힣]")
+    plain = F.col("token").rlike("^[가-힣]{2,}$")
+    rare = F.length(F.regexp_replace("token", f"[{_COMMON}]", ""))
     strong = (
-        ((F.length("word") > 11) & (F.length(t) > 11))  # no chance makes a match as long
+        (plain & (rare > 1))
+        | ((F.length("word") > 11) & (F.length(t) > 11))  # no chance makes a match as long
         | (t.rlike(r"[^\p{L}\p{M}]") & (F.length("token") > 1))
         | (t.rlike(r"^\p{IsLatin}+$") & ((F.length(t) > 3) | (F.length("token") > 3) & F.col("word").rlike("[가-힣]{2}")))
         | (t.rlike(r"\p{IsHan}") & (F.length(t) > 1) & korean)
@@ -225,6 +229,8 @@ def matches(documents: DataFrame) -> DataFrame:
     )
     yes = F.lit(True)
     both = best.select("token", "word", "chain", "sure", "counted").unionByName(rest.select("token", "word", "chain", yes.alias("sure"), yes.alias("counted")))
+    # Hangul alone: syllables outside the standard set are evidence, others only what else the document shows
+    both = both.withColumn("sure", F.col("sure") & (~plain | (rare > 0)))
     return both.withColumn("strong", F.col("sure") & strong)
 
 
@@ -232,7 +238,7 @@ def evidence(documents: DataFrame, found: DataFrame) -> DataFrame:
     """For each document with a garbled token: doc_id, chain (the one with most garbled characters),
     n_strong, n_weak (of one chain), n_odd, and fixes (token, word, chain) for its tokens. Tokens that
     aren't sure are no evidence; they are fixed if others show their chain."""
-    tokens = doc_tokens(documents).filter(~F.col("token").rlike("^[가-힣]{2,}$"))
+    tokens = doc_tokens(documents)
     sure, strong = F.col("sure"), F.col("strong")
     by_chain = tokens.join(found, "token").groupBy("doc_id", "chain").agg(
         F.first("n_odd").alias("n_odd"), F.count_if(strong).alias("strong"), F.count_if(sure & ~strong).alias("weak"),

@@ -74,3 +74,13 @@ def test_long_runs(spark):
             want[100 + 10 * i + j] = "끝 " + r
     got = {r.doc_id: r.text for r in m.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_plain_hangul_forms(spark):
+    """Words whose garbled forms are Hangul alone: restored beside others, and found where nothing else stands."""
+    chain = m.chains()["utf-8>cp949:ignore"]
+    words = ["용산", "예산", "용역", "성명", "주소"]
+    assert [chain(w) for w in words[:3]] == ["슜궛", "삁궛", "슜뿭"]
+    rows = [(i, " ".join(words)) for i in range(3)] + [(10, " ".join(map(chain, words))), (11, "앞 문장\n" + chain("예산")), (12, f"{chain('용산')} {chain('용역')}"), (13, "뷁톤산업 협의")]
+    got = {r.doc_id: r.text for r in m.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10: " ".join(words), 11: "앞 문장\n예산", 12: "용산 용역"}
