@@ -3,8 +3,9 @@
 Heavy-light aggregation. A mergeable frequent-items sketch over one scan names the terms that hold a
 noticeable share of all rows; it only decides the path, so its error cannot touch a count. Those at
 most ``HEAVY_MOST`` terms are broadcast (that number bounds the size) and counted exactly in one pair
-of counter arrays for each task; only the remaining terms are shuffled. The two count tables are
-united. Documents are counted over distinct (term, document) pairs, whose shuffle key holds the
+of counter arrays for each task; only the remaining terms are shuffled a third time. The two count
+tables are united. Before that all rows are shuffled twice, by event and by term and document, for
+events and documents are counted once. Documents are counted over distinct (term, document) pairs, whose shuffle key holds the
 document, so a term with a third of all rows is spread out.
 
 Nulls: rows with a null or blank word or a null direction don't count; a null document is no document;
