@@ -56,3 +56,22 @@ def test_clashing_columns(spark):
     rows = [(1, 1, "가", "제외", "t", 9, 9, "x"), (2, 2, "가", "제외", "t", 9, 9, "x")]
     df = spark.createDataFrame(rows, SCHEMA + ", n_events int, which int, mark string")
     assert [(r.word, r.n_events, r.n_docs) for r in frequency.marked_counts(df).collect()] == [("가", 2, 2)]
+
+
+def test_no_heavy_row_is_shuffled(spark):
+    """What the heavy arm exchanges are packed sets, whatever the number of rows; sparse and dense ids."""
+    rows = [(e, d, 0) for e, d in [*((i, i % 5000) for i in range(70_000)), (2**40, 2**50), (-7, -7), (None, 3), (None, None)]] * 2
+    df = spark.createDataFrame(rows, "event_id long, doc_id long, which int")
+    got = frequency.heavy_counts(df).first()
+    assert (got.n_events, got.n_docs) == (70_002 + 4, 5000 + 2)
+    assert frequency.heavy_counts(df.limit(0)).count() == 0
+    plan = frequency.heavy_counts(df)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "MapInArrow" in first and "ids" in first
+
+
+def test_heavy_rows_are_packed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "LOCAL_ROWS", 10)
+    rows = [(i % 30, i % 7, 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id long, doc_id long, which int").repartition(3)
+    assert tuple(frequency.heavy_counts(df).first()) == (0, 30, 7)
