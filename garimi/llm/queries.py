@@ -64,6 +64,12 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(skeleton.canonical(table(spark, d, "spans"), "span_id", "text", "spans"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with the class of its look in its document and its number of links."""
+    a = skeleton.same_look_classes(table(spark, d, "findings"), "finding_id", "value", "findings")
+    return a.unionByName(skeleton.same_look_classes(table(spark, d, "spans"), "span_id", "text", "spans"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -85,4 +91,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_seen, p1_error_report, p2_found, p2_redacted, p3_found, p3_counts, p5_found, p5_canonical, p6_ids, p7_assignments, p7_fill, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_seen, p1_error_report, p2_found, p2_redacted, p3_found, p3_counts, p5_found, p5_canonical, p5_classes, p6_ids, p7_assignments, p7_fill, p8_found, p8_restored)}

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimi.staging import staged
+
 # Letters of other scripts that look like a Latin letter, by that letter.
 LOOKALIKES = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
-    "L": "Ꮮ", "M": "МΜϺᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ",
-    "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥϒ", "Z": "ΖᏃ", "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ցɡ", "h": "һհ", "i": "іι", "j": "јϳ",
-    "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօσ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "υսᴜ", "v": "ѵν", "w": "ԝա", "x": "хχ", "y": "уγү", "z": "ᴢ",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ",
+    "L": "Ꮮꓡ", "M": "МΜϺᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦ",
+    "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "ҮΥϒꓬⲨ", "Z": "ΖᏃꓜ", "a": "аαɑ", "c": "сϲᴄⲥ", "d": "ԁ", "e": "еҽ", "g": "ցɡ", "h": "һհ", "i": "іι", "j": "јϳ",
+    "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօσᴏⲟ", "p": "рρⲣ", "q": "ԛզ", "s": "ѕꜱ", "u": "υսᴜ", "v": "ѵνᴠ", "w": "ԝաᴡ", "x": "хχ", "y": "уγү", "z": "ᴢ",
     "ı": "ı",
 }
 # Dashes of any width and other punctuation, by the ASCII character they look like.
@@ -36,7 +38,8 @@ PUNCTUATION = {"-": "‐‑‒–−﹣⁃", "'": "’‘ʼʹ′", '"': "“”
 @lru_cache(1)
 def prototypes() -> dict[int, str]:
     """Look-alike table: the fixed letters and punctuation, and by rule every character whose Unicode
-    decomposition says that it is another one in a different width or font, or as a radical; spaces of any
+    decomposition says that it is another one in a different width or font, or as a
+    radical, ligature or Roman numeral; spaces of any
     width become a space, characters without a look vanish."""
     table: dict[int, str] = {}
     for cp in range(0x80, sys.maxunicode + 1):
@@ -45,12 +48,13 @@ def prototypes() -> dict[int, str]:
         if kind in ("Cs", "Co", "Cn"):
             continue
         tag, _, rest = unicodedata.decomposition(ch).partition(" ")
-        radical = tag == "<compat>" and unicodedata.name(ch, "").startswith(("KANGXI RADICAL", "CJK RADICAL"))
+        # Letters that another character sets as a radical, in one glyph or as a numeral.
+        set_ = tag == "<compat>" and unicodedata.name(ch, "").startswith(("KANGXI RADICAL", "CJK RADICAL", "LATIN SMALL LIGATURE", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL"))
         if kind == "Zs":
             table[cp] = " "
         elif kind == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D):
             table[cp] = ""
-        elif tag in ("<wide>", "<narrow>", "<noBreak>", "<font>") or radical:
+        elif tag in ("<wide>", "<narrow>", "<noBreak>", "<font>") or set_:
             table[cp] = "".join(chr(int(x, 16)) for x in rest.split())
     for target, letters in (*LOOKALIKES.items(), *PUNCTUATION.items()):
         for ch in letters:
@@ -89,8 +93,10 @@ def skeleton_col(c):
 
 
 def canonical_col(c):
-    """Canonical form of a column; equal for values that look the same. Null stays null."""
-    return F.coalesce(_canonical(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    """Canonical form of a column; equal for values that look the same, and for those alone, since composing
+    loses nothing of a skeleton. Null stays null. Strings of ASCII and Hangul syllables are their own
+    canonical form and don't leave the JVM."""
+    return F.coalesce(_canonical(F.when(c.rlike(r"[^\x{00}-\x{7F}\x{AC00}-\x{D7A3}]"), c)), c)
 
 
 def canonical(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
@@ -100,21 +106,66 @@ def canonical(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
     return out.withColumn("changed", ~F.col("stored").eqNullSafe(F.col("canonical")))
 
 
+GROUP = ["doc_id", "look"]
+HOT_SHARE = 1000  # a variant with more than one in so many rows is hot; there are fewer than that many
+SALTS = 64  # parts a hot variant's rows are cut into
+
+
+def _looks(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
+    """id, doc_id, v, look (the canonical form) of every row that can form a pair, each row once; staged."""
+    rows = df.select(F.col(id_col).alias("id"), "doc_id", F.col(text_col).alias("v")).filter("id is not null and doc_id is not null and v is not null").distinct()
+    return staged(rows.withColumn("look", canonical_col(F.col("v"))), f"looks-{tbl}")
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    """doc_id, look, v, n: the different strings of each look in a document and how many rows hold each, of
+    looks with at least two. Copies collapse on the map side, so a string with a third of all rows is few rows here."""
+    each = rows.groupBy(*GROUP, "v").agg(F.count("*").alias("n"))
+    mixed = each.groupBy(*GROUP).agg(F.count("*").alias("k")).filter("k > 1")
+    return each.join(mixed, GROUP).select(*GROUP, "v", "n")
+
+
+def _hot(kinds: DataFrame, rows: DataFrame) -> DataFrame:
+    """Hashes of the hot variants, less than ``HOT_SHARE`` of them; a variant that shares one is only salted too."""
+    least = max(1, rows.count() // HOT_SHARE)
+    return kinds.filter(F.col("n") > least).select(F.xxhash64(*GROUP, "v").alias("_h"), F.lit(True).alias("hot")).distinct()
+
+
+def _rows_of(rows: DataFrame, of: DataFrame, v: str, hot: DataFrame, id_name: str) -> DataFrame:
+    """``of`` with a row for each row of its variant ``v``, whose id is added as ``id_name``. Rows of hot
+    variants go by salt, what they meet to each salt."""
+    named = lambda df: df.withColumn("_h", F.xxhash64(*GROUP, "v")).join(F.broadcast(hot), "_h", "left").drop("_h")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
+    left = named(rows).select(*GROUP, "v", F.col("id").alias(id_name), salt.cast("int").alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = named(of.withColumnRenamed(v, "v")).withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [*GROUP, "v", "salt"]).drop("v", "salt")
+
+
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: rows of one document whose strings look the same but differ as stored.
 
-    Rows are grouped by (document, skeleton); only groups that hold two different strings at all are
-    kept before any pair is formed, so exact copies form none. The rows of a kept group are joined by
-    their variants: a row meets only rows with another string. Null strings and null documents form no
+    Pairs are formed of variants, the different strings of one look in a document, never of rows that hold
+    the same string; each pair of variants then takes its rows, so that all work is in proportion to the
+    rows read or given. Rows of a hot variant are spread by salt. Null strings and null documents form no
     pairs; rows that come twice count once."""
-    rows = df.select(F.col(id_col).alias("id"), "doc_id", F.col(text_col).alias("v")).filter("id is not null and doc_id is not null and v is not null")
-    rows = rows.distinct().select("id", "doc_id", "v", F.xxhash64(skeleton_col(F.col("v"))).alias("look"))
-    group = ["doc_id", "look"]
-    # A hash may clash: the strings themselves are compared once more below.
-    mixed = rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select(*group)
-    held = rows.join(mixed, group, "left_semi")
-    a, b = held.alias("a"), held.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.look") == F.col("b.look")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.v") != F.col("b.v"))
-    pairs = a.join(b, on).select(F.lit(tbl).alias("tbl"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.v").alias("va"), F.col("b.v").alias("vb"))
-    same = skeleton_col(F.col("va")) == skeleton_col(F.col("vb"))
-    return pairs.filter(same).select("tbl", "id_a", "id_b").distinct()
+    rows = _looks(df, id_col, text_col, tbl)
+    kinds = staged(_variants(rows), f"variants-{tbl}")
+    hot = _hot(kinds, rows)
+    pairs = kinds.select(*GROUP, F.col("v").alias("va")).join(kinds.select(*GROUP, F.col("v").alias("vb")), GROUP).filter("va < vb")
+    both = _rows_of(rows, _rows_of(rows, pairs, "va", hot, "ia"), "vb", hot, "ib")
+    return both.select(F.lit(tbl).alias("tbl"), F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).filter("id_a < id_b").distinct()
+
+
+def same_look_classes(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
+    """tbl, id, class_id, n_links: for every row the least id of its look in its document, and with how many
+    rows it forms a pair: those of the look that hold another string. Rows without a document or a string
+    are alone. Copies are counted, never expanded into pairs."""
+    rows = _looks(df, id_col, text_col, tbl)
+    each = rows.groupBy(*GROUP, "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    look = each.groupBy(*GROUP).agg(F.sum("n").alias("rows"), F.min("least").alias("class_id"))
+    of = each.join(look, GROUP).select(*GROUP, "v", "class_id", (F.col("rows") - F.col("n")).alias("n_links"))
+    linked = _rows_of(rows, of, "v", _hot(each, rows), "id").select("id", "class_id", "n_links")
+    alone = df.filter(F.col(id_col).isNotNull() & (F.col("doc_id").isNull() | F.col(text_col).isNull())).select(F.col(id_col).alias("id")).distinct()
+    alone = alone.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone).select(F.lit(tbl).alias("tbl"), "id", "class_id", "n_links")
