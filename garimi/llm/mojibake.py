@@ -1,8 +1,9 @@
 """Text garbled by a wrong decoding.
 
 Every distinct clean word of the corpus is garbled under every encoding chain: its bytes in one
-encoding read in another, once or twice, with undefined bytes kept, replaced or dropped. The tokens of
-the documents are joined by hash against this table of garbled forms. Because forms are generated and
+encoding read in another, once or twice, with undefined bytes kept, replaced or dropped. Forms that no
+token can be are left out as they are made, by a filter of bounded size over the corpus's tokens; the
+tokens of the documents are joined by hash against the table of the others. Because forms are generated and
 not undone, chains that lose bytes are found and repaired as well. A match that chance could make is
 verified by the corpus: the original must stand in at least as many distinct texts as the garbled form
 does. A match beyond chance needs no counts, for a garbled source or a garbled text that is copied often
@@ -17,15 +18,21 @@ characters under one chain that loses nothing.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimi.llm.bloom import Bloom
 from garimi.staging import spread, staged
 
 #: Fixed encodings: those text is written in, and those it is wrongly read in.
@@ -47,15 +54,15 @@ def _kept(name: str) -> list[str]:
 
 @lru_cache(1)
 def chains() -> dict[str, Callable[[str], str]]:
-    """Name to garbling function; a function raises where the word has no bytes in the encoding."""
+    """Name to garbling function; a function raises where the text has no bytes in the encoding."""
     out: dict[str, Callable[[str], str]] = {}
 
     def single(w: str, r: str, how: str) -> Callable[[str], str]:
-        table = _kept(r)
+        table = "".join(_kept(r))
         if how == "kept":
-            return lambda s: "".join([table[b] for b in s.encode(w)])
+            return lambda s: codecs.charmap_decode(s.encode(w), "strict", table)[0]
         if how == "stripped":  # control characters lost on the way
-            return lambda s: "".join([c for c in (table[b] for b in s.encode(w)) if not 0x80 <= ord(c) < 0xA0])
+            return lambda s: re.sub("[\x80-\x9f]+", "", codecs.charmap_decode(s.encode(w), "strict", table)[0])
         return lambda s: s.encode(w).decode(r, how)
 
     for w in WRITTEN:
@@ -100,29 +107,52 @@ _HANGUL = "^[가-힣]+$"
 _BROKEN = r"[\x{80}-\x{9F}\x{FFFD}\x{E000}-\x{F8FF}]"
 _COMMON = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if len(chr(c).encode("euc_kr", "ignore")) == 2)  # the 2,350 syllables of KS X 1001
 LONGEST_KEY = 60  # characters; a longer run goes by its digest, so that the table stays narrow
-BATCH_CHARS = 20_000  # characters of words that are garbled at once; a longer run alone
+BATCH_CHARS = 100_000  # characters of words that are garbled at once; a longer run alone
 
 
-def forms(word: str) -> dict[str, str]:
-    """Garbled form to the first chain that makes it. A form of one character is kept only if it is all
-    that a reading in pairs of bytes makes of a character; else bytes were lost beyond recognition."""
-    return dict(_each_form(word))
+def _each(words: list[str], garble: Callable[[str], str]) -> list[str | None]:
+    """The form of each word, all garbled as one text of a line each; None where it has no bytes in the encoding."""
+    try:
+        out = garble("\n".join(words)).split("\n")
+        if len(out) == len(words):
+            return out
+    except UnicodeError:
+        if len(words) == 1:
+            return [None]
+    return [f for w in words for f in _each([w], garble)] if len(words) > 1 else [None]
+
+
+def _hash(form: str) -> int:
+    """The hash of a string that the engine's ``xxhash64`` gives."""
+    return xxhash.xxh64_intdigest(form, 42)
+
 
+def _forms(words: list[str], tokens: Bloom | None = None) -> Iterator[tuple[int, str, str]]:
+    """Place of the word, garbled form and the first chain that makes it; with ``tokens`` only forms that may be one.
 
-def _each_form(word: str) -> Iterator[tuple[str, str]]:
-    seen: set[str] = set()  # keys, for the forms of a long word are longer still
+    A form of one character is kept only if it is all that a reading in pairs of bytes makes of a
+    character; else bytes were lost beyond recognition."""
+    seen: set[tuple[int, int]] = set()
+    korean = [i for i, w in enumerate(words) if w.encode("cp949", "ignore").decode("cp949") == w]
     for name, garble in chains().items():
-        try:
-            form = garble(word)
-        except (UnicodeError, KeyError):
-            continue
-        if form == word or (known := _key(form)) in seen or not regex.search(r"[^\x00-\x7f�]", form) or regex.search(r"[\x00-\x7f]", form):
-            continue
-        if name == "cp949>utf-8:replace" and "�" not in form and regex.search("[가-힣]", form):
-            continue  # the word is garbled and the form its original
-        if len(form) > 1 or any(m in name for m in _MULTI):
-            seen.add(known)
-            yield form, name
+        at = korean if name.startswith("cp949") else range(len(words))
+        made = _each([words[i] for i in at], garble) if at else []
+        hashes = [0 if f is None else _hash(f) for f in made]
+        picked = range(len(made)) if tokens is None else np.flatnonzero(tokens.contains(np.array(hashes, np.uint64).view(np.int64)))
+        for k in picked:
+            form, i = made[k], at[k]
+            if form is None or form == words[i] or (i, hashes[k]) in seen or not regex.search(r"[^\x00-\x7f�]", form) or regex.search(r"[\x00-\x7f]", form):
+                continue
+            if name == "cp949>utf-8:replace" and "�" not in form and regex.search("[가-힣]", form):
+                continue  # the word is garbled and the form its original
+            if len(form) > 1 or any(m in name for m in _MULTI):
+                seen.add((i, hashes[k]))
+                yield i, form, name
+
+
+def forms(word: str) -> dict[str, str]:
+    """Garbled form of a word to the first chain that makes it."""
+    return {form: name for _, form, name in _forms([word])}
 
 
 def _key(run: str) -> str:
@@ -134,12 +164,25 @@ def key(run: Column) -> Column:
     return F.when(F.length(run) <= LONGEST_KEY, run).otherwise(F.sha2(run, 256))
 
 
-def _garbled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for _, part in b.groupby(b["word"].str.len().cumsum() // BATCH_CHARS):
-            clean = [bool(regex.search(_HANGUL, w)) or undo(w) is None for w in part["word"]]
-            rows = [(_key(f), _key(w), n, ok, c) for w, n, ok in zip(part["word"], part["word_docs"], clean, strict=True) for f, c in _each_form(w)]
-            yield pd.DataFrame(rows, columns=["key", "word", "word_docs", "clean", "chain"])
+def _garbled_forms(tokens: Bloom):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, part in b.groupby(b["word"].str.len().cumsum() // BATCH_CHARS):
+                words, docs = part["word"].tolist(), part["word_docs"].tolist()
+                clean: dict[int, bool] = {}
+                rows = []
+                for i, form, name in _forms(words, tokens):
+                    if i not in clean:
+                        clean[i] = bool(regex.search(_HANGUL, words[i])) or undo(words[i]) is None
+                    rows.append((_key(form), _key(words[i]), docs[i], clean[i], name))
+                yield pd.DataFrame(rows, columns=["key", "word", "word_docs", "clean", "chain"])
+
+    return run
+
+
+# Least characters of a token that is undone without a clean word that explains it: two syllables of the Korean code
+# page read as western text, and one and a half characters of UTF-8 read in pairs of bytes. Chance meets shorter ones.
+LEAST_WESTERN, LEAST_PAIRED = 4, 3
 
 
 def undo(token: str) -> tuple[str, str] | None:
@@ -147,9 +190,9 @@ def undo(token: str) -> tuple[str, str] | None:
     readings of UTF-8, whose structure chance seldom meets, or four and more characters read from the
     Korean code page as western text."""
     for name, back in inverses().items():
-        if name.startswith("cp949") and (len(token) < 4 or not name.startswith(("cp949>cp1252", "cp949>latin-1"))):
+        if name.startswith("cp949") and (len(token) < LEAST_WESTERN or not name.startswith(("cp949>cp1252", "cp949>latin-1"))):
             continue
-        if any(m in name for m in _MULTI) and len(token) < 3:
+        if any(m in name for m in _MULTI) and len(token) < LEAST_PAIRED:
             continue
         try:
             word = back(token)
@@ -168,23 +211,55 @@ def _undone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["token", "word", "chain"])
 
 
-def _runs(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
+_RUN_OF = re.compile(RUN)
+_PLAIN = re.compile("[가-힣]+")
+
+
+def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, digest of the text, n_odd, runs of each text that has any."""
+    for b in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if runs := sorted(set(_RUN_OF.findall(text))):
+                row = (doc, hashlib.md5(text.encode(), usedforsecurity=False).digest(), sum(not _PLAIN.fullmatch(x) for x in runs), runs)
+                for column, v in zip(out, row, strict=True):
+                    column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.string())), strict=True)], ["doc_id", "digest", "n_odd", "runs"])
 
 
-def doc_tokens(documents: DataFrame) -> DataFrame:
-    """doc_id, token, n_odd: the distinct runs outside ASCII of each document, and how many of them are not plain Hangul."""
-    rows = documents.select("doc_id", _runs(F.col("text")).alias("runs"))
-    odd = F.size(F.filter("runs", lambda x: ~x.rlike(_HANGUL)))
-    return rows.select("doc_id", odd.alias("n_odd"), F.explode("runs").alias("token"))
+def token_sets(documents: DataFrame) -> DataFrame:
+    """doc_id, digest, n_odd, runs: the distinct runs outside ASCII of each document, and how many of them are
+    not plain Hangul. Read from the texts once and staged, for the vocabulary and for the evidence."""
+    return staged(spread(documents.select("doc_id", "text")).mapInArrow(_token_sets, "doc_id long, digest binary, n_odd int, runs array<string>"), "token-sets")
 
 
-def vocabulary(documents: DataFrame) -> DataFrame:
+def vocabulary(sets: DataFrame) -> DataFrame:
     """token, n_docs over the whole corpus. Repeated texts count once."""
-    texts = documents.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), _runs(F.col("text")).alias("runs")).filter("size(runs) > 0").distinct()
+    texts = sets.select("digest", "runs").distinct()
     return texts.select(F.explode("runs").alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
+SALTS = 8  # parts that the rows of a token are cut into, for a garbled text may stand in a third of all rows
+
+
+def _meeting(tokens: Bloom):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, n_odd, runs, hashes = (b.column(i) for i in range(4))
+            hit = np.flatnonzero(tokens.contains(hashes.flatten().to_numpy(zero_copy_only=False)))
+            row = np.repeat(np.arange(b.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))[hit]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), n_odd.take(pa.array(row)), runs.flatten().take(pa.array(hit))], ["doc_id", "n_odd", "token"])
+
+    return run
+
+
+def doc_tokens(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_odd, token: the runs of each document that may be among the tokens of ``found``."""
+    names = found.select(F.xxhash64("token").alias("h")).distinct()
+    rows = sets.select("doc_id", "n_odd", "runs", F.transform("runs", lambda x: F.xxhash64(x)).alias("h"))
+    return rows.mapInArrow(_meeting(Bloom(names, names.count())), "doc_id long, n_odd int, token string")
+
+
 def _beyond_chance() -> Column:
     """Whether no clean text explains a match of token and word, however often the token stands: it holds
     characters that only a wrong reading makes, or the original is long enough. Signs alone never are, for
@@ -196,16 +271,17 @@ def _beyond_chance() -> Column:
     return F.col("clean") & (F.length(token) > 1) & (token.rlike(r"[\x{80}-\x{9F}\x{FFFD}]") | (letters > 2) | utf8 | mixed)
 
 
-def matches(documents: DataFrame) -> DataFrame:
+def matches(sets: DataFrame) -> DataFrame:
     """Garbled tokens of the corpus: token, word (the original), chain, sure, counted, strong.
 
     ``sure``: the corpus (``counted``) or the token verifies the match; else only other tokens of the
     document can. Of several originals, one that the corpus verifies goes first.
     ``strong``: the token alone shows that its document is garbled. A token of plain letters that real
     text may hold (few accented letters, one ideograph or syllable, Hangul with less than two rare syllables) is not."""
-    vocab = staged(vocabulary(documents), "vocabulary")
+    vocab = staged(vocabulary(sets), "vocabulary")
     words = vocab.filter(~F.col("token").rlike(_BROKEN)).select(F.col("token").alias("word"), F.col("n_docs").alias("word_docs"))
-    table = spread(words).mapInPandas(_garbled_forms, "key string, word string, word_docs long, clean boolean, chain string")
+    tokens = Bloom(vocab.select(F.xxhash64("token").alias("h")), vocab.count())
+    table = spread(words).mapInPandas(_garbled_forms(tokens), "key string, word string, word_docs long, clean boolean, chain string")
     counted = F.expr("word_docs >= token_docs and (length(token) > 1 or word_docs > token_docs)")
     hits = table.join(vocab.select(key(F.col("token")).alias("key"), "token", F.col("n_docs").alias("token_docs")), "key").drop("key")
     long = words.filter(F.length("word") > LONGEST_KEY).select(key(F.col("word")).alias("word"), F.col("word").alias("whole"))
@@ -214,6 +290,7 @@ def matches(documents: DataFrame) -> DataFrame:
     best = hits.groupBy("token", "chain").agg(F.max_by("word", F.struct("counted", "sure", "word_docs", "word")).alias("word"), F.max("sure").alias("sure"), F.max("counted").alias("counted"))
     best = staged(best, "garbled-tokens")
     odd = vocab.filter(~F.col("token").rlike(_HANGUL) & (F.length("token") > 1)).select("token")
+    # A plainer path beside the table, for words that stand nowhere clean: it adds to the table's tokens and replaces none.
     rest = spread(odd.join(best.filter("sure").select("token").distinct(), "token", "left_anti")).mapInPandas(_undone, "token string, word string, chain string")
     t = F.regexp_replace("token", r"[\p{Z}\p{Cf}]", "")  # spaces and soft hyphens strew clean text as well
     korean = F.col("word").rlike("[가-힣]")
@@ -234,13 +311,15 @@ def matches(documents: DataFrame) -> DataFrame:
     return both.withColumn("strong", F.col("sure") & strong)
 
 
-def evidence(documents: DataFrame, found: DataFrame) -> DataFrame:
+def evidence(sets: DataFrame, found: DataFrame) -> DataFrame:
     """For each document with a garbled token: doc_id, chain (the one with most garbled characters),
     n_strong, n_weak (of one chain), n_odd, and fixes (token, word, chain) for its tokens. Tokens that
     aren't sure are no evidence; they are fixed if others show their chain."""
-    tokens = doc_tokens(documents)
+    found = staged(found, "garbled-words")
+    tokens = doc_tokens(sets, found).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     sure, strong = F.col("sure"), F.col("strong")
-    by_chain = tokens.join(found, "token").groupBy("doc_id", "chain").agg(
+    by_chain = tokens.join(found, ["token", "salt"]).groupBy("doc_id", "chain").agg(
         F.first("n_odd").alias("n_odd"), F.count_if(strong).alias("strong"), F.count_if(sure & ~strong).alias("weak"),
         F.sum(F.when(sure, F.length("token")).otherwise(0)).alias("chars"), F.collect_list(F.struct("token", "word", "sure", "counted")).alias("fixes"),
     )
@@ -259,7 +338,8 @@ def garbled(documents: DataFrame) -> DataFrame:
     """``evidence`` of the documents that are garbled: at least one strong token, or two tokens of one
     chain that are half of all odd ones. Null and empty texts and documents without an id are never."""
     rows = documents.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return evidence(rows, matches(rows)).filter("n_strong > 0 or (n_chain > 1 and n_chain * 2 >= n_odd)")
+    sets = token_sets(rows)
+    return evidence(sets, matches(sets)).filter("n_strong > 0 or (n_chain > 1 and n_chain * 2 >= n_odd)")
 
 
 def repair(text: str, chain: str, fixes: dict[str, str]) -> tuple[str, int, int]:
@@ -301,6 +381,9 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def restored(documents: DataFrame) -> DataFrame:
     """doc_id, text (repaired where possible), n_repaired, n_left, chain of the garbled documents. Rows
     that share a doc_id are each repaired."""
-    found = garbled(documents).select("doc_id", "chain", "fixes")
-    rows = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id")
+    found = staged(garbled(documents).select("doc_id", "chain", "fixes"), "garbled")
+    ids = found.select(F.xxhash64("doc_id").alias("h"))
+    rows = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Only texts that may be garbled move to their fixes.
+    rows = rows.filter(Bloom(ids, ids.count()).might(F.xxhash64("doc_id"))).join(found, "doc_id")
     return rows.mapInPandas(_repaired, "doc_id long, text string, n_repaired int, n_left int, chain string")
