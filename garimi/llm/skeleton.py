@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimi.llm.bloom import Bloom
 from garimi.staging import staged
 
 # Letters of other scripts that look like a Latin letter, by that letter.
@@ -111,10 +112,20 @@ HOT_SHARE = 1000  # a variant with more than one in so many rows is hot; there a
 SALTS = 64  # parts a hot variant's rows are cut into
 
 
-def _looks(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
-    """id, doc_id, v, look (the canonical form) of every row that can form a pair, each row once; staged."""
-    rows = df.select(F.col(id_col).alias("id"), "doc_id", F.col(text_col).alias("v")).filter("id is not null and doc_id is not null and v is not null").distinct()
-    return staged(rows.withColumn("look", canonical_col(F.col("v"))), f"looks-{tbl}")
+def _looks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, doc_id, v, look (the canonical form) of every row that can form a pair."""
+    rows = df.select(F.col(id_col).alias("id"), "doc_id", F.col(text_col).alias("v")).filter("id is not null and doc_id is not null and v is not null")
+    return rows.withColumn("look", canonical_col(F.col("v")))
+
+
+def _mixed(df: DataFrame, id_col: str, text_col: str, tbl: str) -> DataFrame:
+    """The rows, each once, of looks that a document may hold in different strings. What is shuffled to tell
+    them are hashes; the rows of other looks are let go before they move."""
+    rows = staged(_looks(df, id_col, text_col).withColumn("h", F.xxhash64(*GROUP)), f"looks-{tbl}")
+    one, two = F.xxhash64("v"), F.xxhash64(F.lit(1), "v")  # 128 bits of a string, those of two strings being equal by no chance
+    ends = rows.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.min(two).alias("c"), F.max(two).alias("d"))
+    mixed = staged(ends.filter("a <> b or c <> d").select("h"), f"mixed-{tbl}")
+    return staged(rows.filter(Bloom(mixed, mixed.count()).might(F.col("h"))).drop("h").distinct(), f"held-{tbl}")
 
 
 def _variants(rows: DataFrame) -> DataFrame:
@@ -149,7 +160,7 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, tbl: str) -> Data
     the same string; each pair of variants then takes its rows, so that all work is in proportion to the
     rows read or given. Rows of a hot variant are spread by salt. Null strings and null documents form no
     pairs; rows that come twice count once."""
-    rows = _looks(df, id_col, text_col, tbl)
+    rows = _mixed(df, id_col, text_col, tbl)
     kinds = staged(_variants(rows), f"variants-{tbl}")
     hot = _hot(kinds, rows)
     pairs = kinds.select(*GROUP, F.col("v").alias("va")).join(kinds.select(*GROUP, F.col("v").alias("vb")), GROUP).filter("va < vb")
@@ -161,7 +172,7 @@ def same_look_classes(df: DataFrame, id_col: str, text_col: str, tbl: str) -> Da
     """tbl, id, class_id, n_links: for every row the least id of its look in its document, and with how many
     rows it forms a pair: those of the look that hold another string. Rows without a document or a string
     are alone. Copies are counted, never expanded into pairs."""
-    rows = _looks(df, id_col, text_col, tbl)
+    rows = staged(_looks(df, id_col, text_col).distinct(), f"looks-{tbl}")
     each = rows.groupBy(*GROUP, "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     look = each.groupBy(*GROUP).agg(F.sum("n").alias("rows"), F.min("least").alias("class_id"))
     of = each.join(look, GROUP).select(*GROUP, "v", "class_id", (F.col("rows") - F.col("n")).alias("n_links"))
