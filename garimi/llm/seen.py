@@ -4,7 +4,9 @@ Every record carries keys in named fields; a key counts as seen if it stands in
 record with a smaller id. The archive and the records, cut by id into a few batches, are sealed batch
 by batch: the distinct key hashes of a batch, spread over shards by hash, become one ribbon filter for
 each shard (about 10 bits a key; the keys themselves are not kept). The distinct keys of a batch probe
-the filters of all earlier batches of their shard. A negative answer is certain. The few positives are
+the filters of all earlier batches of their shard. Repeats within the open batch are decided by its own
+distinct keys, which it holds until it is sealed. A negative answer is certain; each generation asked adds
+1/256 to the rate of wrong yes answers, so ``batches`` bounds it. The few positives are
 then checked exactly, which also gives the rate of wrong answers; probes with keys that are certainly
 absent give it independently.
 
@@ -21,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimi.functions.text import nfc, strip_ws
 from garimi.llm import ribbon
+from garimi.llm.bloom import Bloom
 from garimi.staging import staged
 
 FIELDS = ("original_sha256", "original_filename")
@@ -63,7 +66,7 @@ class SeenBefore:
     """The operator over an archive and a stream of records; its parts are lazy DataFrames."""
 
     def __init__(self, archive: DataFrame, records: DataFrame, archive_id: str, record_id: str, fields: tuple[str, ...] = FIELDS, batches: int = BATCHES):
-        self.spark, self.batches = records.sparkSession, batches
+        self.spark, self.batches, self.fields = records.sparkSession, batches, fields
         self.archive = keys(archive, archive_id, fields)
         records = records.filter(F.col(record_id).isNotNull())
         self.rows = keys(records, record_id, fields)
@@ -103,12 +106,15 @@ class SeenBefore:
         maybe = self.maybe().select("field", "h", "batch", F.lit(True).alias("maybe"))
         asked = self.firsts.join(maybe, ["field", "h", "batch"], "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
         asked = staged(asked, "answers")
-        yes = asked.filter("maybe").select("field", "key").distinct()
-        # Archive keys are made distinct on each map side before they move; then each key is one row.
-        old = self.archive.select("field", "key").distinct().join(yes, ["field", "key"], "left_semi").select("field", "key", F.lit(0).alias("batch"))
-        new = asked.join(yes, ["field", "key"], "left_semi").select("field", "key", "batch")
-        earliest = old.unionByName(new).groupBy("field", "key").agg(F.min("batch").alias("earliest"))
-        return asked.join(earliest, ["field", "key"], "left").withColumn("seen", F.coalesce(F.col("maybe") & (F.col("earliest") < F.col("batch")), F.lit(False)))
+        # Archive keys that can be no positive are let go before they are made distinct and move; a key that
+        # stands in a third of the archive is one row for each task then.
+        yes = asked.filter("maybe").select("h")
+        old = self.archive.filter(Bloom(yes, yes.count()).might(F.col("h"))).select("field", "key").distinct().withColumn("archived", F.lit(True))
+        both = asked.join(old, ["field", "key"], "left")
+        # At most one row for each sealed batch is in a window.
+        first = F.min("batch").over(Window.partitionBy("field", "key"))
+        seen = F.col("maybe") & (F.coalesce("archived", F.lit(False)) | (F.col("first") < F.col("batch")))
+        return both.withColumn("first", first).withColumn("seen", seen).drop("archived", "first")
 
     def found(self) -> DataFrame:
         """(id, field) of every record and field whose key was seen before: all non-blank keys but the
@@ -129,7 +135,7 @@ class SeenBefore:
         )
         truth = self.archive.select("field", "key").distinct().join(checked.filter(~F.col("seen")), ["field", "key"], "left_semi")
         missed = truth.groupBy("field").agg(F.count("*").alias("missed"))
-        names = F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field")
+        names = F.explode(F.array(*[F.lit(f) for f in self.fields])).alias("field")
         sure = self.spark.range(absent).select("id", names).select("field", F.xxhash64("field", F.concat(F.lit("ABSENT "), F.col("id").cast("string"))).alias("h"), F.lit(self.batches + 1).alias("batch"))
         audit = self.probe(sure).groupBy("field").agg(F.count("*").alias("absent_probes"), F.count_if(F.col("yes") > 0).alias("absent_yes"))
         out = by.join(missed, "field", "left").join(audit, "field", "left")

@@ -78,3 +78,10 @@ def test_report(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "A", "b", "x", 1)], SCHEMA_R + ", key string, h int")
     assert {(r.field, r.key) for r in keys(df, "audit_id").collect()} == {("original_sha256", "a"), ("original_filename", "b")}
+
+
+def test_report_of_other_fields(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "A "), (3, "b")], "id long, name string")
+    s = SeenBefore(df.limit(0), df, "id", "id", fields=("name",))
+    assert [(r.id, r.field) for r in s.found().collect()] == [(2, "name")]
+    assert [(r.field, r.distinct_keys, r.absent_probes, r.missed) for r in s.error_report(absent=500).collect()] == [("name", 3, 500, 0)]
