@@ -21,10 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from garimi import dictionaries as D
 from garimi.functions.text import nfc
@@ -34,6 +34,7 @@ from garimi.staging import spread, staged
 TRAIN_SPANS = 20_000  # spans the classifier is fitted on, at most about
 GAZETTEER_DOCS = 2  # documents a given name must stand in to be known
 FEATURE_BITS = 15
+LEAST_SAY = 0.4  # log odds that any vote is presumed to be worth; labelers that err alike would else be taken for useless ones
 PLACEHOLDER = "[{}]"
 TYPES = (D.NAME, D.PHONE, D.EMAIL, D.RRN, D.PASSPORT, D.ADDRESS)
 
@@ -172,15 +173,18 @@ def _addresses(t: str) -> Iterator[Span]:
 # --- names --------------------------------------------------------------------------------------
 _ONE = frozenset(s for s in D.SURNAMES if len(s) == 1)
 _TWO = frozenset(s for s in D.SURNAMES if len(s) == 2)
-_AFTER = re.compile(r"(?:님|씨|군|양)?(?:은|는|이|가|을|를|의|과|와|도|께|께서|께서는|께는|에게|에게서|에게는|한테|라|라고|이라|이라고|이며|입니다|이고|로|으로|만|및)?")
-_RUN = re.compile(r"(?<![가-힣A-Za-z0-9])[가-힣]+")
 _TITLES = "|".join(D.BUSINESS_TITLES)
+# Further titles and forms of address that follow a name.
+_ADDRESSED = "주무관|사무관|서기관|연구관|연구원|위원장|어르신|여사|교수|변호사|의원|기사"
+_AFTER = re.compile(rf"(?:{_TITLES}|{_ADDRESSED})?(?:님|씨|군|양)?(?:은|는|이|가|을|를|의|과|와|도|께|께서|께서는|께는|에게|에게서|에게는|한테|라|라고|이라|이라고|이며|입니다|이고|로|으로|만|및)?")
+_HEAD = re.compile("[과팀실국부반계]장")
+_RUN = re.compile(r"(?<![가-힣A-Za-z0-9])[가-힣]+")
 _LEFT_ROLE = re.compile(
     r"(성명(\([^)]{1,4}\))?|이름|명의인?|신청인|수령인|예금주|담당자?|민원인|가입자|기안자?|검토자?|결재자?|협조자?|작성자|소지자|배우자|자녀|부모|보호자|대표자?|대리인|확인자|동행자|참석자?|발신[인자]|수신[인자]|신고인"
     rf"|사람은?|사본은|문의는|연락은|어제|오늘|까지|결과|이어서|사는|{_TITLES})\s*[:：]?\s*$|\($"
 )
 _RIGHT_ROLE = re.compile(
-    rf"\s*(씨|님|선생|귀하|본인|올림|드림|명의|동행|동반|{_TITLES})|\s?\(이하|[을를] 통해|\s?[(<]?(\+82|0\d{{1,2}}[-. )]|01\d)|,\s?(휴대폰|전화|여권|연락처|주민|메일|자녀|배우자)|\)\s?자격|,\s[가-힣]{{2,5}}[시군구도]?\s[^\n]*거주|<"
+    rf"\s*(씨|님|선생|귀하|본인|올림|드림|명의|동행|동반|{_TITLES}|{_ADDRESSED})|\s?\(이하|[을를] 통해|\s?[(<]?(\+82|0\d{{1,2}}[-. )]|01\d)|,\s?(휴대폰|전화|여권|연락처|주민|메일|자녀|배우자)|\)\s?자격|,\s[가-힣]{{2,5}}[시군구도]?\s[^\n]*거주|<"
 )
 _DATE_AFTER = re.compile(r"[은는이가]\s\d{4}\s?[-./년]")
 _ORG = re.compile(r"(팀|과|실|반|부서|은행|센터|조합|위원회|공사|공단|기관|회사|상사|식품|건설|전자|화학|기계|산업|물산|해운|테크|소프트|사업|계획|문서|번호|기간|금액|주소|관|장|단지|아파트)$")
@@ -209,7 +213,8 @@ def _hangul_names(t: str) -> Iterator[Span]:
                 cut.append((m.end() + 3, s[1], True))
         for end, given, apart in cut:
             right = t[end : end + 24]
-            org = run in D.EXCLUDE_WORDS or run in D.REGIONS or bool(_ORG.search(run)) or any(run == r + "의" for r in D.REGIONS)
+            # A word of two syllables and a head's title is as soon a department's.
+            org = end - start == 2 and not apart and bool(_HEAD.match(right)) or run in D.EXCLUDE_WORDS or run in D.REGIONS or bool(_ORG.search(run)) or any(run == r + "의" for r in D.REGIONS)
             listed = bool(re.search(r"(?:^|[:,])\s?[가-힣]{2,4},\s$|(?:참석|명단)\s?:\s$", left)) or bool(re.match(r",\s[가-힣]{2,4}(?:,|\s\(이상|\s동반)|\s\(이상", right))
             yield Span(D.NAME, start, end, [
                 1 if _LEFT_ROLE.search(left) else 0,
@@ -260,21 +265,20 @@ def spans(text: str) -> list[tuple]:
     return out
 
 
-_SPAN = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-            T.StructField("votes", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("features", T.ArrayType(T.IntegerType())),
-        ]
-    )
-)
+VOTES, FEATURES = 6, 8  # of each candidate; the last vote is the gazetteer's
+_SPANS = "array<struct<type:string,start:int,end:int,votes:array<int>,keys:array<string>,features:array<int>>>"
+_ARROW = {"type": pa.string(), "start": pa.int32(), "end": pa.int32(), "votes": pa.list_(pa.int32()), "keys": pa.list_(pa.string()), "features": pa.list_(pa.int32())}
 
 
-def _make_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _make_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, len(b), 1000):
-            part = b.iloc[at : at + 1000]
-            yield pd.DataFrame({"tbl": part["tbl"], "row_id": part["row_id"], "text": part["text"], "spans": [spans(x) for x in part["text"]]})
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            found = [spans(x) for x in part.column(2).to_pylist()]
+            columns = list(zip(*[s for f in found for s in f], strict=True)) or [()] * len(_ARROW)
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.values(), strict=True)], list(_ARROW))
+            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(offsets, flat)], ["tbl", "row_id", "text", "spans"])
 
 
 def free_texts(gold: DataFrame, findings: DataFrame) -> DataFrame:
@@ -302,8 +306,8 @@ def gazetteer(findings: DataFrame) -> DataFrame:
 # --- estimation ---------------------------------------------------------------------------------
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Probability that a span is real, by vote pattern. EM over labelers that err independently: each
-    vote multiplies the odds by the ratio of its rates among real and unreal spans. A vote may never
-    speak against what it says (ratios are kept on their side of 1), and silence of a labeler that
+    vote multiplies the odds by the ratio of its rates among real and unreal spans. A vote is
+    presumed to say a little of what it says (``LEAST_SAY``), never the opposite, and silence of a labeler that
     mostly votes for may only speak against, so the two classes cannot swap."""
     if not patterns:
         return {}
@@ -315,7 +319,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> d
         logit = np.full(len(n), np.clip(np.log(real / unreal), -1.5, 1.5))
         for j in range(votes.shape[1]):
             favours = n[votes[:, j] > 0].sum() >= n[votes[:, j] < 0].sum()
-            low_high = {1: (0.4, 4.5), -1: (-4.5, -0.4), 0: (-1.0, 0.0) if favours else (0.0, 0.0)}
+            low_high = {1: (LEAST_SAY, 4.5), -1: (-4.5, -LEAST_SAY), 0: (-1.0, 0.0) if favours else (0.0, 0.0)}
             prior = {1: (2, 0.5), -1: (0.5, 2), 0: (2, 2)}
             for v, (low, high) in low_high.items():
                 at = votes[:, j] == v
@@ -348,34 +352,60 @@ def fit(rows: list[tuple[list[int], float]], rounds: int = 500) -> np.ndarray:
 
 
 def _score(weights: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    by_vote = np.zeros((len(TYPES), VOTES, 3))
+    for k, type_ in enumerate(TYPES):
+        for j in range(VOTES):
+            for v in (-1, 1):
+                by_vote[k, j, v + 1] = weights[_vote_features(type_, [0] * j + [v])[0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for tbl, row, text, found in zip(b["tbl"], b["row_id"], b["text"], b["spans"], strict=True):
-                ranked = []
-                for s in found:
-                    score = weights[list(s["features"]) + _vote_features(s["type"], list(s["votes"]))].sum()
-                    if score > 0:
-                        ranked.append((-score, s["start"], -s["end"], s["type"]))
-                taken: list[tuple[int, int]] = []
-                for score, start, end, kind in sorted(ranked):
-                    if all(-end <= a or start >= z for a, z in taken):
-                        taken.append((start, -end))
-                        out.append((tbl, row, kind, start, -end, text[start:-end], 1 / (1 + np.exp(score))))
-            yield pd.DataFrame(out, columns=["tbl", "row_id", "pii_type", "start_pos", "end_pos", "value", "probability"])
+            tbl, row, text, found = (b.column(i) for i in range(4))
+            kind, start, end, votes, _, features = found.flatten().flatten()
+            k = pc.index_in(kind, value_set=pa.array(TYPES)).to_numpy(zero_copy_only=False)
+            votes, features = votes.flatten().to_numpy().reshape(-1, VOTES), features.flatten().to_numpy().reshape(-1, FEATURES)
+            score = weights[features].sum(axis=1) + by_vote[k[:, None], np.arange(VOTES), votes + 1].sum(axis=1)
+            of = np.repeat(np.arange(b.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+            start, end = start.to_numpy(), end.to_numpy()
+            good = np.flatnonzero(score > 0)
+            good = good[np.lexsort((k[good], -end[good], start[good], -score[good], of[good]))]
+            out: list[tuple] = []
+            at, taken, value = -1, [], ""
+            for i in good.tolist():
+                if of[i] != at:
+                    at, taken, value = of[i], [], text[of[i]].as_py()
+                a, z = int(start[i]), int(end[i])
+                if all(z <= x or a >= y for x, y in taken):
+                    taken.append((a, z))
+                    out.append((at, TYPES[k[i]], a, z, value[a:z], 1 / (1 + np.exp(-score[i]))))
+            rows, *columns = list(zip(*out, strict=True)) or [()] * 6
+            rows = pa.array(rows, pa.int64())
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([tbl.take(rows), row.take(rows), *arrays], ["tbl", "row_id", "pii_type", "start_pos", "end_pos", "value", "probability"])
 
     return run
 
 
+HOT_MOST, HOT_SHARE = 256, 0.001  # keys that go by broadcast: so many at most, each at least that share of all
+
+
+def known_keys(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """tbl, row_id, known: the keys of each row (tbl, row_id, key) that ``names`` holds. Frequent keys, which a
+    mergeable sketch names, meet a broadcast of those alone; only the others are shuffled by key."""
+    top, n = keys.agg(F.expr(f"approx_top_k(key, {HOT_MOST}, {HOT_MOST * 16})"), F.count("*")).first()
+    hot = F.col("key").isin([t["item"] for t in top or [] if t["count"] >= max(2, HOT_SHARE * n)])
+    met = keys.filter(~hot).join(names.filter(~hot), "key").unionByName(keys.filter(hot).join(F.broadcast(names.filter(hot)), "key"))
+    return met.groupBy("tbl", "row_id").agg(F.collect_list("key").alias("known"))
+
+
 class Detector:
     """The operator: candidates and their votes over all rows, estimation, and the fitted classifier."""
 
     def __init__(self, texts: DataFrame, names: DataFrame):
-        made = spread(texts).mapInPandas(_make_spans, T.StructType([T.StructField("tbl", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", _SPAN)]))
-        made = staged(made, "spans")
+        made = staged(spread(texts.select("tbl", "row_id", "text")).mapInArrow(_make_spans, f"tbl string, row_id long, text string, spans {_SPANS}"), "spans")
         # Gazetteer votes come by a join on the distinct keys of each row; neither side is collected.
         keys = made.select("tbl", "row_id", F.explode(F.array_distinct(F.flatten("spans.keys"))).alias("key"))
-        known = keys.join(names, "key").groupBy("tbl", "row_id").agg(F.collect_list("key").alias("known"))
+        known = known_keys(keys, staged(names, "gazetteer"))
         held = made.join(known, ["tbl", "row_id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
         hits = lambda s: F.size(F.array_intersect(s["keys"], F.col("known")))
         vote = lambda s: F.when(F.size(s["keys"]) == 0, 0).when(hits(s) == F.size(F.array_distinct(s["keys"])), 1).when(hits(s) == 0, -1).otherwise(0)
@@ -396,15 +426,17 @@ class Detector:
         share = min(1.0, TRAIN_SPANS / max(1, n))
         picked = self.each.filter(F.pmod(F.xxhash64("tbl", "row_id", "start", "end"), F.lit(1_000_000)) < int(share * 1_000_000))
         rows = []
-        for r in picked.select("type", "votes", "keys", "features").collect():
-            script = r["keys"][0][0] if r["type"] == D.NAME and r["keys"] else ""
-            rows.append((list(r["features"]) + _vote_features(r["type"], list(r["votes"])), belief[r["type"] + script][tuple(r["votes"])]))
+        script = F.when((F.col("type") == D.NAME) & (F.size("keys") > 0), F.substring(F.get("keys", F.lit(0)), 1, 1)).otherwise("")
+        for type_, of, votes, features in zip(*picked.select("type", script, "votes", "features").toArrow().to_pydict().values(), strict=True):
+            vote, y = _vote_features(type_, votes), belief[type_ + of][tuple(votes)]
+            # Once more without the words around it: votes have to carry a span between words never seen.
+            rows += [(features + vote, y), (features[-1:] + vote, y)]
         return fit(rows)
 
     def found(self) -> DataFrame:
         """tbl, row_id, pii_type, start_pos, end_pos, value, probability of every accepted span."""
         schema = "tbl string, row_id long, pii_type string, start_pos long, end_pos long, value string, probability double"
-        return self.rows.mapInPandas(_score(self.weights()), schema)
+        return self.rows.select("tbl", "row_id", "text", "spans").mapInArrow(_score(self.weights()), schema)
 
 
 def redact(found: DataFrame, texts: DataFrame) -> DataFrame:

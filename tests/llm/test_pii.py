@@ -99,3 +99,31 @@ def test_clashing_columns_repeats_and_long_texts(spark):
     texts = pii.free_texts(gold, findings)
     got = sorted((r.tbl, r.row_id, r.start_pos) for r in pii.Detector(texts, pii.gazetteer(findings)).found().filter("pii_type = '전화번호'").collect())
     assert got == [("findings", 1, 4), ("gold_cases", 1, len(long) - 13), ("gold_cases", 2, 3)]
+
+
+UNSEEN = ["퇴직자 {N}의 새 주소를 물었다.", "사진 속 인물은 {N}로 추정된다.", "이번 건은 {N} 주무관께서 직접 설명드렸습니다.", "차량 소유주가 {N}으로 바뀌었다.", "조회하니 {N}으로 나왔다."]
+
+
+def test_known_names_in_unseen_phrasing(spark):
+    """Names whose given name the gazetteer holds, in sentences that training doesn't see."""
+    plain = ["{N}, 경기도 도란군 달무리길 11 거주.", "내용은 {N} 건으로 접수함.", "물품 도착 {N} 확인"]  # no cue but the name
+    rows = [(i, "x", t) for i, t in enumerate(GOLD_ROWS * 12)] + [(1000 + i, "x", plain[i % 3].replace("{N}", SUR[i % 6] + GIVEN[i % 8])) for i in range(60)]
+    want = {(5000 + i, UNSEEN[i % 5].index("{")) for i in range(40)}
+    rows += [(5000 + i, "x", UNSEEN[i % 5].replace("{N}", SUR[i % 4] + GIVEN[i % 8])) for i in range(40)] + [(6000 + i, "x", "서류를 전부 이송하고 고지함. 강조 사항 없음.") for i in range(40)]
+    gold = spark.createDataFrame(rows, "case_id long, label string, marked_text string")
+    findings = spark.createDataFrame([(i, i % 50, "이름", SUR[i % 6] + GIVEN[i % 10]) for i in range(300)], "finding_id long, doc_id long, type string, value string")
+    got = {(r.row_id, r.start_pos) for r in pii.Detector(pii.free_texts(gold, findings), pii.gazetteer(findings)).found().filter("pii_type = '이름' and row_id >= 5000").collect()}
+    assert len(got & want) >= 0.8 * len(want) and not got - want
+
+
+def test_titles_written_on(spark):
+    assert [(s[1], s[2]) for s in pii.spans("김가람과장님께") if s[0] == "이름"] == [(0, 3)]
+    (head,) = [s for s in pii.spans("안전과장") if s[0] == "이름" and s[2] == 2]
+    assert head[3][3] == -1
+
+
+def test_hot_keys_meet_a_broadcast(spark):
+    keys = spark.range(3000).selectExpr("'gold_cases' as tbl", "id as row_id", "if(id % 3 = 0, 'H:가람', concat('H:', id)) as key")
+    names = spark.createDataFrame([("H:가람",), ("H:7",), ("H:없음",)], "key string")
+    got = {r.row_id: r.known for r in pii.known_keys(keys, names).collect()}
+    assert got == {i: ["H:가람"] for i in range(0, 3000, 3)} | {7: ["H:7"]}
