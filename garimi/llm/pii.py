@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
-from garimi.functions.text import nfc
-from garimi.llm.skeleton import prototypes, skeleton_col
+from garimi.llm.skeleton import canonical_col, prototypes
 from garimi.staging import spread, staged
 
 TRAIN_SPANS = 20_000  # spans the classifier is fitted on, at most about
@@ -39,13 +39,19 @@ PLACEHOLDER = "[{}]"
 TYPES = (D.NAME, D.PHONE, D.EMAIL, D.RRN, D.PASSPORT, D.ADDRESS)
 
 
+@lru_cache(1)
+def _odd() -> frozenset[str]:
+    """The characters that the look-alike table replaces."""
+    return frozenset(map(chr, prototypes()))
+
+
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text composed, with look-alikes replaced and invisible characters dropped, and the offset of
     each of its characters in the original (None: they are the same)."""
     if text.isascii():
         return text, None
     table = prototypes()
-    if unicodedata.is_normalized("NFC", text) and not any(ord(c) in table for c in text):
+    if unicodedata.is_normalized("NFC", text) and _odd().isdisjoint(text):
         return text, None
     out, at = [], []
     for m in re.finditer(r"[ᄀ-ᅟ][ᅠ-ᆧ][ᆨ-ᇿ]?|.[̀-ͯ]*", text, re.DOTALL):
@@ -67,8 +73,11 @@ class Span:
     keys: tuple[str, ...] = ()
 
 
+_pattern = lru_cache(None)(lambda pattern: re.compile(pattern, re.IGNORECASE))
+
+
 def _has(pattern: str, text: str, vote: int = 1) -> int:
-    return vote if re.search(pattern, text, re.IGNORECASE) else 0
+    return vote if _pattern(pattern).search(text) else 0
 
 
 def check_digit(digits: str) -> bool:
@@ -177,6 +186,7 @@ _TITLES = "|".join(D.BUSINESS_TITLES)
 # Further titles and forms of address that follow a name.
 _ADDRESSED = "주무관|사무관|서기관|연구관|연구원|위원장|어르신|여사|교수|변호사|의원|기사"
 _AFTER = re.compile(rf"(?:{_TITLES}|{_ADDRESSED})?(?:님|씨|군|양)?(?:은|는|이|가|을|를|의|과|와|도|께|께서|께서는|께는|에게|에게서|에게는|한테|라|라고|이라|이라고|이며|입니다|이고|로|으로|만|및)?")
+_NO_NAMES = frozenset([*D.EXCLUDE_WORDS, *D.REGIONS, *[r + "의" for r in D.REGIONS]])
 _HEAD = re.compile("[과팀실국부반계]장")
 _RUN = re.compile(r"(?<![가-힣A-Za-z0-9])[가-힣]+")
 _LEFT_ROLE = re.compile(
@@ -214,7 +224,7 @@ def _hangul_names(t: str) -> Iterator[Span]:
         for end, given, apart in cut:
             right = t[end : end + 24]
             # A word of two syllables and a head's title is as soon a department's.
-            org = end - start == 2 and not apart and bool(_HEAD.match(right)) or run in D.EXCLUDE_WORDS or run in D.REGIONS or bool(_ORG.search(run)) or any(run == r + "의" for r in D.REGIONS)
+            org = end - start == 2 and not apart and bool(_HEAD.match(right)) or run in _NO_NAMES or bool(_ORG.search(run))
             listed = bool(re.search(r"(?:^|[:,])\s?[가-힣]{2,4},\s$|(?:참석|명단)\s?:\s$", left)) or bool(re.match(r",\s[가-힣]{2,4}(?:,|\s\(이상|\s동반)|\s\(이상", right))
             yield Span(D.NAME, start, end, [
                 1 if _LEFT_ROLE.search(left) else 0,
@@ -245,13 +255,23 @@ def _latin_names(t: str) -> Iterator[Span]:
 _MAKERS = (_phones, _emails, _residents, _passports, _addresses, _hangul_names, _latin_names)
 
 
+@lru_cache(100_000)
+def _shape(value: str) -> str:
+    return re.sub(r"[가-힣]+", "가", re.sub(r"[A-Za-z]+", "A", re.sub(r"\d+", "9", value)))[:16]
+
+
+@lru_cache(100_000)
+def _index(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & ((1 << FEATURE_BITS) - 1)
+
+
 def _features(t: str, s: Span) -> list[int]:
     """Hashed features of a span besides its votes: the characters and words next to it, its shape."""
     left, right = t[max(0, s.start - 12) : s.start], t[s.end : s.end + 12]
-    shape = re.sub(r"[가-힣]+", "가", re.sub(r"[A-Za-z]+", "A", re.sub(r"\d+", "9", t[s.start : s.end])))[:16]
+    shape = _shape(t[s.start : s.end])
     words = (f"l1{left[-1:]}", f"l2{left[-2:]}", f"lw{(left.split() or [''])[-1][-4:]}", f"r1{right[:1]}", f"r2{right[:2]}", f"rw{(right.split() or [''])[0][:3]}", f"s{shape}", "b")
     script = "L" if s.type == D.NAME and s.keys and s.keys[0][0] == "L" else ""
-    return [zlib.crc32(f"{s.type}{script}|{w}".encode()) & ((1 << FEATURE_BITS) - 1) for w in words]
+    return [_index(f"{s.type}{script}|{w}") for w in words]
 
 
 def spans(text: str) -> list[tuple]:
@@ -292,9 +312,8 @@ def free_texts(gold: DataFrame, findings: DataFrame) -> DataFrame:
 def gazetteer(findings: DataFrame) -> DataFrame:
     """Known parts of names (key): given names, and both words of names in Latin letters, that stand in at
     least ``GAZETTEER_DOCS`` documents as findings of type 이름, counted over all of them."""
-    v = skeleton_col(F.regexp_replace("value", r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\s]+(?=[가-힣])|[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""))
+    v = canonical_col(F.regexp_replace("value", r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\s]+(?=[가-힣])|[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""))
     names = findings.filter((F.col("type") == D.NAME) & F.col("value").isNotNull()).select("doc_id", v.alias("v")).distinct()
-    names = names.select("doc_id", nfc(F.col("v")).alias("v"))
     one, two = "|".join(sorted(_ONE)), "|".join(sorted(_TWO))
     hangul = F.array(F.regexp_extract("v", f"^(?:{one})([가-힣]{{1,2}})$", 1), F.regexp_extract("v", f"^(?:{two})([가-힣]{{1,2}})$", 1))
     hangul = F.transform(F.filter(hangul, lambda x: x != ""), lambda x: F.concat(F.lit("H:"), x))
@@ -330,7 +349,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> d
 
 
 def _vote_features(type_: str, votes: list[int]) -> list[int]:
-    return [zlib.crc32(f"{type_}|v{j}{v}".encode()) & ((1 << FEATURE_BITS) - 1) for j, v in enumerate(votes) if v]
+    return [_index(f"{type_}|v{j}{v}") for j, v in enumerate(votes) if v]
 
 
 def fit(rows: list[tuple[list[int], float]], rounds: int = 500) -> np.ndarray:
