@@ -12,8 +12,8 @@ The canonical form is the skeleton composed again (NFC).
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -36,6 +36,12 @@ LOOKALIKES = {
 PUNCTUATION = {"-": "‐‑‒–−﹣⁃", "'": "’‘ʼʹ′", '"': "“”″", ".": "․", ",": "‚", "/": "⁄∕", ":": "ː∶", "~": "∼˜", "·": "ㆍ‧∙⋅", "|": "∣ǀ"}
 
 
+def _with_rules() -> Iterator[int]:
+    """The code points beyond ASCII that a rule may name; ideographs, Hangul syllables, surrogates and private use have none."""
+    for first, last in ((0x80, 0x33FF), (0xA000, 0xABFF), (0xF900, 0x1FFFF), (0xE0000, 0xE01EF)):
+        yield from range(first, last + 1)
+
+
 @lru_cache(1)
 def prototypes() -> dict[int, str]:
     """Look-alike table: the fixed letters and punctuation, and by rule every character whose Unicode
@@ -43,11 +49,9 @@ def prototypes() -> dict[int, str]:
     radical, ligature or Roman numeral; spaces of any
     width become a space, characters without a look vanish."""
     table: dict[int, str] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
+    for cp in _with_rules():
         ch = chr(cp)
         kind = unicodedata.category(ch)
-        if kind in ("Cs", "Co", "Cn"):
-            continue
         tag, _, rest = unicodedata.decomposition(ch).partition(" ")
         # Letters that another character sets as a radical, in one glyph or as a numeral.
         set_ = tag == "<compat>" and unicodedata.name(ch, "").startswith(("KANGXI RADICAL", "CJK RADICAL", "LATIN SMALL LIGATURE", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL"))
