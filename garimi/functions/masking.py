@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from garimi import dictionaries as D
-from garimi.functions.offsets import let
+
+try:
+    import ahocorasick
+except ModuleNotFoundError:  # values are looked for one by one then
+    ahocorasick = None
 
 _ALNUM = r"[\p{L}\p{N}]"
 
@@ -69,15 +75,8 @@ def mask_keep_last(v: Column, keep: int = 4) -> Column:
 
 def mask_keep_ends(v: Column, first: int = 4, last: int = 4) -> Column:
     """The first and last letters or digits stay; on a short value both parts meet."""
-    before = lambda c, i: F.length(F.regexp_replace(F.substring(v, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-    total = F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))
-
-    def one(c: Column, i: Column) -> Column:
-        rank = before(c, i)
-        return F.when(c.rlike(_ALNUM) & (rank < total - last), F.lit("*")).otherwise(c)
-
-    # ``rank`` counts the letters and digits before position i.
-    return F.array_join(F.transform(F.split(v, ""), lambda c, i: F.when(before(c, i) < first, c).otherwise(one(c, i))), "")
+    head = F.regexp_extract(v, rf"^(?:[^\p{{L}}\p{{N}}]*{_ALNUM}){{0,{first}}}", 0)
+    return F.concat(head, mask_keep_last(F.substring(v, F.length(head) + 1, F.length(v)), last))
 
 
 _RRN_PARTS = r"^(\p{Nd}{6})(-?)(\p{Nd}{7})$"
@@ -101,8 +100,79 @@ def mask_value(type_: Column, v: Column, policy: Policy = Policy()) -> Column:
     return out.otherwise(stars(F.length(v)))
 
 
+def overlaid(text: str, starts: list[int], lengths: list[int], masks: list[str]) -> str:
+    """The text with each mask written over its place, in one pass. ``starts`` ascend; masks whose places overlap
+    are written from the last start to the first, those of one start in their order."""
+    parts, at, i = [], 0, 0
+    while i < len(starts):
+        low, end, j = starts[i], starts[i] + lengths[i], i + 1
+        while j < len(starts) and starts[j] < end:
+            end = max(end, starts[j] + lengths[j])
+            j += 1
+        held = masks[i]
+        if j > i + 1:
+            held = text[low:end]
+            for k in sorted(range(i, j), key=lambda k: (-starts[k], k)):
+                o = starts[k] - low
+                held = held[:o] + masks[k] + held[o + lengths[k] :]
+        parts += (text[at:low], held)
+        at, i = end, j
+    return "".join([*parts, text[at:]])
+
+
+@F.arrow_udf(T.StringType())
+def _overlaid(text: pa.Array, masks: pa.Array) -> pa.Array:
+    """``masks``: start_pos, i, n, mask of each finding, in order."""
+    start, _, n, mask = (c.to_pylist() for c in masks.flatten().flatten())
+    out, at = [], 0
+    for t, size in zip(text.to_pylist(), masks.value_lengths().to_pylist(), strict=True):
+        size = size or 0
+        out.append(None if t is None else overlaid(t, start[at : at + size], n[at : at + size], mask[at : at + size]))
+        at += size
+    return pa.array(out, pa.string())
+
+
 def mask_text(text: Column, found: Column) -> Column:
     """The text with every finding's place overwritten by the mask of its value, from the last start to the
-    first; findings of the same start in their order. Where spans overlap the earlier start is written last."""
-    keyed = F.transform(found, lambda f, i: F.struct((-f["start_pos"]).alias("back"), i.alias("i"), f["start_pos"].alias("start_pos"), F.length(f["value"]).alias("n"), mask_value(f["type"], f["value"]).alias("mask")))
-    return let(F.array_sort(keyed), lambda fs: F.aggregate(fs, text, lambda acc, f: F.overlay(acc, f["mask"], f["start_pos"] + 1, f["n"])))
+    first; findings of the same start in their order. Where spans overlap the earlier start is written last.
+
+    Built-in functions can only write one mask at a time over the whole text; the splice is one pass in Arrow
+    batches, which texts without findings don't join."""
+    keyed = F.sort_array(F.transform(found, lambda f, i: F.struct(f["start_pos"].alias("start_pos"), i.alias("i"), F.length(f["value"]).alias("n"), mask_value(f["type"], f["value"]).alias("mask"))))
+    some = F.size(found) > 0
+    return F.when(some, _overlaid(F.when(some, text), keyed)).when(found.isNotNull(), text)
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _standing(text: pa.Array, starts: pa.Array, values: pa.Array) -> pa.Array:
+    columns = (c.to_pylist() for c in (text, starts, values))
+    return pa.array([None if t is None else [t[a : a + len(v)] == v for a, v in zip(s, vs, strict=True)] for t, s, vs in zip(*columns, strict=True)], pa.list_(pa.bool_()))
+
+
+def standing(text: Column, found: Column) -> Column:
+    """For each finding whether its value stands at its place in the text."""
+    some = F.when(F.size(found) > 0, text)
+    flags = _standing(some, F.transform(found, lambda f: f["start_pos"]), F.transform(found, lambda f: f["value"]))
+    return F.coalesce(flags, F.array().cast("array<boolean>"))
+
+
+def held_values(text: str, values: list[str]) -> list[bool]:
+    """For each value whether it stands anywhere in the text; many values are looked for in one pass."""
+    if len(values) < 64 or ahocorasick is None:
+        return [v in text for v in values]
+    wanted = ahocorasick.Automaton()
+    for v in values:
+        wanted.add_word(v, v)
+    wanted.make_automaton()
+    seen = {v for _, v in wanted.iter(text)}
+    return [v in seen for v in values]
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _within(text: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else held_values(t, vs) for t, vs in zip(text.to_pylist(), values.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+
+def within(text: Column, values: Column) -> Column:
+    """For each value of an array whether it stands anywhere in the text. As UTF-8 text, its bytes do just then."""
+    return F.coalesce(_within(F.when(F.size(values) > 0, text), values), F.array().cast("array<boolean>"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +42,56 @@ def output_names(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return x.select("doc_id", "day", "serial", F.format_string("%s_%s_%03d.pdf", kind, "day", "serial").alias("output_filename"))
 
 
-def unique_names(files: DataFrame) -> DataFrame:
-    """A free name for each file (id, name): the first keeps it, the next ones get ``(1)``, ``(2)``, ... before
-    the suffix."""
+_NAME = r"^(.+?)(\.[^.]*)?$"  # stem and suffix
+_ROOT = r"^(.+?)((?:\([1-9][0-9]*\))*)(\.[^.]*)?$"  # stem without its numbers, the numbers, suffix
+
+
+def _free_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk a partition sorted by root and id: each file takes its name or the first free number. What is held
+    are the different names of one root and the next number of each, not the files."""
+    root, taken, following = None, set(), {}
+    for b in batches:
+        out = []
+        for of, i, name, stem, suffix in zip(b["root"], b["id"], b["name"], b["stem"], b["suffix"], strict=True):
+            if of != root:
+                root, taken, following = of, set(), {}
+            dest = name
+            if name in taken and not pd.isna(i):
+                n = following.get(name, 1)
+                while (dest := f"{stem}({n}){suffix}") in taken:
+                    n += 1
+                following[name] = n + 1
+            taken.add(dest)
+            if not pd.isna(i):
+                out.append((int(i), name, dest))
+        yield pd.DataFrame(out, columns=["id", "name", "dest"])
+
+
+def unique_names(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """A free name for each file (id, name), in order of id: its own, else with ``(1)``, ``(2)``, ... before the
+    suffix, the first that neither ``existing`` (name) nor an earlier file of the batch holds.
+
+    Names that share a root with a numbered or existing name, whose numbers may be taken, are given out one
+    after the other, each root in its order; all others are numbered in blocks of ids. Files without an id or a
+    name don't come out."""
+    part = lambda i: F.regexp_extract("name", _ROOT, i)
+    at = lambda i: F.regexp_extract("name", _NAME, i)
+    of = lambda df: df.select(*df.columns, F.struct(part(1).alias("stem"), part(3).alias("suffix")).alias("root"), (part(2) != "").alias("numbered"))
+    rows = of(files.select(F.col("id").cast("long").alias("id"), "name").filter("id is not null and name is not null"))
+    marks = rows.filter("numbered").select("root")
+    held = None
+    if existing is not None:
+        held = of(existing.select(F.lit(None).cast("long").alias("id"), "name").distinct())
+        marks = marks.unionByName(held.select("root"))
+    marks = marks.distinct()
+    easy = numbered(rows.join(marks, "root", "left_anti").select("id", "name"), ["name"], F.floor(F.col("id") / IDS), ["id"], "nth")
     n = F.col("nth") - 1
-    stem, suffix = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
-    return numbered(files, ["name"], F.floor(F.col("id") / IDS), ["id"], "nth").select("id", "name", F.when(n == 0, F.col("name")).otherwise(F.concat(stem, F.lit("("), n.cast("string"), F.lit(")"), suffix)).alias("dest"))
+    easy = easy.select("id", "name", F.when(n == 0, F.col("name")).otherwise(F.concat(at(1), F.lit("("), n.cast("string"), F.lit(")"), at(2))).alias("dest"))
+    hard = rows.join(marks, "root", "left_semi")
+    hard = hard if held is None else hard.unionByName(held)
+    hard = hard.select(F.to_json("root").alias("root"), "id", "name", at(1).alias("stem"), at(2).alias("suffix"))
+    hard = hard.repartition("root").sortWithinPartitions("root", F.col("id").asc_nulls_first()).mapInPandas(_free_names, "id long, name string, dest string")
+    return easy.unionByName(hard)
 
 
 def already_processed(path: Column, keywords: Column) -> Column:
@@ -86,14 +133,25 @@ def history(log: DataFrame) -> DataFrame:
 
 
 def originals(log: DataFrame, kept: DataFrame) -> DataFrame:
-    """The kept file (name) of each logged original: of that name, else the first by name with the same
-    stem start and suffix; else null. Joined on what the two share - document stem and suffix - not by LIKE."""
-    part = lambda c, i: F.regexp_extract(c, r"^(.+?)(\(\d+\))?(\.[^.]*)?$", i)
-    a = log.select("audit_id", "original_filename", part("original_filename", 1).alias("stem"), part("original_filename", 3).alias("suffix"))
-    b = kept.select("name", part("name", 1).alias("stem"), part("name", 3).alias("suffix")).distinct()
-    firsts = b.groupBy("stem", "suffix").agg(F.min("name").alias("first"), F.collect_set("name").alias("names"))
-    x = a.join(firsts, ["stem", "suffix"], "left")
-    return x.select("audit_id", "original_filename", F.when(F.array_contains("names", F.col("original_filename")), F.col("original_filename")).otherwise(F.col("first")).alias("kept_as"))
+    """The kept file (name) of each logged original: of that name, else the first by name that starts with its
+    stem and ends with its suffix; else null.
+
+    Both are equality joins. For the second, every kept name is known by the beginnings of its stem, of the
+    lengths that the stems looked for have (a file name is short), reduced to the least name of each
+    beginning before it moves."""
+    stem, suffix = lambda c: F.regexp_extract(c, _NAME, 1), lambda c: F.regexp_extract(c, _NAME, 2)
+    names = kept.select("name").distinct()
+    a = log.select("audit_id", "original_filename")
+    exact = a.join(names.select(F.col("name").alias("original_filename"), F.col("name").alias("same")), "original_filename", "left")
+    open_ = exact.filter("same is null and original_filename is not null").select(stem("original_filename").alias("stem"), suffix("original_filename").alias("suffix")).distinct()
+    lengths = [r[0] for r in open_.select(F.length("stem")).distinct().collect()]  # as many as a file name is long at most
+    # A name ends with its own suffix and, as every name does, with none.
+    ends = F.array_distinct(F.array(F.struct(stem("name").alias("of"), suffix("name").alias("suffix")), F.struct(F.col("name").alias("of"), F.lit("").alias("suffix"))))
+    mine = names.select("name", F.explode(ends).alias("e")).select("name", "e.of", "e.suffix")
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("of")), lambda n: F.substring(F.col("of"), F.lit(1), n))
+    first = mine.select("suffix", "name", F.explode(starts).alias("stem")).groupBy("stem", "suffix").agg(F.min("name").alias("first"))
+    x = exact.withColumn("stem", stem("original_filename")).withColumn("suffix", suffix("original_filename")).join(first.join(open_, ["stem", "suffix"], "left_semi"), ["stem", "suffix"], "left")
+    return x.select("audit_id", "original_filename", F.coalesce("same", "first").alias("kept_as"))
 
 
 # Fixed result codes of a file.
@@ -118,8 +176,16 @@ def failure_reason(message: Column) -> Column:
 
 
 def trust_report(findings: DataFrame, documents: DataFrame) -> DataFrame:
-    """Extension: by month and document type, with totals: findings, share kept, additions by hand a document."""
-    d = documents.select("doc_id", F.date_format("received_at", "yyyy-MM").alias("month"), "doc_type")
-    x = findings.join(d, "doc_id").groupBy("month", "doc_type", "doc_id").agg(F.count("*").alias("n"), F.count_if("approved").alias("kept"), F.count_if(F.col("source") == D.SOURCE_MANUAL).alias("manual"))
-    g = x.groupingSets([["month", "doc_type"], ["month"], []], "month", "doc_type").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("documents"), F.sum("n").alias("findings"), F.sum("kept").alias("kept"), F.sum("manual").alias("manual"))
-    return g.select("month", "doc_type", "level", "documents", "findings", (F.col("kept") / F.col("findings")).alias("kept_share"), (F.col("manual") / F.col("documents")).alias("manual_per_document"))
+    """Extension: by day, week (its Monday) and month, and by document type within each, with totals: findings,
+    the shares of them kept and unchecked, additions by hand a document. ``span`` is day, week, month or all."""
+    at = F.col("received_at")
+    d = documents.select("doc_id", F.date_format(at, "yyyy-MM-dd").alias("day"), F.date_format(F.date_trunc("week", at), "yyyy-MM-dd").alias("week"), F.date_format(at, "yyyy-MM").alias("month"), "doc_type")
+    manual = F.col("source") == D.SOURCE_MANUAL
+    x = findings.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("approved").alias("kept"), F.count_if(~F.col("approved") & ~F.coalesce(manual, F.lit(False))).alias("unchecked"), F.count_if(manual).alias("manual")).join(d, "doc_id")
+    times = ["day", "week", "month"]
+    sets = [s for t in times for s in ([t, "doc_type"], [t])] + [[]]
+    total = lambda c: F.sum(c).alias(c)
+    g = x.groupingSets(sets, *times, "doc_type").agg(*[F.grouping(c).alias(f"_{c}") for c in [*times, "doc_type"]], F.count("*").alias("documents"), F.sum("n").alias("findings"), total("kept"), total("unchecked"), total("manual"))
+    span = F.when(F.col("_day") == 0, "day").when(F.col("_week") == 0, "week").when(F.col("_month") == 0, "month").otherwise("all")
+    share = lambda c: (F.col(c) / F.col("findings")).alias(f"{c}_share")
+    return g.select(span.alias("span"), F.coalesce(*times).alias("start"), (F.col("_doc_type") == 0).alias("by_type"), "doc_type", "documents", "findings", share("kept"), share("unchecked"), (F.col("manual") / F.col("documents")).alias("manual_per_document"))

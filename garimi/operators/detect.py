@@ -7,14 +7,29 @@ number of documents. ``explode`` it where rows are wanted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
 from garimi import patterns as P
-from garimi.functions.offsets import let, occurrences
-from garimi.functions.text import WS, line_end, line_start
+from garimi.functions.offsets import among, let, occurrences, pieces, placed, running
+from garimi.functions.text import WS, line_end
+
+MOST_WORDS = 20_000  # entries of a dictionary that may become part of a plan
+
+
+@dataclass(frozen=True)
+class Words:
+    """The dictionaries of a detection: surnames, and words that are never a name."""
 
+    surnames: Sequence[str] = tuple(D.SURNAMES)
+    exclude: Sequence[str] = tuple(D.EXCLUDE_WORDS)
+
+
+WORDS = Words()
 FINDING = "struct<type:string,value:string,start_pos:int,end_pos:int,grp:string,approved:boolean,confidence:string,confidence_ord:int,cross_validated:boolean,source:string>"
 
 
@@ -34,6 +49,21 @@ def _all(hits: Column, type_: str, **kw) -> Column:
     return F.transform(hits, lambda m: finding(type_, m["value"], m["start_pos"], **kw))
 
 
+# Within a detection each finding carries the start of its line and, of a phone number, whether a label stands
+# before it there.
+def _on_line(hits: Column, type_: str, labelled: bool = False, **kw) -> Column:
+    return F.transform(hits, lambda m: F.struct(finding(type_, m["value"], m["start_pos"], **kw).alias("f"), m["line"].alias("line"), (m["labelled"] if labelled else F.lit(False)).alias("labelled")))
+
+
+def _anywhere(found: Column) -> Column:
+    """Findings of types whose line plays no part."""
+    return F.transform(found, lambda f: F.struct(f.alias("f"), F.lit(-1).alias("line"), F.lit(False).alias("labelled")))
+
+
+def _plain(found: Column) -> Column:
+    return F.transform(found, lambda e: e["f"])
+
+
 def rrn_valid(v: Column) -> Column:
     """Whether ``dddddd-ddddddd`` ends in its check digit. Full-width digits count as digits; others don't."""
     digits = F.translate(v, "０１２３４５６７８９-", "0123456789")
@@ -41,18 +71,13 @@ def rrn_valid(v: Column) -> Column:
     return F.coalesce(digits.rlike("^[0-9]{13}$") & ((11 - total % 11) % 10 == F.substring(digits, 13, 1).try_cast("int")), F.lit(False))
 
 
-def _window(text: Column, start: Column) -> Column:
-    """The up to 15 characters before ``start`` on its line."""
-    low = F.greatest(F.lit(0), start - 15)
-    return F.substring_index(F.substring(text, low + 1, start - low), "\n", -1)
-
-
-def _near(text: Column, words: list[str]):
-    return lambda m: _window(text, m["start_pos"]).rlike("|".join(words))
+def _near(text: Column, pattern: str, needs: str, words: list[str]) -> Column:
+    """The matches with one of the words in the 15 characters before them on their line."""
+    return F.filter(placed(text, pattern, needs, before=15), lambda m: m["before"].rlike("|".join(words)))
 
 
 def phones(text: Column) -> Column:
-    return _all(occurrences(text, P.PHONE, "01"), D.PHONE, confidence=2)
+    return _plain(_phones(text))
 
 
 def emails(text: Column) -> Column:
@@ -68,56 +93,87 @@ def passports(text: Column) -> Column:
 
 
 def accounts(text: Column) -> Column:
-    return _all(F.filter(occurrences(text, P.ACCOUNT, "-"), _near(text, D.ACCOUNT_CONTEXT)), D.ACCOUNT, confidence=2)
+    return _all(_near(text, P.ACCOUNT, "-", D.ACCOUNT_CONTEXT), D.ACCOUNT, confidence=2)
 
 
 def cards(text: Column) -> Column:
-    return _all(F.filter(occurrences(text, P.CARD, "카드"), _near(text, D.CARD_CONTEXT)), D.CARD)
+    return _all(_near(text, P.CARD, "카드", D.CARD_CONTEXT), D.CARD)
 
 
 def after_labels(text: Column, pattern: str) -> Column:
-    """The two to four syllables right after each label, as (value, start_pos); labels without are left out."""
-    words = F.transform(occurrences(text, pattern), lambda m: F.struct(F.regexp_extract(F.substring(text, m["end_pos"] + 1, F.lit(10)), f"^{P.HANGUL}", 0).alias("value"), m["end_pos"].alias("start_pos")))
-    return F.filter(words, lambda w: w["value"] != "")
+    """The two to four syllables right after each label, as (value, start_pos, line); labels without are left out."""
 
+    def word(m: Column) -> Column:
+        line = F.when(F.contains(m["value"], F.lit("\n")), m["end_pos"] - F.length(F.substring_index(m["value"], "\n", -1))).otherwise(m["line"])
+        return F.struct(F.regexp_extract(m["after"], f"^{P.HANGUL}", 0).alias("value"), m["end_pos"].alias("start_pos"), line.cast("int").alias("line"))
 
-def surname_word(word: Column, surnames: list[str] = D.SURNAMES, exclude: list[str] = D.EXCLUDE_WORDS) -> Column:
-    """Not an excluded word, and starts with a surname: two equality tests, not a join on a prefix."""
-    one, two = [s for s in surnames if len(s) == 1], [s for s in surnames if len(s) == 2]
-    return ~word.isin(exclude) & (F.substring(word, 1, 1).isin(one) | F.substring(word, 1, 2).isin(two))
+    return F.filter(F.transform(placed(text, pattern, after=True), word), lambda w: w["value"] != "")
 
 
-def names(text: Column) -> Column:
-    """After name labels, after approval labels, after titles; the first rule to claim a span keeps it."""
-    is_name = lambda w: surname_word(w["value"])
-    basic = _all(F.filter(after_labels(text, P.NAME_LABEL), is_name), D.NAME)
-    approval = _all(F.filter(after_labels(text, P.BUSINESS_LABEL), is_name), D.NAME, grp=D.GROUP_BUSINESS, confidence=0)
-    titled = F.transform(occurrences(text, P.TITLE_NAME), lambda m: F.struct(F.regexp_extract(m["value"], f"{P.HANGUL}$", 0).alias("value"), m["end_pos"].alias("end_pos")))
-    titled = F.transform(titled, lambda m: F.struct(m["value"].alias("value"), (m["end_pos"] - F.length(m["value"])).alias("start_pos")))
-    titled = _all(F.filter(titled, is_name), D.NAME, grp=D.GROUP_BUSINESS, confidence=0)
-    return dedupe(F.concat(basic, approval, titled))
+def surname_word(word: Column, words: Words = WORDS) -> Column:
+    """Not an excluded word, and starts with a surname: equality tests by length, not a join on a prefix."""
+    starts = F.lit(False)
+    for n in sorted({len(s) for s in words.surnames}):
+        starts = starts | F.substring(word, 1, n).isin([s for s in words.surnames if len(s) == n])
+    return ~word.isin(list(words.exclude)) & starts
+
+
+def _names(text: Column, words: Words) -> Column:
+    """After name labels, after approval labels, after titles."""
+    is_name = lambda w: surname_word(w["value"], words)
+    basic = _on_line(F.filter(after_labels(text, P.NAME_LABEL), is_name), D.NAME)
+    approval = _on_line(F.filter(after_labels(text, P.BUSINESS_LABEL), is_name), D.NAME, grp=D.GROUP_BUSINESS, confidence=0)
+    last = lambda m: F.regexp_extract(m["value"], f"{P.HANGUL}$", 0)
+    titled = F.transform(placed(text, P.TITLE_NAME), lambda m: F.struct(last(m).alias("value"), (m["end_pos"] - F.length(last(m))).alias("start_pos"), m["line"].alias("line")))
+    titled = _on_line(F.filter(titled, is_name), D.NAME, grp=D.GROUP_BUSINESS, confidence=0)
+    return F.concat(basic, approval, titled)
+
+
+def names(text: Column, words: Words = WORDS) -> Column:
+    """Names by all rules; the first rule to claim a span keeps it."""
+    return dedupe(_plain(_names(text, words)))
 
 
 def addresses(text: Column) -> Column:
     """The rest of the line after an address label, if it starts with a region and says more than that."""
 
-    def value(m: Column) -> Column:
-        raw = F.substring(text, m["end_pos"] + 1, line_end(text, m["end_pos"]) - m["end_pos"])
+    def rest(g: Column, i: Column, end: Column) -> Column:
+        """Up to the newline in the gap that follows; only where another label stands on the line, by the text."""
+        gap = F.get(g, i + 1)
+        cut = F.contains(gap, F.lit("\n")) | (i + 2 == F.size(g))
+        return F.when(cut, F.substring_index(gap, "\n", 1)).otherwise(F.substring(text, end + 1, line_end(text, end) - end))
+
+    def value(raw: Column, end: Column) -> Column:
         v = F.regexp_replace(raw, f"^[{WS}]+|[{WS}]+$", "")
-        return F.struct(v.alias("value"), (m["end_pos"] + F.length(raw) - F.length(F.regexp_replace(raw, f"^[{WS}]+", ""))).alias("start_pos"), F.length(F.regexp_extract(v, f"^{P.REGION}", 0)).alias("region"))
+        return F.struct(v.alias("value"), (end + F.length(raw) - F.length(F.regexp_replace(raw, f"^[{WS}]+", ""))).cast("int").alias("start_pos"), F.length(F.regexp_extract(v, f"^{P.REGION}", 0)).alias("region"))
+
+    found = pieces(text, P.ADDRESS_LABEL, lambda m, g, ends: F.transform(m, lambda _, i: value(rest(g, i, F.get(ends, i)), F.get(ends, i))), F.array().cast("array<struct<value:string,start_pos:int,region:int>>"))
+    return _all(F.filter(found, lambda a: (a["region"] > 0) & (F.length(a["value"]) > a["region"])), D.ADDRESS, confidence=0)
+
 
-    found = F.filter(F.transform(occurrences(text, P.ADDRESS_LABEL), value), lambda a: (a["region"] > 0) & (F.length(a["value"]) > a["region"]))
-    return _all(found, D.ADDRESS, confidence=0)
+def _phones(text: Column) -> Column:
+    """Phone numbers with their line, and whether a phone label stands before them on it."""
 
+    def body(m: Column, g: Column, ends: Column) -> Column:
+        start = lambda v, i: F.get(ends, i) - F.length(v)
+        tail = lambda i: F.substring_index(F.get(g, i), "\n", -1)
+        lines = F.transform(m, lambda v, i: F.when(F.contains(F.get(g, i), F.lit("\n")), start(v, i) - F.length(tail(i))).otherwise(0).cast("int"))
+        labels = F.transform(m, lambda v, i: F.when(tail(i).rlike(P.PHONE_LABEL), start(v, i)).otherwise(-1).cast("int"))
+        hit = lambda v, i, ls, bs: F.struct(v.alias("value"), start(v, i).cast("int").alias("start_pos"), F.get(ls, i).alias("line"), (F.get(bs, i) >= F.get(ls, i)).alias("labelled"))
+        return let(running(lines, most=True), lambda ls: let(running(labels, most=True), lambda bs: F.transform(m, lambda v, i: hit(v, i, ls, bs))))
 
-DETECTORS = (phones, emails, rrns, passports, accounts, cards, names, addresses)
+    hits = pieces(text, P.PHONE, body, F.array().cast("array<struct<value:string,start_pos:int,line:int,labelled:boolean>>"), "01")
+    return _on_line(hits, D.PHONE, labelled=True, confidence=2)
 
 
-def dedupe(found: Column) -> Column:
-    """The first finding of each exact span, order kept; overlapping different spans all stay."""
-    span = lambda f: F.struct(f["start_pos"], f["end_pos"])
-    numbered = lambda fs: F.transform(fs, lambda f, i: F.struct(f.alias("f"), (F.array_position(F.transform(fs, span), span(f)) == i + 1).alias("first")))
-    return let(found, lambda fs: F.transform(F.filter(numbered(fs), lambda e: e["first"]), lambda e: e["f"]))
+def dedupe(found: Column, of=lambda e: e, by_start: bool = False) -> Column:
+    """The first finding of each exact span; overlapping different spans all stay. In their order, or by start,
+    equal starts in their order. By sorting: copies of a span are neighbours then."""
+    keyed = F.sort_array(F.transform(found, lambda e, i: F.struct(of(e)["start_pos"].alias("s"), of(e)["end_pos"].alias("t"), i.alias("i"), e.alias("e"))))
+    new = lambda k, x, i: (i == 0) | (F.get(k, i - 1)["s"] != x["s"]) | (F.get(k, i - 1)["t"] != x["t"])
+    rank = lambda x: F.struct((x["s"] if by_start else F.lit(0)).alias("s"), x["i"].alias("i"), x["e"].alias("e"))
+    firsts = let(keyed, lambda k: F.filter(k, lambda x, i: new(k, x, i)))
+    return F.transform(F.sort_array(F.transform(firsts, rank)), lambda x: x["e"])
 
 
 def _bumped(f: Column) -> Column:
@@ -125,59 +181,72 @@ def _bumped(f: Column) -> Column:
     return f.withField("confidence_ord", level).withField("confidence", _level(level)).withField("cross_validated", F.lit(True))
 
 
-def bump_phone_lines(text: Column, found: Column) -> Column:
+def bump_phone_lines(found: Column) -> Column:
     """Names on a line whose phone number has a phone label before it go up one level, once a line."""
-    prefix = lambda f: F.substring(text, line_start(text, f["start_pos"]) + 1, f["start_pos"] - line_start(text, f["start_pos"]))
-    lines = F.transform(F.filter(found, lambda f: (f["type"] == D.PHONE) & prefix(f).rlike(P.PHONE_LABEL)), lambda f: line_start(text, f["start_pos"]))
-    return let(lines, lambda ls: F.transform(found, lambda f: F.when((f["type"] == D.NAME) & F.array_contains(ls, line_start(text, f["start_pos"])), _bumped(f)).otherwise(f)))
+    lines = F.transform(F.filter(found, lambda e: e["labelled"]), lambda e: e["line"])
 
+    def bump(ls: Column) -> Column:
+        hot = among(F.transform(found, lambda e: e["line"]), ls)
+        up = F.zip_with(found, hot, lambda e, h: F.when(h & (e["f"]["type"] == D.NAME), e.withField("f", _bumped(e["f"]))).otherwise(e))
+        return F.when(F.size(ls) > 0, up).otherwise(found)
 
-def repeated_label_names(text: Column, found: Column) -> Column:
-    """If one name label leads to a found name, the syllables after the other such labels are candidates,
-    whatever their surname."""
-    ends = F.transform(occurrences(text, P.REPEATED_LABEL, D.REPEATED_NAME_LABEL), lambda m: m["end_pos"])
-    starts = F.transform(F.filter(found, lambda f: f["type"] == D.NAME), lambda f: f["start_pos"])
+    return let(lines, bump)
 
-    def added(s: Column) -> Column:
-        words = F.filter(after_labels(text, P.REPEATED_LABEL), lambda w: ~F.array_contains(s, w["start_pos"]))
-        new = _all(words, D.NAME, grp=D.GROUP_CROSS, confidence=0, crossed=True)
-        return F.when(F.arrays_overlap(ends, s), F.concat(found, new)).otherwise(found)
 
-    return let(starts, added)
+def repeated_label_names(text: Column, found: Column) -> Column:
+    """If one name label leads to a found name, the syllables after all such labels are candidates, whatever
+    their surname; those found already are dropped with the other copies of a span."""
+    starts = F.transform(F.filter(found, lambda e: e["f"]["type"] == D.NAME), lambda e: e["f"]["start_pos"])
 
+    def added(words: Column) -> Column:
+        new = _on_line(words, D.NAME, grp=D.GROUP_CROSS, confidence=0, crossed=True)
+        return F.when(F.arrays_overlap(F.transform(words, lambda w: w["start_pos"]), starts), F.concat(found, new)).otherwise(found)
 
-def cross_validate(text: Column, found: Column) -> Column:
-    return let(bump_phone_lines(text, found), lambda fs: repeated_label_names(text, fs))
+    return F.when(F.contains(text, F.lit(D.REPEATED_NAME_LABEL)), let(after_labels(text, P.REPEATED_LABEL), added)).otherwise(found)
 
 
-def by_start(found: Column) -> Column:
-    """In order of start; equal starts keep their order."""
-    keyed = F.array_sort(F.transform(found, lambda f, i: F.struct(f["start_pos"].alias("s"), i.alias("i"), f.alias("f"))))
-    return F.transform(keyed, lambda k: k["f"])
+NUMBERS = (emails, rrns, passports, accounts, cards)
 
 
-def raw_findings(text: Column) -> Column:
+def raw_findings(text: Column, words: Words = WORDS) -> Column:
     """All detectors in rule order."""
-    return F.concat(*[d(text) for d in DETECTORS])
+    return F.concat(phones(text), *[d(text) for d in NUMBERS], names(text, words), addresses(text))
 
 
-def detect_all(text: Column) -> Column:
-    """Findings of a text: detect, dedupe, cross-validate, dedupe, sort by start. Null text gives null."""
-    first = let(dedupe(raw_findings(text)), lambda fs: cross_validate(text, fs))
-    return F.when(text.isNotNull(), by_start(dedupe(first)))
+def detect_all(text: Column, words: Words = WORDS) -> Column:
+    """Findings of a text: detect, cross-validate, dedupe, sort by start. Null text gives null.
+
+    One dedupe at the end does for one before cross-validation as well: a name shares its span with other names
+    alone, all of which move up together, and lead to the same candidates."""
+    raw = F.concat(_phones(text), *[_anywhere(d(text)) for d in NUMBERS], _names(text, words), _anywhere(addresses(text)))
+    crossed = let(let(raw, bump_phone_lines), lambda fs: repeated_label_names(text, fs))
+    return F.when(text.isNotNull(), _plain(dedupe(crossed, lambda e: e["f"], by_start=True)))
 
 
 def hints(text: Column, found: Column) -> Column:
     """What looks like a number of a kind but fails its context or check digit, at no found span: for the
     reviewer only. Resident numbers, then account numbers, then card numbers."""
-    spans = F.transform(found, lambda f: F.struct(f["start_pos"], f["end_pos"]))
     kw = {"grp": D.GROUP_HINT, "confidence": 0, "source": D.SOURCE_HINT}
-    each = F.concat(
+    numbers = F.concat(
         _all(F.filter(occurrences(text, P.RRN, "-"), lambda m: ~rrn_valid(m["value"])), D.RRN + "(추정)", **kw),
         _all(occurrences(text, P.ACCOUNT, "-"), D.ACCOUNT + "(추정)", **kw),
         _all(occurrences(text, P.CARD), D.CARD + "(추정)", **kw),
     )
-    return let(spans, lambda s: F.filter(each, lambda f: ~F.array_contains(s, F.struct(f["start_pos"], f["end_pos"]))))
+    both = F.struct(numbers.alias("numbers"), found.alias("found"))
+    return let(both, lambda b: F.when(F.size(b["numbers"]) == 0, b["numbers"]).otherwise(_not_at(b["numbers"], b["found"])))
+
+
+def _not_at(items: Column, found: Column) -> Column:
+    """The items at no span of ``found``, in order: both sorted together, spans of ``found`` first. No span has more
+    than three items, one of each rule, so a span of ``found`` is at most three places ahead of its last one."""
+    tag = lambda xs, own: F.transform(xs, lambda f, i: F.struct(f["start_pos"].alias("s"), f["end_pos"].alias("t"), (i if own else F.lit(-1)).alias("i")))
+
+    def free(k: Column, x: Column, at: Column) -> Column:
+        held = [F.coalesce((y["i"] < 0) & (y["s"] == x["s"]) & (y["t"] == x["t"]), F.lit(False)) for y in (F.get(k, at - n) for n in (1, 2, 3))]
+        return (x["i"] >= 0) & ~(held[0] | held[1] | held[2])
+
+    kept = let(F.sort_array(F.concat(tag(found, False), tag(items, True))), lambda k: F.filter(k, lambda x, at: free(k, x, at)))
+    return F.transform(F.sort_array(F.transform(kept, lambda x: x["i"])), lambda i: F.get(items, i))
 
 
 def classify(v: Column) -> Column:
@@ -195,6 +264,6 @@ def exploded(documents: DataFrame, found: Column, *keep: str) -> DataFrame:
     return rows.select("doc_id", *keep, "f.*", "emit_ord")
 
 
-def findings(documents: DataFrame) -> DataFrame:
+def findings(documents: DataFrame, words: Words = WORDS) -> DataFrame:
     """The findings of all documents (doc_id, text)."""
-    return exploded(documents, detect_all(F.col("text")))
+    return exploded(documents, detect_all(F.col("text"), words))

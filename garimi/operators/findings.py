@@ -64,23 +64,3 @@ def count_map(findings: DataFrame) -> DataFrame:
     """doc_id, counts: a map of type to count, as the audit log holds it."""
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n"))))
     return counts_by_type(findings).filter("type is not null").groupBy("doc_id").agg(pairs.alias("counts"))
-
-
-def union_rules(*parts: DataFrame) -> DataFrame:
-    """Detector outputs one after the other, numbered by rule."""
-    out = parts[0].withColumn("rule_ord", F.lit(0))
-    for i, part in enumerate(parts[1:], 1):
-        out = out.unionByName(part.withColumn("rule_ord", F.lit(i)))
-    return out
-
-
-def without(findings: DataFrame, others: DataFrame, *on: str) -> DataFrame:
-    """Findings at no span of ``others``."""
-    return findings.join(others.select(*on).distinct(), list(on), "left_anti")
-
-
-def type_mix(findings: DataFrame) -> DataFrame:
-    """Findings of each type and confidence, over all documents."""
-    return findings.groupBy("type", "confidence").agg(F.count("*").alias("n"))
-
-

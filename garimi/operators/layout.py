@@ -67,7 +67,9 @@ def rotated_pages(spans: DataFrame) -> DataFrame:
 
 def hidden_content_pages(pages: DataFrame) -> DataFrame:
     """Pages with an annotation or a form field; an attachment or optional content marks all pages of its document."""
-    return pages.filter("has_annot or has_widget or embfile_count > 0 or has_ocg").select("doc_id", "page_index")
+    own = pages.filter("has_annot or has_widget").select("doc_id", "page_index")
+    whole = pages.filter("embfile_count > 0 or has_ocg").select("doc_id").distinct()
+    return own.unionByName(pages.select("doc_id", "page_index").join(whole, "doc_id", "left_semi")).distinct()
 
 
 def approval_gate(pages: DataFrame, warned: DataFrame, views: DataFrame) -> DataFrame:

@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
 from garimi.functions.text import strip_ws
+from garimi.operators.detect import MOST_WORDS, Words
 from garimi.operators.replay import PUT, REMOVE, instant
 
 
-def promotions(candidates: DataFrame, at: int = D.PROMOTE_AT) -> DataFrame:
-    """(word, direction, event_id): the event at which a word reaches ``at`` candidates and enters the
-    dictionary. Only each key's first ``at`` events matter: they are kept by a bounded aggregate before any row is ordered."""
-    clean = candidates.select("event_id", strip_ws(F.col("word")).alias("word"), "direction", instant(F.col("ts")).alias("tsz")).filter("word <> '' and direction is not null and tsz is not null and event_id is not null")
-    once = clean.groupBy("event_id").agg(F.min(F.struct("tsz", "word", "direction")).alias("e")).select("event_id", "e.*")
+DIRECTIONS = [D.EXCLUDE_DIRECTION, D.NAME_DIRECTION]
+
+
+def base_dictionary(spark: SparkSession) -> DataFrame:
+    """The dictionary before anything is learned: (word, direction)."""
+    rows = [(w, D.EXCLUDE_DIRECTION) for w in D.EXCLUDE_WORDS] + [(w, D.NAME_DIRECTION) for w in D.SURNAMES]
+    return spark.createDataFrame(rows, "word string, direction string")
+
+
+def learned_words(spark: SparkSession, standing: DataFrame) -> Words:
+    """The words of detection after learning: the base and the ``standing`` entries (word, direction) of the log.
+    They become part of the plan, so a dictionary of more than ``MOST_WORDS`` entries is an error."""
+    rows = base_dictionary(spark).unionByName(standing.filter(F.col("direction").isin(DIRECTIONS)).select("word", "direction")).distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"a dictionary of more than {MOST_WORDS} words is too large for a plan")
+    return Words(*(sorted(r["word"] for r in rows if r["direction"] == d) for d in (D.NAME_DIRECTION, D.EXCLUDE_DIRECTION)))
+
+
+def valid_candidates(candidates: DataFrame) -> DataFrame:
+    """event_id, word, direction, tsz. Left out: blank words, directions but the two that a dictionary has, and
+    events without an id or an instant, which have no place in the order."""
+    clean = candidates.select("event_id", strip_ws(F.col("word")).alias("word"), "direction", instant(F.col("ts")).alias("tsz"))
+    return clean.filter((F.col("word") != "") & F.col("direction").isin(DIRECTIONS) & F.col("tsz").isNotNull() & F.col("event_id").isNotNull())
+
+
+def promotions(candidates: DataFrame, dictionary: DataFrame, at: int = D.PROMOTE_AT) -> DataFrame:
+    """(word, direction, event_id): the event at which a word that ``dictionary`` (word, direction) doesn't hold
+    reaches ``at`` candidates and enters it. Only each key's first ``at`` events matter: they are kept by a
+    bounded aggregate before any row is ordered."""
+    once = valid_candidates(candidates).groupBy("event_id").agg(F.min(F.struct("tsz", "word", "direction")).alias("e")).select("event_id", "e.*")
     # Salted top-k: the first of each salt hold the first of all, so a word with a third of the rows is no hot task.
     salted = once.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(32)))
     w1 = Window.partitionBy("word", "direction", "salt").orderBy("tsz", "event_id")
     few = salted.withColumn("n", F.row_number().over(w1)).filter(F.col("n") <= at)
     w2 = Window.partitionBy("word", "direction").orderBy("tsz", "event_id")
-    return few.withColumn("n", F.row_number().over(w2)).filter(F.col("n") == at).select("word", "direction", "event_id")
+    reached = few.withColumn("n", F.row_number().over(w2)).filter(F.col("n") == at).select("word", "direction", "event_id")
+    return reached.join(dictionary.select("word", "direction").distinct(), ["word", "direction"], "left_anti")
 
 
 def log_events(log: DataFrame) -> DataFrame:
@@ -38,12 +65,14 @@ def recent_promotions(log: DataFrame, days: int = D.RECENT_DAYS, most: int = D.R
     return keep.orderBy(F.desc("tsz"), "word", "direction").limit(most).select("word", "direction", F.unix_micros("tsz").alias("promoted_us"))
 
 
-def epochs(candidates: DataFrame, log: DataFrame, at: int = D.PROMOTE_AT) -> DataFrame:
+def epochs(candidates: DataFrame, log: DataFrame, dictionary: DataFrame, at: int = D.PROMOTE_AT) -> DataFrame:
     """(word, direction, n_since, promote): candidates since the last reversal, which clears the history, and
-    whether they suffice to enter (again)."""
+    whether they suffice to enter (again); a word that ``dictionary`` holds needs not."""
     cut = log_events(log).filter(F.col("event") == REMOVE).groupBy("word", "direction").agg(F.max("tsz").alias("cut"))
-    clean = candidates.select("event_id", strip_ws(F.col("word")).alias("word"), "direction", instant(F.col("ts")).alias("tsz")).filter("word <> '' and direction is not null and tsz is not null and event_id is not null").distinct()
-    # Counted by day first, so that the join meets few rows of a frequent word.
+    clean = valid_candidates(candidates).distinct()
+    # Counted by instant first, so that the join meets few rows of a frequent word.
     by_time = clean.groupBy("word", "direction", "tsz").agg(F.count("*").alias("n"))
     x = by_time.join(cut, ["word", "direction"], "left").filter("cut is null or tsz > cut")
-    return x.groupBy("word", "direction").agg(F.sum("n").alias("n_since")).withColumn("promote", F.col("n_since") >= at)
+    out = x.groupBy("word", "direction").agg(F.sum("n").alias("n_since"))
+    out = out.join(dictionary.select("word", "direction", F.lit(True).alias("held")).distinct(), ["word", "direction"], "left")
+    return out.select("word", "direction", "n_since", ((F.col("n_since") >= at) & F.col("held").isNull()).alias("promote"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimi.functions.masking import mask_text, mask_value
+from garimi.functions.masking import mask_text, mask_value, standing, within
 from garimi.functions.offsets import each
 from garimi.operators import detect
 
@@ -28,9 +28,8 @@ def masked(documents: DataFrame, *keep: str) -> DataFrame:
 
 def leftovers(masked_rows: DataFrame) -> DataFrame:
     """Findings whose value still stands at its span after masking."""
-    left = F.filter("found", lambda f: F.substring(F.col("masked"), f["start_pos"] + 1, F.length(f["value"])) == f["value"])
-    rows = each(masked_rows, left, "f", "doc_id")
-    return rows.select("doc_id", "f.type", "f.value", "f.start_pos")
+    rows = each(masked_rows, F.arrays_zip(F.col("found").alias("f"), standing(F.col("masked"), F.col("found")).alias("left")), "x", "doc_id").filter("x.left")
+    return rows.select("doc_id", "x.f.type", "x.f.value", "x.f.start_pos")
 
 
 def redetected(masked_rows: DataFrame) -> DataFrame:
@@ -38,22 +37,39 @@ def redetected(masked_rows: DataFrame) -> DataFrame:
     return detect.exploded(masked_rows.select("doc_id", F.col("masked").alias("text")), detect.detect_all(F.col("text")))
 
 
-def gate(plan: DataFrame, left: DataFrame, documents: DataFrame) -> DataFrame:
-    """For every document the unmapped findings and leftovers; it may be published only with neither."""
+def _kinds() -> Column:
+    return F.array_distinct(F.transform("found", lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"))))
+
+
+def checks(masked_rows: DataFrame) -> DataFrame:
+    """doc_id, left_over, residue: how many findings still stand at their span after masking, and how many
+    different ones (by type and value) stand anywhere in the masked text, counted within the row."""
+    held = within(F.col("masked"), F.transform(_kinds(), lambda k: k["value"]))
+    n = lambda flags: F.size(F.array_remove(flags, False)).cast("long")  # no lambda: it may hold no Python function
+    return masked_rows.select("doc_id", n(standing(F.col("masked"), F.col("found"))).alias("left_over"), n(held).alias("residue"))
+
+
+def gate(plan: DataFrame, checked: DataFrame, hidden: DataFrame, documents: DataFrame) -> DataFrame:
+    """For every document what may not be there: findings that can't be placed (``redaction_plan``), findings
+    left over and values that stand anywhere in the masked text (``checks``), and hidden strings that still
+    hold one of their values (``scrub_hidden``). It may be published only with none of them."""
     a = plan.filter(~F.col("mapped")).groupBy("doc_id").agg(F.count("*").alias("unmapped"))
-    b = left.groupBy("doc_id").agg(F.count("*").alias("left_over"))
-    x = documents.select("doc_id").join(a, "doc_id", "left").join(b, "doc_id", "left")
-    x = x.select("doc_id", F.coalesce("unmapped", F.lit(0)).alias("unmapped"), F.coalesce("left_over", F.lit(0)).alias("left_over"))
-    return x.withColumn("publish", (F.col("unmapped") == 0) & (F.col("left_over") == 0))
+    b = checked.groupBy("doc_id").agg(F.sum("left_over").alias("left_over"), F.sum("residue").alias("residue"))
+    c = hidden.groupBy("doc_id").agg(F.count_if(~F.col("clean")).alias("unclean_hidden"))
+    x = documents.select("doc_id")
+    for part in (a, b, c):
+        x = x.join(part, "doc_id", "left")
+    counts = ["unmapped", "left_over", "residue", "unclean_hidden"]
+    x = x.select("doc_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts])
+    return x.withColumn("publish", F.greatest(*counts) == 0)
 
 
 def byte_residue(masked_rows: DataFrame) -> DataFrame:
     """Original values whose UTF-8 bytes still occur anywhere in the masked text. A value that also stands
     elsewhere, where no detector finds it, shows up here."""
-    kinds = F.array_distinct(F.transform("found", lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"))))
-    rows = each(masked_rows, kinds, "f", "doc_id", F.encode("masked", "UTF-8").alias("bytes"))
-    # Coalesced, so that no null test on the masked text is inferred and computed a second time below.
-    return rows.filter(F.coalesce(F.contains("bytes", F.encode("f.value", "UTF-8")), F.lit(False))).select("doc_id", "f.type", "f.value")
+    held = within(F.col("masked"), F.transform(_kinds(), lambda k: k["value"]))
+    rows = each(masked_rows, F.arrays_zip(_kinds().alias("k"), held.alias("left")), "x", "doc_id").filter("x.left")
+    return rows.select("doc_id", "x.k.type", "x.k.value")
 
 
 def retry_spans(findings: DataFrame, left: DataFrame) -> DataFrame:
@@ -65,5 +81,5 @@ def scrub_hidden(hidden: DataFrame) -> DataFrame:
     """Hidden strings (doc_id, kind, ord, content), each detected and masked by itself, without review.
     ``clean``: none of the original values is left."""
     rows = hidden.withColumn("found", detect.detect_all(F.col("content"))).withColumn("masked", mask_text(F.col("content"), F.col("found")))
-    clean = ~F.exists("found", lambda f: F.contains(F.col("masked"), f["value"]))
+    clean = F.when(F.col("found").isNotNull(), ~F.array_contains(within(F.col("masked"), F.transform("found", lambda f: f["value"])), True))
     return rows.select("doc_id", "kind", "ord", F.size("found").alias("n_found"), "masked", clean.alias("clean"))

@@ -207,7 +207,7 @@ _WORDS = (
     + occ(r"[^ \t\n]+", "(select *, start_pos as base from s where dir.dy = 0 and bbox is not null)", "text", "span_id, doc_id, page_index, base, fontsize, origin, bbox")
     + ")"
 )
-_PAGES = "pg as (select doc_id, page_index, (doc_id + page_index) % 7 = 0 as has_annot, doc_id % 11 = 0 and page_index = 1 as has_widget, (doc_id % 13 = 0)::int as embfile_count, doc_id % 17 = 0 as has_ocg from p), hid as (select doc_id, page_index from pg where has_annot or has_widget or embfile_count > 0 or has_ocg), rot as (select doc_id, page_index from s group by all having bool_or(abs(dir.dy) > 0.01))"
+_PAGES = "pg as (select doc_id, page_index, (doc_id + page_index) % 7 = 0 as has_annot, doc_id % 11 = 0 and page_index = 1 as has_widget, (doc_id % 13 = 0 and page_index = 0)::int as embfile_count, doc_id % 17 = 0 and page_index = 0 as has_ocg from p), hid as (select doc_id, page_index from pg where has_annot or has_widget or doc_id in (select doc_id from pg where embfile_count > 0 or has_ocg)), rot as (select doc_id, page_index from s group by all having bool_or(abs(dir.dy) > 0.01))"
 _CENTRE = f"{_bucket('(s_bbox.x0 + s_bbox.x1) / 2', 595.0)} as xb, {_bucket('(s_bbox.y0 + s_bbox.y1) / 2', 842.0)} as yb"
 _ANCHORS = (
     f"with s as (select distinct * from spans where bbox is not null), f as (select doc_id, regexp_extract(value, '{LAYOUT_LABEL}', 1) as label, start_pos, end_pos from {occ(LAYOUT_LABEL)}), "
@@ -230,7 +230,9 @@ _LAST_TS = (
     f"t as (select change_id, {trim('word')} as word, {trim('direction')} as direction, {trim('event')} as event, hit_count, {trim('ts')} as ts from promotion_log), "
     "z as (select distinct word, direction, event, change_id, hit_count, case when regexp_matches(ts, ':[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)$') then try_cast(ts as timestamptz) else try_cast(ts || '+09:00' as timestamptz) end as tsz from t where word <> '' and direction <> '' and event in ('반영', '정정', '취소') and change_id is not null)"
 )
-_EVENTS = f"e as (select distinct event_id, {trim('word')} as word, direction, case when regexp_matches({trim('ts')}, ':[0-9]{{2}}([.][0-9]+)?(Z|[+-][0-9]{{2}}(:?[0-9]{{2}})?)$') then try_cast({trim('ts')} as timestamptz) else try_cast({trim('ts')} || '+09:00' as timestamptz) end as tsz from candidate_events where {trim('word')} <> '' and direction is not null and event_id is not null)"
+_EVENTS = f"e as (select distinct event_id, {trim('word')} as word, direction, case when regexp_matches({trim('ts')}, ':[0-9]{{2}}([.][0-9]+)?(Z|[+-][0-9]{{2}}(:?[0-9]{{2}})?)$') then try_cast({trim('ts')} as timestamptz) else try_cast({trim('ts')} || '+09:00' as timestamptz) end as tsz from candidate_events where {trim('word')} <> '' and direction in ('{D.EXCLUDE_DIRECTION}', '{D.NAME_DIRECTION}') and event_id is not null)"
+_HELD = f"(direction = '{D.EXCLUDE_DIRECTION}' and word in {_list(D.EXCLUDE_WORDS)} or direction = '{D.NAME_DIRECTION}' and word in {_list(D.SURNAMES)})"
+_LEARNED = f"(value not in {_list(D.EXCLUDE_WORDS)} and value not in (select word from w where direction = '{D.EXCLUDE_DIRECTION}') and (substr(value, 1, 1) in {_list(_ONE)} or substr(value, 1, 2) in {_list(_TWO)} or exists (select 1 from w where direction = '{D.NAME_DIRECTION}' and starts_with(value, word))))"
 _P4 = (
     f"with {_LAST_TS}, o as (select *, (tsz, change_id) as seq from z where tsz is not null), "
     "s as (select word, direction, arg_max(event, seq) filter (event <> '정정') as last_set, max(seq) filter (event <> '정정') as set_at, arg_max(change_id, seq) as change_id from o group by all), "
@@ -238,9 +240,13 @@ _P4 = (
 )
 
 
+def _renamed(ctes: str) -> str:
+    """The detection and masking CTEs under other names."""
+    return re.sub(r"\b(raw0|once|lined|hot|bumped|ends|starts|repeats|extra|everything|det0|det|mk|fold)\b|\bmasked\b(?= as \(|$)", lambda m: f"{m[0]}_m", ctes)
+
+
 def _again(source: str, text: str) -> str:
-    """The detection CTEs under other names, over an earlier CTE."""
-    return re.sub(r"\b(raw0|once|lined|hot|bumped|ends|starts|repeats|extra|everything|det0|det)\b", r"\1_m", detect_ctes(source, text))
+    return _renamed(detect_ctes(source, text))
 
 
 def _rule(i: int) -> str:
@@ -264,7 +270,7 @@ ORACLE = {
     "n2_surname_word": f"select distinct value, {_IS_NAME} as is_name from {_after(D.NAME_LABELS)}",
     "n6_names": f"with r as ({' union all '.join(f'select doc_id, {i} as rule, ord, value, start_pos, {conf} as conf, {chr(39)}{g}{chr(39)} as grp from ({rows})' for i, (k, conf, g, rows) in enumerate(_rules()) if k == D.NAME)}) select doc_id, value, start_pos, grp, {LEVEL} as confidence from r qualify row_number() over (partition by doc_id, start_pos, length(value) order by rule, ord) = 1",
     "n8_hints": DETECT + f", h as (select doc_id, '{D.RRN}(추정)' as type, value, start_pos, end_pos from {occ(RRN)} where not {_rrn_ok('value')} union all select doc_id, '{D.ACCOUNT}(추정)', value, start_pos, end_pos from {occ(ACCOUNT)} union all select doc_id, '{D.CARD}(추정)', value, start_pos, end_pos from {occ(CARD)} where {_FREE}) select doc_id, type, value, start_pos, '{D.GROUP_HINT}' as grp from h where not exists (select 1 from det d where d.doc_id = h.doc_id and d.start_pos = h.start_pos and d.end_pos = h.end_pos)",
-    "g1_union": f"with {detect_ctes().split(', once as')[0]}, nm as (select * from raw0 where type = '{D.NAME}' qualify row_number() over (partition by doc_id, start_pos, end_pos order by rule, ord) = 1) select type, count(*) as n from (select type from raw0 where type <> '{D.NAME}' union all select type from nm) group by 1",
+    "g1_union": f"with {detect_ctes().split(', once as')[0]}, nm as (select * from raw0 where type <> '{D.NAME}' union all select * from raw0 where type = '{D.NAME}' qualify row_number() over (partition by doc_id, start_pos, end_pos order by rule, ord) = 1) select doc_id, (row_number() over (partition by doc_id order by rule, ord) - 1)::int as emit_ord, type, value, start_pos, grp from nm",
     "g2_first_of_span": _F + " select finding_id, doc_id, start_pos, end_pos from f qualify row_number() over (partition by doc_id, start_pos, end_pos order by emit_ord, finding_id) = 1",
     "g3_document_order": _F + f" select finding_id, (row_number() over (partition by doc_id order by {_ORDER}))::int as position from f",
     "g4_review_order": _F + f" select finding_id, (row_number() over (partition by doc_id order by coalesce(confidence_ord, -1), {_ORDER}))::int as review_position from f",
@@ -272,15 +278,17 @@ ORACLE = {
     "g6_counts_by_type": _F + " select doc_id, type, count(*) as n from f where approved group by all",
     "g7_findings_per_page": _F + f" select doc_id, page, count(*) as n from {_PAGE_OF} group by all",
     "g8_history": "select audit_id, logged_at, processor, original_filename, output_filename, masked_counts, review_seconds, case when rotated_text_warning then '⚠ 있음' else '' end as rotated_text, case when hidden_content_warning then '⚠ 있음' else '' end as hidden_content from audit_log",
-    "g9_originals": r"with k as (select distinct original_filename as name, regexp_extract(original_filename, '^(.+?)(\(\d+\))?(\.[^.]*)?$', 1) as stem, regexp_extract(original_filename, '^(.+?)(\(\d+\))?(\.[^.]*)?$', 3) as suffix from archived_keys where original_filename is not null), a as (select audit_id, original_filename, regexp_extract(original_filename, '^(.+?)(\(\d+\))?(\.[^.]*)?$', 1) as stem, regexp_extract(original_filename, '^(.+?)(\(\d+\))?(\.[^.]*)?$', 3) as suffix from audit_log) select audit_id, a.original_filename, coalesce(min(case when k.name = a.original_filename then k.name end), min(k.name)) as kept_as from a left join k on k.stem = a.stem and k.suffix = a.suffix group by all",
+    "g9_originals": "with k as (select distinct original_filename as name from archived_keys where original_filename is not null), a as (select distinct original_filename as f, regexp_extract(original_filename, '^(.+?)(\.[^.]*)?$', 1) as stem, regexp_extract(original_filename, '^(.+?)(\.[^.]*)?$', 2) as suffix from audit_log where original_filename is not null), m as (select f, coalesce(min(case when name = f then name end), min(case when starts_with(name, stem) and ends_with(name, suffix) and length(name) >= length(stem) + length(suffix) then name end)) as kept_as from a join k on starts_with(k.name, a.stem) group by f) select audit_id, original_filename, kept_as from audit_log left join m on f = original_filename",
     "g10_recent_promotions": f"with {_LAST_TS}, v as (select distinct word, direction, event, change_id, tsz from z where tsz is not null and event <> '정정'), l as (select word, direction, tsz, event from v qualify row_number() over (partition by word, direction order by tsz desc, change_id) = 1) select word, direction, epoch_us(tsz) as promoted_us from l where event = '반영' and tsz >= (select max(tsz) from v) - interval 7 days order by tsz desc, word, direction limit 5",
     "g11_batch_summary": f"select code, count(*) as files, {_REASON} as reason from (select {_CODE} as code from audit_log) group by code",
     "g12_accuracy": _PRED + ", j as (select coalesce(g.type, p.type) as type, g.case_id is not null as g, p.case_id is not null as p from (select distinct case_id, type, start_pos, end_pos from g1) g full join pr p on p.case_id = g.case_id and p.type = g.type and p.start_pos = g.start_pos and p.end_pos = g.end_pos), n as (select type, count(*) filter (g and p) as hits, count(*) filter (p) as predicted, count(*) filter (g) as gold from j group by 1) select *, case when predicted > 0 then hits / predicted else 'nan'::double end as precision, case when gold > 0 then hits / gold else 'nan'::double end as recall from n",
     "g12_misses": _PRED + " select case_id, type, start_pos, end_pos, value from g1 g where not exists (select 1 from pr p where p.case_id = g.case_id and p.type = g.type and p.start_pos = g.start_pos and p.end_pos = g.end_pos)",
-    "g13_trust_report": _F + f", x as (select strftime(d.received_at, '%Y-%m') as month, d.doc_type, f.doc_id, count(*) as n, count(*) filter (approved) as kept, count(*) filter (f.source = '{D.SOURCE_MANUAL}') as manual from f join documents d using (doc_id) group by all) select month, doc_type, grouping(month, doc_type)::int as level, count(*) as documents, sum(n)::bigint as findings, sum(kept) / sum(n) as kept_share, sum(manual) / count(*) as manual_per_document from x group by grouping sets ((month, doc_type), (month), ())",
+    "g13_trust_report": _F + f", x as (select strftime(d.received_at, '%Y-%m-%d') as day, strftime(date_trunc('week', d.received_at), '%Y-%m-%d') as week, strftime(d.received_at, '%Y-%m') as month, d.doc_type, f.doc_id, count(*) as n, count(*) filter (approved) as kept, count(*) filter (not approved and coalesce(f.source, '') <> '{D.SOURCE_MANUAL}') as unchecked, count(*) filter (f.source = '{D.SOURCE_MANUAL}') as manual from f join documents d using (doc_id) group by all), "
+    "y as (" + " union all ".join(f"select '{t}' as span, {t} as start, {b} as by_type, doc_type, n, kept, unchecked, manual from x" for t in ("day", "week", "month") for b in ("true",)) + " union all " + " union all ".join(f"select '{t}' as span, {t} as start, false as by_type, null as doc_type, n, kept, unchecked, manual from x" for t in ("day", "week", "month")) + " union all select 'all', null, false, null, n, kept, unchecked, manual from x) "
+    "select span, start, by_type, doc_type, count(*) as documents, sum(n)::bigint as findings, sum(kept) / sum(n) as kept_share, sum(unchecked) / sum(n) as unchecked_share, sum(manual) / count(*) as manual_per_document from y group by all",
     "x_detect_all": DETECT + f" select doc_id, type, value, start_pos, end_pos, grp, {LEVEL} as confidence, conf as confidence_ord, crossed as cross_validated, '{D.SOURCE_AUTO}' as source, emit as emit_ord from det",
-    "x1_bumped_names": DETECT + f" select grp, {LEVEL} as confidence, count(*) as n from det where crossed and grp <> '{D.GROUP_CROSS}' group by all",
-    "x2_candidates": DETECT + f" select doc_id, value, start_pos from det where grp = '{D.GROUP_CROSS}'",
+    "x1_bumped_names": DETECT + f" select doc_id, value, start_pos, grp, {LEVEL} as confidence from det where crossed and grp <> '{D.GROUP_CROSS}'",
+    "x2_candidates": "with tw as (select doc_id, text || chr(10) || '성명: 김가람' || chr(10) || '성명: 쀼룽이' || chr(10) as text from documents where text is not null), " + detect_ctes("tw") + f" select doc_id, value, start_pos from det where grp = '{D.GROUP_CROSS}'",
     "m1_m8_masks": "select value, " + ", ".join(f"{x} as as_{k}" for k, x in _M.items()) + " from (select distinct value from findings where value <> '')",
     "m9_mask_by_type": _F + f" select finding_id, type, {mask_by_type('type', 'value')} as mask from f",
     "m10_full_policy": _F + f" select finding_id, {mask_by_type('type', 'value', True)} as mask from f where type in {_list([D.ACCOUNT, D.CARD, D.RRN])}",
@@ -300,8 +308,9 @@ ORACLE = {
     "t5_signatures": _ANCHORS + " select * from an",
     "t6_similarities": _TEMPLATES + " select * from sim",
     "t7_best_match": _TEMPLATES + " select doc_id, template_id, score from sim where score >= 0.6 qualify row_number() over (partition by doc_id order by score desc, template_id) = 1",
-    "u1_promotions": f"with {_EVENTS} select word, direction, event_id from e where tsz is not null qualify row_number() over (partition by word, direction order by tsz, event_id) = 3",
-    "u2_epochs": f"with {_LAST_TS}, {_EVENTS}, c as (select word, direction, max(tsz) as cut from z where event = '취소' group by all) select e.word, e.direction, count(*) as n_since, count(*) >= 3 as promote from e left join c using (word, direction) where e.tsz is not null and (cut is null or e.tsz > cut) group by all",
+    "u1_promotions": f"with {_EVENTS} select word, direction, event_id from e where tsz is not null and not {_HELD} qualify row_number() over (partition by word, direction order by tsz, event_id) = 3",
+    "u2_epochs": f"with {_LAST_TS}, {_EVENTS}, c as (select word, direction, max(tsz) as cut from z where event = '취소' group by all) select e.word, e.direction, count(*) as n_since, count(*) >= 3 and not bool_or({_HELD.replace('word', 'e.word').replace('direction', 'e.direction')}) as promote from e left join c using (word, direction) where e.tsz is not null and (cut is null or e.tsz > cut) group by all",
+    "u5_learned_names": _P4 + f", w as (select word, direction from s where last_set = '반영'), r as ({' union all '.join(f'select doc_id, {i} as rule, ord, value, start_pos, {chr(39)}{g}{chr(39)} as grp from ({rows.replace(_IS_NAME, _LEARNED)})' for i, (k, _, g, rows) in enumerate(_rules()) if k == D.NAME)}) select doc_id, value, start_pos, grp from r qualify row_number() over (partition by doc_id, start_pos, length(value) order by rule, ord) = 1",
     "u3_learning_signals": _F + f" select doc_id, finding_id, case when source = '{D.SOURCE_MANUAL}' then substr(value, 1, 1) else value end as word, case when source = '{D.SOURCE_MANUAL}' then '{D.NAME_DIRECTION}' else '{D.EXCLUDE_DIRECTION}' end as direction from f where type = '{D.NAME}' and value <> '' and ((source = '{D.SOURCE_AUTO}' and not approved) or source = '{D.SOURCE_MANUAL}')",
     "r1_apply_decisions": _F + " select f.finding_id, case when exists (select 1 from f g where g.finding_id % 4 = 0 and g.doc_id = f.doc_id and g.start_pos = f.start_pos and g.end_pos = f.end_pos) then f.start_pos % 2 = 0 else true end as approved from f",
     "r2_set_all": _F + " select finding_id, case when exists (select 1 from documents d where d.doc_id = f.doc_id and d.doc_id % 3 = 0) then f.doc_id % 2 = 0 else approved end as approved from f",
@@ -315,7 +324,9 @@ ORACLE = {
     "v4_byte_residue": _MASKED + " select distinct d.doc_id, d.type, d.value from det d join masked m using (doc_id) where contains(m.masked, d.value)",
     "v3_hidden": f"with h as (select finding_id as hid, '메모: 연락처 010-9999-8888, ' || coalesce(type, '기타') || ': ' || coalesce(value, '') as content from (select distinct * from findings)), {masked_ctes('h', 'content', 'hid')} select hid as ord, (select count(*) from det d where d.hid = m.hid)::int as n_found, masked, not exists (select 1 from det d where d.hid = m.hid and contains(m.masked, d.value)) as clean from masked m",
     "v3_redetected": _MASKED + ", " + _again("masked", "masked") + " select type, count(*) as n from det_m group by 1",
-    "v5_gate": _MASKED + f", f as (select distinct * from findings), x as (select f.*, d.text, {mask_by_type('f.type', 'f.value')} as mask from f left join documents d using (doc_id) where approved), u as (select doc_id, count(*) as unmapped from x where not coalesce(substr(text, start_pos + 1, end_pos - start_pos) = value and length(mask) = length(value), false) group by 1), l as (select d.doc_id, count(*) as left_over from det d join masked m using (doc_id) where substr(m.masked, d.start_pos + 1, length(d.value)) = d.value group by 1) select doc_id, coalesce(unmapped, 0) as unmapped, coalesce(left_over, 0) as left_over, unmapped is null and left_over is null as publish from documents left join u using (doc_id) left join l using (doc_id)",
+    "v5_gate": _MASKED + f", f as (select distinct * from findings), x as (select f.*, d.text, {mask_by_type('f.type', 'f.value')} as mask from f left join documents d using (doc_id) where approved), u as (select doc_id, count(*) as unmapped from x where not coalesce(substr(text, start_pos + 1, end_pos - start_pos) = value and length(mask) = length(value), false) group by 1), l as (select d.doc_id, count(*) as left_over from det d join masked m using (doc_id) where substr(m.masked, d.start_pos + 1, length(d.value)) = d.value group by 1), "
+    f"r as (select d.doc_id, count(distinct (d.type, d.value)) as residue from det d join masked m using (doc_id) where contains(m.masked, d.value) group by 1), h as (select finding_id as hid, doc_id as of, '메모: 연락처 010-9999-8888, ' || coalesce(type, '기타') || ': ' || coalesce(value, '') as content from f), {_renamed(masked_ctes('h', 'content', 'hid'))}, hu as (select h.of as doc_id, count(*) as unclean_hidden from h join masked_m m using (hid) where exists (select 1 from det_m d where d.hid = m.hid and contains(m.masked, d.value)) group by 1) "
+    "select doc_id, coalesce(unmapped, 0) as unmapped, coalesce(left_over, 0) as left_over, coalesce(residue, 0) as residue, coalesce(unclean_hidden, 0) as unclean_hidden, unmapped is null and left_over is null and residue is null and unclean_hidden is null as publish from documents left join u using (doc_id) left join l using (doc_id) left join r using (doc_id) left join hu using (doc_id)",
     "s1_rebuild_text": _F + " select doc_id, page_index, string_agg(text, chr(10) order by span_ord, span_id) || chr(10) as text from s where text <> '' group by all",
     "s2_page_sizes": _F + " select doc_id, page_index, 595.0::double as width, 842.0::double as height from p",
     "s3_dictionary": f"select distinct {trim('word')} as word from candidate_events where {trim('word')} <> ''",
@@ -326,7 +337,9 @@ ORACLE = {
     "k3_content_hash": "select doc_id, sha256(text) as sha256 from documents",
     "k4_summary": "with p as (select audit_id, string_agg('  - ' || split_part(p, ':', 1) || ': ' || split_part(p, ':', 2) || '건', chr(10) order by i) as l from (select audit_id, unnest(string_split(masked_counts, ';')) as p, unnest(range(len(string_split(masked_counts, ';')))) as i from audit_log) where p <> '' group by 1), w as (select *, concat_ws(chr(10), case when rotated_text_warning then '  - ⚠ 회전된 텍스트가 있습니다. 자동 탐지가 놓쳤을 수 있으니 육안으로 재확인하세요.' end, case when hidden_content_warning then '  - ⚠ 주석/폼필드/첨부파일 등 숨겨진 콘텐츠가 있습니다. 별도 확인이 필요합니다.' end) as warn from audit_log) select audit_id, '처리 결과 요약' || chr(10) || '================' || chr(10) || '원본 파일명 : ' || coalesce(original_filename, '') || chr(10) || '처리일시    : ' || coalesce(logged_at, '') || chr(10) || '처리자      : ' || coalesce(processor, '') || chr(10) || '결과물 파일명: ' || coalesce(output_filename, '') || chr(10) || '마스킹 유형별 건수:' || chr(10) || coalesce(l, '  (없음)') || chr(10) || case when warn = '' then '' else chr(10) || '경고 사항:' || chr(10) || warn || chr(10) end as report from w left join p using (audit_id)",
     "k5_output_names": r"""with u as (select regexp_extract(output_filename, '^.+_(\d{8})_(\d{3,})\.pdf$', 1) as day, try_cast(regexp_extract(output_filename, '^.+_(\d{8})_(\d{3,})\.pdf$', 2) as int) as n from audit_log), t as (select day, max(n) as top from u where day <> '' group by 1), b as (select doc_id, doc_type, strftime(received_at, '%Y%m%d') as day from documents where received_at is not null), x as (select b.*, (coalesce(top, 0) + row_number() over (partition by day order by doc_id))::int as serial from b left join t using (day)) select doc_id, day, serial, coalesce(doc_type, '기타') || '_' || day || '_' || case when serial < 1000 then lpad(serial::varchar, 3, '0') else serial::varchar end || '.pdf' as output_filename from x""",
-    "k6_unique_names": r"with x as (select audit_id as id, trim(original_filename) as name from audit_log where original_filename is not null), n as (select *, row_number() over (partition by name order by id) - 1 as n from x) select id, case when n = 0 then name else regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) || '(' || n || ')' || regexp_extract(name, '^(.+?)(\.[^.]*)?$', 2) end as dest from n",
+    "k6_unique_names": r"""with x as (select audit_id as id, trim(original_filename) as name, regexp_extract(trim(original_filename), '^(.+?)(\.[^.]*)?$', 1) as stem, regexp_extract(trim(original_filename), '^(.+?)(\.[^.]*)?$', 2) as suffix from audit_log where original_filename is not null), e as (select distinct trim(original_filename) as name from archived_keys where original_filename is not null), """
+    r"""n as (select x.*, row_number() over (partition by name order by id) - (case when name in (select name from e) then 0 else 1 end) as k from x), g as (select name, any_value(stem) as stem, any_value(suffix) as suffix, max(k) as most from n group by 1), free as (select name, i, row_number() over (partition by name order by i) as k from (select g.name, stem, suffix, unnest(range(1, most + 1000))::bigint as i from g where most > 0) q where stem || '(' || i || ')' || suffix not in (select name from e)) """
+    "select id, case when k = 0 then n.name else stem || '(' || i || ')' || suffix end as dest from n left join free using (name, k)",
     "k7_already_processed": "select audit_id, audit_id % 3 = 0 or audit_id % 4 = 0 as processed from audit_log",
     "k8_processor": "select audit_id, coalesce(nullif(trim(processor), ''), 'user') as processor from audit_log",
     "p4_found": _P4 + "select word, direction, change_id from s where last_set = '반영'",

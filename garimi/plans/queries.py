@@ -48,9 +48,8 @@ def _names(f: DataFrame) -> DataFrame:
 def flagship(s, d):
     """Detect, mask and verify every document; findings and leftovers by document type and type."""
     m = verify.masked(_docs(s, d), "doc_type")
-    rows = each(m, F.col("found"), "f", "doc_type", "masked")
-    left = F.substring("masked", F.col("f.start_pos") + 1, F.length("f.value")) == F.col("f.value")
-    return rows.groupBy("doc_type", F.col("f.type").alias("type")).agg(F.count("*").alias("n_findings"), F.count_if(left).alias("n_left"))
+    rows = each(m, F.arrays_zip(F.transform("found", lambda f: f["type"]).alias("type"), M.standing(F.col("masked"), F.col("found")).alias("left")), "x", "doc_type")
+    return rows.groupBy("doc_type", F.col("x.type").alias("type")).agg(F.count("*").alias("n_findings"), F.count_if("x.left").alias("n_left"))
 
 
 def _plain(s, d, array):
@@ -112,8 +111,9 @@ def n8_hints(s, d):
 
 @query
 def g1_union(s, d):
-    rows = each(_docs(s, d), detect.raw_findings(F.col("text")), "f")
-    return rows.groupBy("f.type").agg(F.count("*").alias("n"))
+    """Every finding of every rule, in their order, before any is dropped."""
+    rows = detect.exploded(_docs(s, d), detect.raw_findings(F.col("text")))
+    return rows.select("doc_id", "emit_ord", "type", "value", "start_pos", "grp")
 
 
 @query
@@ -190,12 +190,17 @@ def x_detect_all(s, d):
 
 @query
 def x1_bumped_names(s, d):
-    return detect.findings(_docs(s, d)).filter(f"cross_validated and grp <> '{D.GROUP_CROSS}'").groupBy("grp", "confidence").agg(F.count("*").alias("n"))
+    return detect.findings(_docs(s, d)).filter(f"cross_validated and grp <> '{D.GROUP_CROSS}'").select("doc_id", "value", "start_pos", "grp", "confidence")
+
+
+def _named_twice(s, d):
+    """The documents, each followed by two lines that a form with a second signatory would have."""
+    return _docs(s, d).filter("text is not null").withColumn("text", F.concat("text", F.lit("\n성명: 김가람\n성명: 쀼"), F.lit("룽이\n")))
 
 
 @query
 def x2_candidates(s, d):
-    return detect.findings(_docs(s, d)).filter(F.col("grp") == D.GROUP_CROSS).select("doc_id", "value", "start_pos")
+    return detect.findings(_named_twice(s, d)).filter(F.col("grp") == D.GROUP_CROSS).select("doc_id", "value", "start_pos")
 
 
 @query
@@ -245,7 +250,8 @@ def l4_rotation(s, d):
 def _pages(s, d):
     p = _spans(s, d).select("doc_id", "page_index").distinct()
     k = F.col("doc_id")
-    return p.withColumns({"has_annot": (k + F.col("page_index")) % 7 == 0, "has_widget": (k % 11 == 0) & (F.col("page_index") == 1), "embfile_count": (k % 13 == 0).cast("int"), "has_ocg": k % 17 == 0})
+    first = F.col("page_index") == 0  # an attachment and a layer are noted on one page only, and mark all
+    return p.withColumns({"has_annot": (k + F.col("page_index")) % 7 == 0, "has_widget": (k % 11 == 0) & (F.col("page_index") == 1), "embfile_count": ((k % 13 == 0) & first).cast("int"), "has_ocg": (k % 17 == 0) & first})
 
 
 @query
@@ -334,12 +340,20 @@ def t12_suggestions(s, d):
 
 @query
 def u1_promotions(s, d):
-    return learning.promotions(table(s, d, "candidate_events"))
+    return learning.promotions(table(s, d, "candidate_events"), learning.base_dictionary(s))
 
 
 @query
 def u2_epochs(s, d):
-    return learning.epochs(table(s, d, "candidate_events"), table(s, d, "promotion_log"))
+    return learning.epochs(table(s, d, "candidate_events"), table(s, d, "promotion_log"), learning.base_dictionary(s))
+
+
+@query
+def u5_learned_names(s, d):
+    """Names of all documents by the dictionary as it stands after the whole log."""
+    words = learning.learned_words(s, p4_state(s, d))
+    rows = each(_docs(s, d), detect.names(F.col("text"), words), "f", "doc_id")
+    return rows.select("doc_id", "f.value", "f.start_pos", "f.grp")
 
 
 @query
@@ -393,6 +407,7 @@ def r5_search(s, d):
 
 @query
 def r6_undo_redo(s, d):
+    """Each finding an action: most set a target, some undo; a redo directly after an undo takes it back."""
     k = F.col("finding_id")
     kind = F.when(k % 5 == 3, "undo").when(k % 7 == 5, "redo").otherwise("set")
     a = _findings(s, d).select("doc_id", k.cast("int").alias("seq"), kind.alias("kind"), (k % 4).alias("target"), (k % 3 == 0).alias("approve"))
@@ -416,10 +431,14 @@ def v1_leftovers(s, d):
     return verify.leftovers(verify.masked(_docs(s, d)))
 
 
+def _hidden(s, d):
+    f = _findings(s, d).select("doc_id", F.lit("annot").alias("kind"), F.col("finding_id").alias("ord"), F.concat(F.lit("메모: 연락처 010-9999-8888, "), F.coalesce("type", F.lit("기타")), F.lit(": "), F.coalesce("value", F.lit(""))).alias("content"))
+    return spread(f)
+
+
 @query
 def v3_hidden(s, d):
-    f = _findings(s, d).select("doc_id", F.lit("annot").alias("kind"), F.col("finding_id").alias("ord"), F.concat(F.lit("메모: 연락처 010-9999-8888, "), F.coalesce("type", F.lit("기타")), F.lit(": "), F.coalesce("value", F.lit(""))).alias("content"))
-    return verify.scrub_hidden(spread(f)).select("ord", "n_found", "masked", "clean")
+    return verify.scrub_hidden(_hidden(s, d)).select("ord", "n_found", "masked", "clean")
 
 
 @query
@@ -435,7 +454,7 @@ def v4_byte_residue(s, d):
 @query
 def v5_gate(s, d):
     docs = _docs(s, d)
-    return verify.gate(verify.redaction_plan(_findings(s, d), docs), verify.leftovers(verify.masked(docs)), docs)
+    return verify.gate(verify.redaction_plan(_findings(s, d), docs), verify.checks(verify.masked(docs)), verify.scrub_hidden(_hidden(s, d)), docs)
 
 
 @query
@@ -493,7 +512,8 @@ def k5_output_names(s, d):
 @query
 def k6_unique_names(s, d):
     files = table(s, d, "audit_log").filter("original_filename is not null").select(F.col("audit_id").alias("id"), F.trim("original_filename").alias("name"))
-    return audit.unique_names(files).select("id", "dest")
+    there = table(s, d, "archived_keys").filter("original_filename is not null").select(F.trim("original_filename").alias("name"))
+    return audit.unique_names(files, there).select("id", "dest")
 
 
 @query

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +46,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHUFFLING = ("Aggregate", "Join", "Window", "Exchange", "Sort", "Repartition")
+@contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``staged`` for the time of a ``with`` block, for batches of a stream that never ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/garimi-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Logical operators behind which a plan's partitions are those of a shuffle.
+_SHUFFLING = {"Aggregate", "Join", "Window", "Sort", "Repartition", "RepartitionByExpression", "Distinct", "Deduplicate"}
+
+
+def _operators(node) -> Iterator[str]:
+    yield node.nodeName()
+    children = node.children()
+    for i in range(children.size()):
+        yield from _operators(children.apply(i))
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
@@ -52,7 +75,6 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     input files. A plain scan that has enough already is left as it is; anything behind a shuffle is
     repartitioned outright, for asking an adaptive plan for its partitions would run it."""
     least = least or df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if any(word in plan for word in _SHUFFLING):
+    if _SHUFFLING.intersection(_operators(df._jdf.queryExecution().optimizedPlan())):
         return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)

@@ -87,3 +87,22 @@ def test_literal_occurrences(spark):
     df = spark.createDataFrame([(t, v) for t, v, _ in rows], "t string, v string")
     got = [[o.start_pos for o in r.o] for r in df.select(literal_occurrences(F.col("t"), F.col("v")).alias("o")).collect()]
     assert got == [w for *_, w in rows]
+
+
+def test_learned_words(spark):
+    from garimi.operators import learning
+
+    standing = spark.createDataFrame([("뷁", "이름후보"), ("김철수", "제외"), ("x", "다른")], "word string, direction string")
+    words = learning.learned_words(spark, standing)
+    docs = spark.createDataFrame([(1, "성명: 뷁가람\n담당: 김철수\n예금주: 이감사\n")], "doc_id long, text string")
+    assert [r.value for r in detect.findings(docs, words).orderBy("start_pos").collect()] == ["뷁가람", "이감사"]
+    assert [r.value for r in detect.findings(docs).orderBy("start_pos").collect()] == ["김철수", "이감사"]
+
+
+def test_running_and_among(spark):
+    from garimi.functions.offsets import among, running
+
+    rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 1000)]
+    df = spark.createDataFrame(rows, "x array<int>").select("x", running(F.col("x")).alias("s"), running(F.col("x"), most=True).alias("m"), among(F.col("x"), F.array(F.lit(3), F.lit(64))).alias("h"))
+    for r in df.collect():
+        assert r.s == [sum(r.x[: i + 1]) for i in range(len(r.x))] and r.m == r.x and r.h == [v in (3, 64) for v in r.x]

@@ -127,9 +127,13 @@ def test_accuracy_of_rules(spark):
 def test_promotions_and_epochs(spark):
     rows = [(i, 1, w, "제외", f"2033-01-0{i + 1}T00:00:00") for i, w in enumerate(["가", " 가", "나", "가", "가", None, "나"])] + [(0, 1, "가", "제외", "2033-01-01T00:00:00")]
     c = spark.createDataFrame(rows, "event_id long, doc_id long, word string, direction string, ts string")
-    assert [tuple(r) for r in learning.promotions(c).collect()] == [("가", "제외", 3)]
+    assert [tuple(r) for r in learning.promotions(c, learning.base_dictionary(spark)).collect()] == [("가", "제외", 3)]
+    held = spark.createDataFrame([("가", "제외")], "word string, direction string")
+    assert learning.promotions(c, held).count() == 0 and not [r for r in learning.promotions(c.withColumn("direction", F.lit("다른")), held.limit(0)).collect()]
+    known = spark.createDataFrame([(i, 1, w, k, f"2033-01-0{i % 9 + 1}T00:00:00") for i, (w, k) in enumerate([("감사팀", "제외"), ("김", "이름후보"), ("김", "제외")] * 3)], c.schema)
+    assert [(r.word, r.direction) for r in learning.promotions(known, learning.base_dictionary(spark)).collect()] == [("김", "제외")]
     log = spark.createDataFrame([(1, "가", "제외", "취소", 0, "2033-01-02T12:00:00")], "change_id long, word string, direction string, event string, hit_count int, ts string")
-    assert {r.word: (r.n_since, r.promote) for r in learning.epochs(c, log).collect()} == {"가": (2, False), "나": (2, False)}
+    assert {r.word: (r.n_since, r.promote) for r in learning.epochs(c, log, learning.base_dictionary(spark)).collect()} == {"가": (2, False), "나": (2, False)}
 
 
 def test_output_and_unique_names(spark):
@@ -140,6 +144,43 @@ def test_output_and_unique_names(spark):
     assert [r.dest for r in audit.unique_names(files).orderBy("id").collect()] == ["a.pdf", "a(1).pdf", "b", "b(1)"]
 
 
+def test_unique_names_skip_taken_numbers(spark):
+    files = spark.createDataFrame([(1, "a.pdf"), (2, "a.pdf"), (3, "a(1).pdf"), (4, "a.pdf"), (5, None), (None, "a.pdf")], "id long, name string")
+    assert [r.dest for r in audit.unique_names(files).orderBy("id").collect()] == ["a.pdf", "a(1).pdf", "a(1)(1).pdf", "a(2).pdf"]
+    there = spark.createDataFrame([("a.pdf",), ("a(2).pdf",)], "name string")
+    assert [r.dest for r in audit.unique_names(files, there).orderBy("id").collect()] == ["a(1).pdf", "a(3).pdf", "a(1)(1).pdf", "a(4).pdf"]
+    r = random.Random(8)
+    rows = [(i, r.choice(["a.pdf", "a(1).pdf", "a(2).pdf", "a(1)(1).pdf", "b", "b(3)", "c.x"])) for i in range(120)]
+    taken, want = {"b", "b(1)"}, []
+    for _, name in rows:
+        stem, dot, end = name.partition(".")
+        n = 0
+        while (dest := f"{stem}{f'({n})' if n else ''}{dot}{end}") in taken:
+            n += 1
+        taken.add(dest)
+        want.append(dest)
+    got = audit.unique_names(spark.createDataFrame(rows, "id long, name string"), spark.createDataFrame([("b",), ("b(1)",)], "name string"))
+    assert [x.dest for x in got.orderBy("id").collect()] == want
+
+
+def test_originals_by_stem_and_suffix(spark):
+    log = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf"), (3, "c"), (4, "d.pdf"), (5, None), (6, "e.pdf")], "audit_id long, original_filename string")
+    kept = spark.createDataFrame([("a_v2.pdf",), ("a_v3.pdf",), ("b.pdf",), ("b(1).pdf",), ("c.hwp",), ("d.hwp",), (None,)], "name string")
+    got = {r.audit_id: r.kept_as for r in audit.originals(log, kept).collect()}
+    assert got == {1: "a_v2.pdf", 2: "b.pdf", 3: "c.hwp", 4: None, 5: None, 6: None}
+
+
+def test_attachment_marks_all_pages(spark):
+    pages = spark.createDataFrame([(1, 0, False, False, 0, False), (1, 1, False, False, 1, False), (1, 2, False, False, 0, False), (2, 0, True, False, 0, False), (2, 1, False, False, 0, False), (3, 0, None, None, None, None)], "doc_id long, page_index int, has_annot boolean, has_widget boolean, embfile_count int, has_ocg boolean")
+    assert {tuple(r) for r in layout.hidden_content_pages(pages).collect()} == {(1, 0), (1, 1), (1, 2), (2, 0)}
+
+
+def test_folders_and_trust_report_empty(spark):
+    f = spark.createDataFrame([], "doc_id long, approved boolean, source string")
+    d = spark.createDataFrame([], "doc_id long, doc_type string, received_at timestamp")
+    assert audit.trust_report(f, d).filter("span <> 'all'").count() == 0
+
+
 def test_reports_hold_no_values(spark):
     log = spark.createDataFrame([(1, "2033-01-01 00:00:00", "p", "a.pdf", "h", "o.pdf", "이름:2;전화번호:1", True, False, 12.34)], "audit_id long, logged_at string, processor string, original_filename string, original_sha256 string, output_filename string, masked_counts string, rotated_text_warning boolean, hidden_content_warning boolean, review_seconds double")
     text = audit.summary(log).first().report

@@ -54,6 +54,14 @@ def test_publish_is_idempotent(spark, tmp_path):
     assert all("김철수" not in str(r) for r in audit)
 
 
+def test_publish_blocks_residue_and_unclean_hidden(spark, tmp_path):
+    rows = [(1, "성명: 김철수\n작성 김철수", []), (2, "성명: 김철수", ["성명: 이영희, 이영희 확인"]), (3, "성명: 김철수", ["성명: 이영희", None]), (4, "성명: 박민수", None)]
+    ingest.publish(spark.createDataFrame(rows, "doc_id long, text string, hidden array<string>"), str(tmp_path), 1)
+    got = {r.doc_id: r.hidden for r in spark.read.parquet(f"{tmp_path}/masked").collect()}
+    assert got == {3: ["성명: 이*희", None], 4: None}
+    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/audit").collect()} == {3, 4}
+
+
 def test_mask_stream(spark, tmp_path):
     spark.createDataFrame([(1, "성명: 김철수")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
