@@ -1,11 +1,18 @@
 """Layout templates: where labels and findings stand on the pages of a form.
 
 Matching is an inverted index: anchors are exploded and joined on equality, shared ones counted; no
-document is compared with a template it shares nothing with.
+document is compared with a template it shares nothing with. Documents and templates with the same anchors
+are one in the index, so a form in a million copies is one set; the best match joins on the rare anchors
+alone, which a match cannot do without.
+
+Sizes of pages come from a table ``pages`` (doc_id, page_index, width, height); what stands on a page that
+it doesn't hold has no place.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +24,8 @@ from garimi.functions.offsets import each, occurrences
 from garimi.functions.text import WS, line_start
 from garimi.operators.layout import spans_covering
 
-WIDTH, HEIGHT = 595.0, 842.0  # page size where a table has none
 ANCHOR = ["page_index", "label", "xb", "yb"]
+SALTS = 16  # parts that the documents of one template are cut into, for a form may be a third of all
 
 
 def bucket(value: Column, size: Column) -> Column:
@@ -33,62 +40,100 @@ def label_before(text: Column, pos: Column) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
-def _first_span(points: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
-    """The first covering span of each point, as page and grid cell of its centre."""
+def _cells(rows: DataFrame, pages: DataFrame, bbox: Column) -> DataFrame:
+    """Rows with a page (doc_id, page_index) with the grid cell of the centre of their box, as xb and yb."""
+    size = pages.groupBy("doc_id", "page_index").agg(F.max("width").alias("_w"), F.max("height").alias("_h"))
+    cx, cy = (bbox["x0"] + bbox["x1"]) / 2, (bbox["y0"] + bbox["y1"]) / 2
+    return rows.join(size, ["doc_id", "page_index"]).withColumn("xb", bucket(cx, F.col("_w"))).withColumn("yb", bucket(cy, F.col("_h"))).drop("_w", "_h")
+
+
+def _first_span(points: DataFrame, spans: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+    """The first covering span of each point (``key`` holds doc_id), as page and grid cell of its centre."""
     x = spans_covering(points, spans.filter("bbox is not null"))
     first = x.groupBy(*key).agg(F.min_by(F.struct("s_page_index", "s_bbox"), F.struct("s_span_ord", "s_span_id")).alias("s"))
-    cx, cy = (F.col("s.s_bbox.x0") + F.col("s.s_bbox.x1")) / 2, (F.col("s.s_bbox.y0") + F.col("s.s_bbox.y1")) / 2
-    return first.select(*key, F.col("s.s_page_index").alias("page_index"), bucket(cx, F.lit(WIDTH)).alias("xb"), bucket(cy, F.lit(HEIGHT)).alias("yb"))
+    return _cells(first.select(*key, F.col("s.s_page_index").alias("page_index"), F.col("s.s_bbox").alias("_b")), pages, F.col("_b")).select(*key, "page_index", "xb", "yb")
 
 
-def anchors(documents: DataFrame, spans: DataFrame) -> DataFrame:
+def anchors(documents: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct (doc_id, page_index, label, xb, yb): the layout signature of each document."""
     labels = each(documents, occurrences(F.col("text"), P.LAYOUT_LABEL), "m", "doc_id")
     labels = labels.select("doc_id", F.regexp_extract("m.value", P.LAYOUT_LABEL, 1).alias("label"), "m.start_pos", "m.end_pos")
-    cells = _first_span(labels, spans, ["doc_id", "label", "start_pos"])
+    cells = _first_span(labels, spans, pages, ["doc_id", "label", "start_pos"])
     return cells.select("doc_id", *ANCHOR).distinct()
 
 
-def item_positions(findings: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, finding_id, type, page_index, xb, yb, label) of findings that a span covers."""
-    cells = _first_span(findings, spans, ["doc_id", "finding_id", "type", "start_pos"])
+def item_positions(findings: DataFrame, spans: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, finding_id, start_pos, type, page_index, xb, yb, label) of findings that a span covers."""
+    cells = _first_span(findings, spans, pages, ["doc_id", "finding_id", "type", "start_pos"])
     x = cells.join(documents.select("doc_id", "text"), "doc_id")
-    return x.select("doc_id", "finding_id", "type", "page_index", "xb", "yb", label_before(F.col("text"), F.col("start_pos")).alias("label"))
+    return x.select("doc_id", "finding_id", "start_pos", "type", "page_index", "xb", "yb", label_before(F.col("text"), F.col("start_pos")).alias("label"))
+
+
+def _sets(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The different anchor sets of the rows (``key`` and anchor): ``name``, the least key of each, with its anchors;
+    and which set each key has."""
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*ANCHOR))).alias("anchors"))
+    one = sets.groupBy("anchors").agg(F.min(key).alias(name))
+    return one, sets.join(one, "anchors").select(key, name)
+
+
+def _scored(pairs: DataFrame, shared: str = "shared") -> DataFrame:
+    return pairs.withColumn("score", F.col(shared) / (F.col("na") + F.col("nt") - F.col(shared)))
 
 
 def similarities(a: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, template_id, shared, score): Jaccard similarity of anchor sets with at least two in common."""
-    na = a.groupBy("doc_id").agg(F.count("*").alias("na"))
-    nt = templates.groupBy("template_id").agg(F.count("*").alias("nt"))
-    shared = a.join(templates, ANCHOR).groupBy("doc_id", "template_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= D.MIN_SHARED)
-    x = shared.join(na, "doc_id").join(nt, "template_id")
-    return x.select("doc_id", "template_id", "shared", (F.col("shared") / (F.col("na") + F.col("nt") - F.col("shared"))).alias("score"))
+    docs, doc_of = _sets(a, "doc_id", "d")
+    forms, form_of = _sets(templates.select("template_id", *ANCHOR), "template_id", "t")
+    left = docs.select("d", F.size("anchors").alias("na"), F.explode("anchors").alias("a"))
+    right = forms.select("t", F.size("anchors").alias("nt"), F.explode("anchors").alias("a"))
+    shared = left.join(right, "a").groupBy("d", "t", "na", "nt").agg(F.count("*").alias("shared")).filter(F.col("shared") >= D.MIN_SHARED)
+    return _scored(shared).join(doc_of, "d").join(form_of, "t").select("doc_id", "template_id", "shared", "score")
+
+
+def _rare_first(sets: DataFrame, name: str, frequency: DataFrame) -> DataFrame:
+    """``name`` and the anchors of which a set that matches at ``MATCH_AT`` must share one: its rarest, all but
+    so many that the others alone could not be enough."""
+    each_ = sets.select(name, F.size("anchors").alias("n"), F.explode("anchors").alias("a")).join(frequency, "a")
+    ranked = each_.groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct("f", "a"))).alias("r"))
+    need = F.col("n") - F.ceil(F.col("n") * D.MATCH_AT - 1e-9).cast("int") + 1
+    return ranked.select(name, F.explode(F.slice("r", F.lit(1), need)).alias("r")).select(name, F.col("r.a").alias("a"))
 
 
 def best_match(a: DataFrame, templates: DataFrame) -> DataFrame:
-    """The most similar template of each document, at least ``MATCH_AT``; the earliest of equals."""
-    s = similarities(a, templates).filter(F.col("score") >= D.MATCH_AT)
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "template_id")
-    return s.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """(doc_id, template_id, score): the most similar template of each document, at least ``MATCH_AT`` with two
+    anchors in common; the earliest of equals."""
+    docs, doc_of = _sets(a, "doc_id", "d")
+    forms, _ = _sets(templates.select("template_id", *ANCHOR), "template_id", "t")
+    both = docs.select(F.explode("anchors").alias("a")).unionByName(forms.select(F.explode("anchors").alias("a")))
+    frequency = both.groupBy("a").agg(F.count("*").alias("f"))
+    pairs = _rare_first(docs, "d", frequency).join(_rare_first(forms, "t", frequency), "a").select("d", "t").distinct()
+    x = pairs.join(docs.withColumnRenamed("anchors", "da"), "d").join(forms.withColumnRenamed("anchors", "ta"), "t")
+    x = x.select("d", "t", F.size("da").alias("na"), F.size("ta").alias("nt"), F.size(F.array_intersect("da", "ta")).alias("shared")).filter(F.col("shared") >= D.MIN_SHARED)
+    good = _scored(x).filter(F.col("score") >= D.MATCH_AT)
+    best = good.groupBy("d").agg(F.max(F.struct("score", (-F.col("t")).alias("back"))).alias("b"))
+    return doc_of.join(best, "d").select("doc_id", (-F.col("b.back")).alias("template_id"), F.col("b.score").alias("score"))
 
 
-def _near(a: str, b: str) -> Column:
-    return F.abs(F.col(a) - F.col(b)) <= D.NEAR
+def _around(c: str) -> Column:
+    return F.explode(F.sequence(F.col(c) - D.NEAR, F.col(c) + D.NEAR))
 
 
-def suggestions(matched: DataFrame, items: DataFrame, positions: DataFrame, spans: DataFrame, findings: DataFrame) -> DataFrame:
+def suggestions(matched: DataFrame, items: DataFrame, positions: DataFrame, spans: DataFrame, findings: DataFrame, pages: DataFrame) -> DataFrame:
     """What a matched template expects and no finding of the type covers: the value at that place, as 템플릿후보.
 
-    ``items``: template_id, item_ord, type, page_index, xb, yb, label. Columns: doc_id, type, value, start_pos, end_pos."""
-    want = matched.select("doc_id", "template_id").join(items, "template_id")
-    have = positions.select("doc_id", "type", "page_index", F.col("xb").alias("hx"), F.col("yb").alias("hy")).distinct()
-    covered = want.join(have, ["doc_id", "type", "page_index"]).filter(_near("xb", "hx") & _near("yb", "hy")).select("doc_id", "template_id", "item_ord").distinct()
-    open_ = want.join(covered, ["doc_id", "template_id", "item_ord"], "left_anti")
-    cx, cy = (F.col("bbox.x0") + F.col("bbox.x1")) / 2, (F.col("bbox.y0") + F.col("bbox.y1")) / 2
-    cells = spans.filter(F.col("bbox").isNotNull() & (F.regexp_replace("text", f"[{WS}]", "") != "")).select("doc_id", "page_index", "span_ord", "span_id", "text", F.col("start_pos").alias("at"), bucket(cx, F.lit(WIDTH)).alias("sx"), bucket(cy, F.lit(HEIGHT)).alias("sy"))
-    near = open_.join(cells, ["doc_id", "page_index"]).filter(_near("xb", "sx") & _near("yb", "sy"))
-    dist = (F.col("sx") - F.col("xb")) * (F.col("sx") - F.col("xb")) + (F.col("sy") - F.col("yb")) * (F.col("sy") - F.col("yb"))
-    w = Window.partitionBy("doc_id", "template_id", "item_ord").orderBy(dist, "span_ord", "span_id")
+    ``items``: template_id, item_ord, type, page_index, xb, yb, label. Columns: doc_id, type, value, start_pos,
+    end_pos. A place and what is near it meet by equality of cells, each item being known in the cells around its own."""
+    salted = items.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    want = matched.select("doc_id", "template_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_s")).join(salted, ["template_id", "_s"]).drop("_s")
+    cell = ["doc_id", "page_index", "xb", "yb"]
+    have = positions.select("doc_id", "type", "page_index", _around("xb").alias("xb"), "yb").select("doc_id", "type", "page_index", "xb", _around("yb").alias("yb")).distinct()
+    open_ = want.join(have, [*cell, "type"], "left_anti")
+    places = spans.filter(F.col("bbox").isNotNull() & (F.regexp_replace("text", f"[{WS}]", "") != "")).select("doc_id", "page_index", "span_ord", "span_id", "text", F.col("start_pos").alias("at"), "bbox")
+    places = _cells(places, pages, F.col("bbox")).drop("bbox")
+    near = open_.withColumnRenamed("xb", "ix").withColumnRenamed("yb", "iy").withColumn("xb", _around("ix")).withColumn("yb", _around("iy")).join(places, cell)
+    dx, dy = F.col("xb") - F.col("ix"), F.col("yb") - F.col("iy")
+    w = Window.partitionBy("doc_id", "template_id", "item_ord").orderBy(dx * dx + dy * dy, "span_ord", "span_id")
     first = near.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     found = value_after_label(F.col("text"), F.col("label"))
     out = first.select("doc_id", "item_ord", "type", found["value"].alias("value"), (F.col("at") + found["start_pos"]).cast("int").alias("start_pos"))
@@ -110,62 +155,70 @@ def value_after_label(text: Column, label: Column) -> Column:
     return F.struct(F.regexp_replace(part, f"^[{WS}]+|[{WS}]+$", "").alias("value"), start.alias("start_pos"))
 
 
-TEMPLATE = "template_id long, page_index int, label string, xb int, yb int, kind string, type string, sample_count int"
+TEMPLATE = "template_id long, kind string, item_ord int, page_index int, label string, xb int, yb int, type string, sample_count int"
 
 
-def frequent_templates(a: DataFrame, documents: DataFrame, share: float = 0.2, group: str = "doc_type") -> DataFrame:
-    """(template_id, page_index, label, xb, yb): one template for each group of documents, of the anchors
-    that at least ``share`` of its documents with any anchor have. ``template_id`` is the hash of the group's name."""
-    x = a.join(documents.select("doc_id", group).filter(F.col(group).isNotNull()), "doc_id")
-    n = x.select(group, "doc_id").distinct().groupBy(group).agg(F.count("*").alias("docs"))
-    held = x.groupBy(group, *ANCHOR).agg(F.count("*").alias("n")).join(n, group).filter(F.col("n") >= F.col("docs") * share)
-    return held.select(F.conv(F.substring(F.md5(F.col(group).cast("binary")), 1, 8), 16, 10).cast("long").alias("template_id"), *ANCHOR)
-
-
-def signatures(a: DataFrame, positions: DataFrame, documents: DataFrame, group: str = "doc_type") -> DataFrame:
-    """group, doc_id, anchors, items: what one document teaches. An array holds a document's own labels or findings."""
+def signatures(a: DataFrame, positions: DataFrame) -> DataFrame:
+    """doc_id, anchors, items (in document order): what one document teaches. An array holds a document's own
+    labels or findings; documents that lack either teach nothing."""
     left = a.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(*ANCHOR))).alias("anchors"))
-    right = positions.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("type", "page_index", "xb", "yb", "label"))).alias("items"))
-    return left.join(right, "doc_id").join(documents.select("doc_id", F.coalesce(group, F.lit("")).alias(group)), "doc_id")
-
-
-def fold_templates(signatures: DataFrame, group: str = "doc_type") -> DataFrame:
-    """Templates learned from documents in order of doc_id, one after the other, within each group of forms.
-
-    A merge changes what later documents match, so a group's fold is sequential by nature. What is folded
-    are its distinct anchor sets, each with the items of all its documents (united before any row moves to
-    the fold): a form in a million copies is one row with a count. Columns of ``TEMPLATE``."""
-    sets = signatures.groupBy(group, "anchors").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    item = signatures.select(group, "anchors", "doc_id", F.explode("items").alias("i")).groupBy(group, "anchors", "i.type", "i.page_index", "i.xb", "i.yb").agg(F.min_by("i.label", "doc_id").alias("label"))
-    items = item.groupBy(group, "anchors").agg(F.array_sort(F.collect_list(F.struct("type", "page_index", "xb", "yb", "label"))).alias("items"))
-    once = sets.join(items, [group, "anchors"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values("doc_id").itertuples():
-            mine = {(a["page_index"], a["label"], a["xb"], a["yb"]) for a in row.anchors}
-            items = [(i["type"], i["page_index"], i["xb"], i["yb"], i["label"]) for i in row.items]
-            if not mine or not items:
-                continue
-            best, score = None, 0.0
-            for t in kept:
-                shared = len(mine & t["anchors"])
-                s = shared / len(mine | t["anchors"]) if shared >= D.MIN_SHARED else 0.0
+    item = F.struct("start_pos", "finding_id", "type", "page_index", "xb", "yb", "label")
+    right = positions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return left.join(right, "doc_id")
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk the signatures in order; the store of templates is all that is held. A document meets the templates
+    that share an anchor with it, by an index of anchors."""
+    kept: list[dict] = []
+    holders: dict[tuple, list[int]] = defaultdict(list)
+    for b in batches:
+        for doc, anchors_, items in zip(b["doc_id"], b["anchors"], b["items"], strict=True):
+            mine = {(x["page_index"], x["label"], x["xb"], x["yb"]) for x in anchors_}
+            shared = Counter(k for x in mine for k in holders[x])
+            best, score = -1, 0.0
+            for k in sorted(shared):
+                n = shared[k]
+                s = n / (len(mine) + len(kept[k]["anchors"]) - n) if n >= D.MIN_SHARED else 0.0
                 if s >= D.MATCH_AT and s > score:
-                    best, score = t, s
-            if best is None:
-                best = {"id": int(row.doc_id), "anchors": set(), "items": {}, "n": 0}
-                kept.append(best)
-            best["anchors"] |= mine
+                    best, score = k, s
+            if best < 0:
+                best = len(kept)
+                kept.append({"id": int(doc), "anchors": set(), "items": {}, "n": 0})
+            t = kept[best]
+            for x in mine - t["anchors"]:
+                holders[x].append(best)
+            t["anchors"] |= mine
             for i in items:
-                best["items"].setdefault(i[:4], i[4])
-            best["n"] += int(row.copies)
-        out = []
-        for t in kept:
-            out += [(t["id"], p, label, x, y, "anchor", None, t["n"]) for p, label, x, y in sorted(t["anchors"])]
-            out += [(t["id"], k[1], label, k[2], k[3], "item", k[0], t["n"]) for k, label in t["items"].items()]
-        return pd.DataFrame(out, columns=["template_id", "page_index", "label", "xb", "yb", "kind", "type", "sample_count"])
+                t["items"].setdefault((i["type"], i["page_index"], i["xb"], i["yb"]), i["label"])
+            t["n"] += 1
+    out = []
+    for t in kept:
+        out += [(t["id"], "anchor", None, p, label, x, y, None, t["n"]) for p, label, x, y in sorted(t["anchors"])]
+        out += [(t["id"], "item", o, k[1], label, k[2], k[3], k[0], t["n"]) for o, (k, label) in enumerate(t["items"].items())]
+        if len(out) > 50_000:
+            yield _templates(out)
+            out = []
+    yield _templates(out)
+
+
+def _templates(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["template_id", "kind", "item_ord", "page_index", "label", "xb", "yb", "type", "sample_count"])
+    return out.astype({"item_ord": "Int32"})
+
+
+def fold_templates(learned_from: DataFrame) -> DataFrame:
+    """Templates learned from ``signatures`` in order of doc_id, one after the other: a document joins the best
+    template that matches it, or becomes one (template_id is its doc_id). Columns of ``TEMPLATE``.
+
+    A merge changes what later documents match, so learning is one ordered stream by nature: it is sorted on
+    disk where it must be and walked in the memory of the store. Matching, which all documents need, is not."""
+    return learned_from.repartition(1).sortWithinPartitions("doc_id").mapInPandas(_fold, TEMPLATE)
+
 
-    return once.groupBy(group).applyInPandas(fold, TEMPLATE)
+def anchors_of(learned: DataFrame) -> DataFrame:
+    return learned.filter("kind = 'anchor'").select("template_id", *ANCHOR)
 
 
+def items_of(learned: DataFrame) -> DataFrame:
+    return learned.filter("kind = 'item'").select("template_id", "item_ord", "type", "page_index", "xb", "yb", "label")

@@ -195,7 +195,7 @@ def _places(values: str) -> str:
     )
 
 
-def _bucket(v: str, size: float) -> str:
+def _bucket(v: str, size: str) -> str:
     return f"round_even({v} / {size} / 0.03, 0)::int"
 
 
@@ -208,18 +208,21 @@ _WORDS = (
     + ")"
 )
 _PAGES = "pg as (select doc_id, page_index, (doc_id + page_index) % 7 = 0 as has_annot, doc_id % 11 = 0 and page_index = 1 as has_widget, (doc_id % 13 = 0 and page_index = 0)::int as embfile_count, doc_id % 17 = 0 and page_index = 0 as has_ocg from p), hid as (select doc_id, page_index from pg where has_annot or has_widget or doc_id in (select doc_id from pg where embfile_count > 0 or has_ocg)), rot as (select doc_id, page_index from s group by all having bool_or(abs(dir.dy) > 0.01))"
-_CENTRE = f"{_bucket('(s_bbox.x0 + s_bbox.x1) / 2', 595.0)} as xb, {_bucket('(s_bbox.y0 + s_bbox.y1) / 2', 842.0)} as yb"
+_WIDTH, _HEIGHT = "(case when doc_id % 5 = 0 then 842.0::double else 595.0::double end)", "(case when doc_id % 5 = 0 then 595.0::double else 842.0::double end)"
+_CENTRE = f"{_bucket('(s_bbox.x0 + s_bbox.x1) / 2', _WIDTH)} as xb, {_bucket('(s_bbox.y0 + s_bbox.y1) / 2', _HEIGHT)} as yb"
 _ANCHORS = (
     f"with s as (select distinct * from spans where bbox is not null), f as (select doc_id, regexp_extract(value, '{LAYOUT_LABEL}', 1) as label, start_pos, end_pos from {occ(LAYOUT_LABEL)}), "
     f"c as (select doc_id, label, start_pos, arg_min({{'p': s_page, 'b': s_bbox}}, (s_span_ord, s_span_id)) as x from {_COVER} group by all), "
     f"an as (select distinct doc_id, x.p as page_index, label, {_CENTRE.replace('s_bbox', 'x.b')} from c)"
 )
-_TEMPLATES = (
-    _ANCHORS + ", tp as (select a.*, d.doc_type from an a join documents d using (doc_id) where d.doc_type is not null), tn as (select doc_type, count(distinct doc_id) as docs from tp group by 1), "
-    "tm as (select ('0x' || substr(md5(doc_type), 1, 8))::bigint as template_id, page_index, label, xb, yb from (select doc_type, page_index, label, xb, yb, count(*) as n from tp group by all) join tn using (doc_type) where n >= docs * 0.2), "
-    "sh as (select doc_id, template_id, count(*) as shared from an join tm using (page_index, label, xb, yb) group by all having count(*) >= 2), "
-    "sim as (select doc_id, template_id, shared, shared / (na + nt - shared) as score from sh join (select doc_id, count(*) as na from an group by 1) using (doc_id) join (select template_id, count(*) as nt from tm group by 1) using (template_id))"
-)
+def _similar(docs: str) -> str:
+    """CTEs ending in ``sim``: the anchor sets of ``docs`` against those of every document."""
+    return (
+        f"sh as (select d.doc_id, t.doc_id as template_id, count(*) as shared from {docs} d join an t using (page_index, label, xb, yb) group by all having count(*) >= 2), "
+        f"sim as (select doc_id, template_id, shared, shared / (na + nt - shared) as score from sh join (select doc_id, count(*) as na from {docs} group by 1) using (doc_id) join (select doc_id as template_id, count(*) as nt from an group by 1) using (template_id))"
+    )
+
+
 _GOLD = (
     "with g0 as (select distinct case_id, marked_text from gold_cases where marked_text is not null), "
     f"g1 as (select case_id, case when value[1:2] = '{{{{' then '{D.NAME}' else '{D.ADDRESS}' end as type, substr(value, 3, length(value) - 4) as value, (start_pos - 4 * (ord - 1))::int as start_pos, (end_pos - 4 * ord)::int as end_pos from {occ(r'\{\{.*?\}\}|\[\[.*?\]\]', 'g0', 'marked_text', 'case_id')}), "
@@ -278,7 +281,7 @@ ORACLE = {
     "g6_counts_by_type": _F + " select doc_id, type, count(*) as n from f where approved group by all",
     "g7_findings_per_page": _F + f" select doc_id, page, count(*) as n from {_PAGE_OF} group by all",
     "g8_history": "select audit_id, logged_at, processor, original_filename, output_filename, masked_counts, review_seconds, case when rotated_text_warning then '⚠ 있음' else '' end as rotated_text, case when hidden_content_warning then '⚠ 있음' else '' end as hidden_content from audit_log",
-    "g9_originals": "with k as (select distinct original_filename as name from archived_keys where original_filename is not null), a as (select distinct original_filename as f, regexp_extract(original_filename, '^(.+?)(\.[^.]*)?$', 1) as stem, regexp_extract(original_filename, '^(.+?)(\.[^.]*)?$', 2) as suffix from audit_log where original_filename is not null), m as (select f, coalesce(min(case when name = f then name end), min(case when starts_with(name, stem) and ends_with(name, suffix) and length(name) >= length(stem) + length(suffix) then name end)) as kept_as from a join k on starts_with(k.name, a.stem) group by f) select audit_id, original_filename, kept_as from audit_log left join m on f = original_filename",
+    "g9_originals": r"with k as (select distinct original_filename as name from archived_keys where original_filename is not null), a as (select distinct original_filename as f, regexp_extract(original_filename, '^(.+?)(\.[^.]*)?$', 1) as stem, regexp_extract(original_filename, '^(.+?)(\.[^.]*)?$', 2) as suffix from audit_log where original_filename is not null), m as (select f, coalesce(min(case when name = f then name end), min(case when starts_with(name, stem) and ends_with(name, suffix) and length(name) >= length(stem) + length(suffix) then name end)) as kept_as from a join k on starts_with(k.name, a.stem) group by f) select audit_id, original_filename, kept_as from audit_log left join m on f = original_filename",
     "g10_recent_promotions": f"with {_LAST_TS}, v as (select distinct word, direction, event, change_id, tsz from z where tsz is not null and event <> '정정'), l as (select word, direction, tsz, event from v qualify row_number() over (partition by word, direction order by tsz desc, change_id) = 1) select word, direction, epoch_us(tsz) as promoted_us from l where event = '반영' and tsz >= (select max(tsz) from v) - interval 7 days order by tsz desc, word, direction limit 5",
     "g11_batch_summary": f"select code, count(*) as files, {_REASON} as reason from (select {_CODE} as code from audit_log) group by code",
     "g12_accuracy": _PRED + ", j as (select coalesce(g.type, p.type) as type, g.case_id is not null as g, p.case_id is not null as p from (select distinct case_id, type, start_pos, end_pos from g1) g full join pr p on p.case_id = g.case_id and p.type = g.type and p.start_pos = g.start_pos and p.end_pos = g.end_pos), n as (select type, count(*) filter (g and p) as hits, count(*) filter (p) as predicted, count(*) filter (g) as gold from j group by 1) select *, case when predicted > 0 then hits / predicted else 'nan'::double end as precision, case when gold > 0 then hits / gold else 'nan'::double end as recall from n",
@@ -304,10 +307,10 @@ ORACLE = {
     "l9_approval_gate": _F + f", {_PAGES}, wn as (select * from hid union select * from rot), x as (select p.doc_id, (p.doc_id + p.page_index) % 3 = 0 as unseen, w.doc_id is not null as warned, (p.doc_id + p.page_index) % 3 <> 0 and p.doc_id % 2 = 0 as opened from p left join wn w on w.doc_id = p.doc_id and w.page_index = p.page_index) select doc_id, count(*) filter (unseen) as unseen_pages, count(*) filter (warned and not opened) as unopened_warnings, count(*) filter (unseen) = 0 and count(*) filter (warned and not opened) = 0 as may_approve from x group by 1",
     "l10_redaction_plan": _F + f", x as (select f.*, d.text, {mask_by_type('f.type', 'f.value')} as mask from f left join documents d using (doc_id) where approved) select finding_id, mask, coalesce(substr(text, start_pos + 1, end_pos - start_pos) = value and length(mask) = length(value), false) as mapped from x",
     "t3_label_before": f"with f as (select distinct * from findings) select finding_id, coalesce(regexp_extract_all(substr(d.text, {_line_start('d.text', 'start_pos')} + 1, start_pos - {_line_start('d.text', 'start_pos')}), '{LAYOUT_LABEL}', 1)[-1], '') as label from f join documents d using (doc_id) where d.text is not null",
-    "t4_item_positions": f"with f as (select distinct * from findings), s as (select distinct * from spans where bbox is not null), c as (select finding_id, arg_min({{'p': s_page, 'b': s_bbox}}, (s_span_ord, s_span_id)) as x from {_COVER} group by 1) select finding_id, x.p as page_index, {_CENTRE.replace('s_bbox', 'x.b')} from c",
+    "t4_item_positions": f"with f as (select distinct * from findings), s as (select distinct * from spans where bbox is not null), c as (select finding_id, any_value(doc_id) as doc_id, arg_min({{'p': s_page, 'b': s_bbox}}, (s_span_ord, s_span_id)) as x from {_COVER} group by 1) select finding_id, x.p as page_index, {_CENTRE.replace('s_bbox', 'x.b')} from c",
     "t5_signatures": _ANCHORS + " select * from an",
-    "t6_similarities": _TEMPLATES + " select * from sim",
-    "t7_best_match": _TEMPLATES + " select doc_id, template_id, score from sim where score >= 0.6 qualify row_number() over (partition by doc_id order by score desc, template_id) = 1",
+    "t6_similarities": _ANCHORS + ", " + _similar("an") + " select * from sim",
+    "t7_best_match": _ANCHORS + ", cut as (select * from an where (doc_id + xb + yb) % 8 > 0), " + _similar("cut") + " select doc_id, template_id, score from sim where score >= 0.6 qualify row_number() over (partition by doc_id order by score desc, template_id) = 1",
     "u1_promotions": f"with {_EVENTS} select word, direction, event_id from e where tsz is not null and not {_HELD} qualify row_number() over (partition by word, direction order by tsz, event_id) = 3",
     "u2_epochs": f"with {_LAST_TS}, {_EVENTS}, c as (select word, direction, max(tsz) as cut from z where event = '취소' group by all) select e.word, e.direction, count(*) as n_since, count(*) >= 3 and not bool_or({_HELD.replace('word', 'e.word').replace('direction', 'e.direction')}) as promote from e left join c using (word, direction) where e.tsz is not null and (cut is null or e.tsz > cut) group by all",
     "u5_learned_names": _P4 + f", w as (select word, direction from s where last_set = '반영'), r as ({' union all '.join(f'select doc_id, {i} as rule, ord, value, start_pos, {chr(39)}{g}{chr(39)} as grp from ({rows.replace(_IS_NAME, _LEARNED)})' for i, (k, _, g, rows) in enumerate(_rules()) if k == D.NAME)}) select doc_id, value, start_pos, grp from r qualify row_number() over (partition by doc_id, start_pos, length(value) order by rule, ord) = 1",
@@ -328,7 +331,7 @@ ORACLE = {
     f"r as (select d.doc_id, count(distinct (d.type, d.value)) as residue from det d join masked m using (doc_id) where contains(m.masked, d.value) group by 1), h as (select finding_id as hid, doc_id as of, '메모: 연락처 010-9999-8888, ' || coalesce(type, '기타') || ': ' || coalesce(value, '') as content from f), {_renamed(masked_ctes('h', 'content', 'hid'))}, hu as (select h.of as doc_id, count(*) as unclean_hidden from h join masked_m m using (hid) where exists (select 1 from det_m d where d.hid = m.hid and contains(m.masked, d.value)) group by 1) "
     "select doc_id, coalesce(unmapped, 0) as unmapped, coalesce(left_over, 0) as left_over, coalesce(residue, 0) as residue, coalesce(unclean_hidden, 0) as unclean_hidden, unmapped is null and left_over is null and residue is null and unclean_hidden is null as publish from documents left join u using (doc_id) left join l using (doc_id) left join r using (doc_id) left join hu using (doc_id)",
     "s1_rebuild_text": _F + " select doc_id, page_index, string_agg(text, chr(10) order by span_ord, span_id) || chr(10) as text from s where text <> '' group by all",
-    "s2_page_sizes": _F + " select doc_id, page_index, 595.0::double as width, 842.0::double as height from p",
+    "s2_page_sizes": _F + f" select doc_id, page_index, {_WIDTH} as width, {_HEIGHT} as height from p",
     "s3_dictionary": f"select distinct {trim('word')} as word from candidate_events where {trim('word')} <> ''",
     "s8_failure_reason": "select audit_id, case audit_id % 6 when 0 then '매크로 보안 경고로 자동화가 차단됨' when 1 then '비밀번호로 잠긴 파일' when 2 then '한/글이 이미 다른 작업으로 사용 중' when 3 then '손상되었거나 지원하지 않는 파일 형식' when 4 then '손상되었거나 지원하지 않는 파일 형식' else '변환 실패 (원인 미분류, 로그 확인 필요): timeout' end as reason from audit_log",
     "s10_gold_spans": _GOLD + " select * from g1",

@@ -17,7 +17,7 @@ from garimi.functions.offsets import each, occurrences
 from garimi.functions.text import line_end, line_start, strip_ws
 from garimi.operators import audit, detect, evaluate, findings as G, layout, learning, replay, review, templates, verify
 from garimi.sources.tables import table
-from garimi.staging import spread
+from garimi.staging import spread, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -297,32 +297,51 @@ def t3_label_before(s, d):
     return f.select("finding_id", templates.label_before(F.col("text"), F.col("start_pos")).alias("label"))
 
 
+def _sizes(s, d):
+    """Pages with their size: some forms are set across."""
+    across = F.col("doc_id") % 5 == 0
+    p = _spans(s, d).select("doc_id", "page_index").distinct()
+    return p.select("doc_id", "page_index", F.when(across, 842.0).otherwise(595.0).alias("width"), F.when(across, 595.0).otherwise(842.0).alias("height"))
+
+
 @query
 def t4_item_positions(s, d):
-    return templates.item_positions(_names(_findings(s, d)), _spans(s, d), _docs(s, d)).select("finding_id", "page_index", "xb", "yb")
+    return templates.item_positions(_names(_findings(s, d)), _spans(s, d), _docs(s, d), _sizes(s, d)).select("finding_id", "page_index", "xb", "yb")
 
 
 @query
 def t5_signatures(s, d):
-    return templates.anchors(_docs(s, d), _spans(s, d))
+    return templates.anchors(_docs(s, d), _spans(s, d), _sizes(s, d))
+
+
+def _anchors(s, d):
+    return staged(t5_signatures(s, d), "anchors")
+
+
+def _forms(a):
+    """Every document as a template of its own layout."""
+    return a.withColumnRenamed("doc_id", "template_id")
 
 
 @query
 def t6_similarities(s, d):
-    a = t5_signatures(s, d)
-    return templates.similarities(a, templates.frequent_templates(a, _docs(s, d)))
+    a = _anchors(s, d)
+    return templates.similarities(a, _forms(a))
 
 
 @query
 def t7_best_match(s, d):
-    a = t5_signatures(s, d)
-    return templates.best_match(a, templates.frequent_templates(a, _docs(s, d))).select("doc_id", "template_id", "score")
+    """The best of all other documents' layouts, one anchor in eight apart."""
+    a = _anchors(s, d)
+    return templates.best_match(a.filter((F.col("doc_id") + F.col("xb") + F.col("yb")) % 8 > 0), _forms(a))
 
 
 def _learned(s, d):
-    docs, spans, f = _docs(s, d), _spans(s, d), _names(_findings(s, d).filter("approved and type is not null"))
-    a, positions = templates.anchors(docs, spans), templates.item_positions(f, spans, docs)
-    return a, positions, templates.fold_templates(templates.signatures(a, positions, docs))
+    docs, spans, sizes = _docs(s, d), _spans(s, d), _sizes(s, d)
+    a = _anchors(s, d)
+    f = _names(_findings(s, d).filter("approved and type is not null"))
+    positions = staged(templates.item_positions(f, spans, docs, sizes), "positions")
+    return a, positions, staged(templates.fold_templates(templates.signatures(a, positions)), "templates")
 
 
 @query
@@ -332,10 +351,12 @@ def t8_learned_templates(s, d):
 
 @query
 def t12_suggestions(s, d):
+    """What the learned templates add to the findings that were made automatically."""
     a, positions, learned = _learned(s, d)
-    matched = templates.best_match(a, learned.filter("kind = 'anchor'").select("template_id", *templates.ANCHOR))
-    items = learned.filter("kind = 'item'").select("template_id", F.xxhash64("type", "page_index", "xb", "yb").alias("item_ord"), "type", "page_index", "xb", "yb", "label")
-    return templates.suggestions(matched, items, positions, _spans(s, d), _findings(s, d))
+    auto = _findings(s, d).filter(F.col("source") == D.SOURCE_AUTO)
+    have = positions.join(auto.select("finding_id").distinct(), "finding_id", "left_semi")
+    matched = templates.best_match(a, templates.anchors_of(learned))
+    return templates.suggestions(matched, templates.items_of(learned), have, _spans(s, d), auto, _sizes(s, d))
 
 
 @query
@@ -466,7 +487,7 @@ def s1_rebuild_text(s, d):
 
 @query
 def s2_page_sizes(s, d):
-    return _spans(s, d).select("doc_id", "page_index").distinct().select("doc_id", "page_index", F.lit(templates.WIDTH).alias("width"), F.lit(templates.HEIGHT).alias("height"))
+    return _sizes(s, d)
 
 
 @query
