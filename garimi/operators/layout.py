@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimi.functions.offsets import each, occurrences
@@ -81,28 +81,48 @@ def approval_gate(pages: DataFrame, warned: DataFrame, views: DataFrame) -> Data
     return out.withColumn("may_approve", (F.col("unseen_pages") == 0) & (F.col("unopened_warnings") == 0))
 
 
+CELL = 64.0  # points: positions on a page are joined cell by cell, so a full page isn't one key
+
+
 def words_of(spans: DataFrame, width=text_width) -> DataFrame:
-    """Words of level spans with their boxes and offsets: doc_id, page_index, span_id, word, start_pos, x0, y0, x1, y1."""
-    level = spans.filter("dir.dy = 0 and bbox is not null")
-    w = each(level, occurrences(F.col("text"), r"[^ \t\n]+"), "w", "doc_id", "page_index", "span_id", "text", "fontsize", "origin", "bbox", F.col("start_pos").alias("at"))
-    before = width(F.substring(F.col("text"), F.lit(1), F.col("w.start_pos")), F.col("fontsize"))
+    """Words of all spans, whichever way they run, with their boxes and offsets: doc_id, page_index, span_id, word,
+    start_pos, end_pos, x0, y0, x1, y1. Spans without a box have none; without a direction they run level."""
+    way = F.coalesce("dir", F.struct(F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy")))
+    placed = spans.filter("bbox is not null and origin is not null").withColumn("way", way)
+    w = each(placed, occurrences(F.col("text"), r"[^ \t\n]+"), "w", "doc_id", "page_index", "span_id", "text", "fontsize", "origin", "bbox", "way", F.col("start_pos").alias("at"))
+    before, own = width(F.substring(F.col("text"), F.lit(1), F.col("w.start_pos")), F.col("fontsize")), width(F.col("w.value"), F.col("fontsize"))
+    begin = {c: F.col(f"origin.{c}") + before * F.col(f"way.d{c}") for c in "xy"}
+    end = {c: begin[c] + own * F.col(f"way.d{c}") for c in "xy"}
+    level = F.abs("way.dx") >= F.abs("way.dy")
+    side = lambda c, along, pick: F.when(along, pick(begin[c], end[c])).otherwise(F.col(f"bbox.{c}{0 if pick is F.least else 1}"))
     return w.select(
         "doc_id", "page_index", "span_id", F.col("w.value").alias("word"), (F.col("at") + F.col("w.start_pos")).alias("start_pos"), (F.col("at") + F.col("w.end_pos")).alias("end_pos"),
-        (F.col("origin.x") + before).alias("x0"), F.col("bbox.y0").alias("y0"), (F.col("origin.x") + before + width(F.col("w.value"), F.col("fontsize"))).alias("x1"), F.col("bbox.y1").alias("y1"),
+        side("x", level, F.least).alias("x0"), side("y", ~level, F.least).alias("y0"), side("x", level, F.greatest).alias("x1"), side("y", ~level, F.greatest).alias("y1"),
     )
 
 
+def _in_cells(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """A row for each cell of the page that the box touches, as cx and cy."""
+    to = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.greatest(a, b) / CELL)))
+    return df.withColumn("cx", to(x0, x1)).withColumn("cy", to(y0, y1))
+
+
+_IN = ["doc_id", "page_index", "cx", "cy"]
+
+
 def word_at(clicks: DataFrame, words: DataFrame) -> DataFrame:
     """The word under each click (click_id, doc_id, page_index, px, py); of several the nearest by its left
-    edge, then the first. Clicks on empty space have none."""
-    hit = clicks.join(words, ["doc_id", "page_index"]).filter("px >= x0 and px <= x1 and py >= y0 and py <= y1")
-    w = Window.partitionBy("click_id").orderBy(F.abs(F.col("x0") - F.col("px")), "start_pos", "span_id")
-    return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("click_id", "word", "start_pos", "end_pos")
+    edge, then the first. Clicks on empty space have none. A click meets the words of its cell alone."""
+    at = clicks.withColumn("cx", F.floor(F.col("px") / CELL)).withColumn("cy", F.floor(F.col("py") / CELL))
+    hit = at.join(_in_cells(words, "x0", "y0", "x1", "y1"), _IN).filter("px >= x0 and px <= x1 and py >= y0 and py <= y1")
+    best = hit.groupBy("click_id").agg(F.min(F.struct(F.abs(F.col("x0") - F.col("px")).alias("far"), "start_pos", "span_id", "word", "end_pos")).alias("w"))
+    return best.select("click_id", "w.word", "w.start_pos", "w.end_pos")
 
 
 def region_of(drags: DataFrame, words: DataFrame) -> DataFrame:
-    """From the first to the last word that lies at least half inside each box (drag_id, doc_id, page_index, rx0, ry0, rx1, ry1)."""
-    x = drags.join(words, ["doc_id", "page_index"])
+    """From the first to the last word that lies at least half inside each box (drag_id, doc_id, page_index, rx0,
+    ry0, rx1, ry1). They meet cell by cell; which cell does not matter, for first and last are the same."""
+    x = _in_cells(drags, "rx0", "ry0", "rx1", "ry1").join(_in_cells(words, "x0", "y0", "x1", "y1"), _IN)
     w, h = F.least("x1", "rx1") - F.greatest("x0", "rx0"), F.least("y1", "ry1") - F.greatest("y0", "ry0")
     area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-6))
     inside = x.filter((w > 0) & (h > 0) & (w * h / area >= 0.5))

@@ -203,9 +203,12 @@ _COVER = "(select f.*, s.span_id as s_span_id, s.span_ord as s_span_ord, s.page_
 _PAGE_OF = "(select f.finding_id, any_value(f.doc_id) as doc_id, coalesce(arg_min(s.page_index, (s.span_ord, s.span_id)), 0)::int as page from f left join s on s.doc_id = f.doc_id and s.start_pos <= f.start_pos and s.end_pos > f.start_pos group by f.finding_id)"
 _ROT = "(case when abs(dir.dx) >= abs(dir.dy) then case when dir.dx >= 0 then 0 else 180 end when dir.dy > 0 then 270 else 90 end)"
 _WORDS = (
-    "(select span_id, doc_id, page_index, value as word, (base + start_pos)::int as start_pos, (base + end_pos)::int as end_pos, origin.x + start_pos * fontsize * 0.9 as x0, bbox.y0 as y0, origin.x + start_pos * fontsize * 0.9 + length(value) * fontsize * 0.9 as x1, bbox.y1 as y1 from "
-    + occ(r"[^ \t\n]+", "(select *, start_pos as base from s where dir.dy = 0 and bbox is not null)", "text", "span_id, doc_id, page_index, base, fontsize, origin, bbox")
-    + ")"
+    "(select span_id, doc_id, page_index, value as word, (base + start_pos)::int as start_pos, (base + end_pos)::int as end_pos, "
+    "case when abs(dir.dx) >= abs(dir.dy) then least(bx, ex) else bbox.x0 end as x0, case when abs(dir.dx) >= abs(dir.dy) then greatest(bx, ex) else bbox.x1 end as x1, "
+    "case when abs(dir.dx) >= abs(dir.dy) then bbox.y0 else least(bby, ey) end as y0, case when abs(dir.dx) >= abs(dir.dy) then bbox.y1 else greatest(bby, ey) end as y1 from "
+    "(select *, bx + length(value) * fontsize * 0.9 * dir.dx as ex, bby + length(value) * fontsize * 0.9 * dir.dy as ey from (select *, origin.x + start_pos * fontsize * 0.9 * dir.dx as bx, origin.y + start_pos * fontsize * 0.9 * dir.dy as bby from "
+    + occ(r"[^ \t\n]+", "(select *, start_pos as base from s where bbox is not null)", "text", "span_id, doc_id, page_index, base, fontsize, origin, bbox, dir")
+    + ")))"
 )
 _PAGES = "pg as (select doc_id, page_index, (doc_id + page_index) % 7 = 0 as has_annot, doc_id % 11 = 0 and page_index = 1 as has_widget, (doc_id % 13 = 0 and page_index = 0)::int as embfile_count, doc_id % 17 = 0 and page_index = 0 as has_ocg from p), hid as (select doc_id, page_index from pg where has_annot or has_widget or doc_id in (select doc_id from pg where embfile_count > 0 or has_ocg)), rot as (select doc_id, page_index from s group by all having bool_or(abs(dir.dy) > 0.01))"
 _WIDTH, _HEIGHT = "(case when doc_id % 5 = 0 then 842.0::double else 595.0::double end)", "(case when doc_id % 5 = 0 then 595.0::double else 842.0::double end)"

@@ -239,3 +239,14 @@ def test_numbering_in_blocks_equals_row_number(spark):
     df = spark.createDataFrame(rows, "k string, id long")
     got = numbered(df, ["k"], F.floor(F.col("id") / 100), ["id"], "n").withColumn("m", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     assert got.count() == 400 and got.filter("n <> m").count() == 0
+
+
+def test_clicks_and_drags_meet_words_of_any_direction(spark):
+    rows = [span(0, 1, "가나 다라", 0, x=10.0, y=60.0), (1, 1, 1, 0, "세로 글", (300.0, 100.0), (290.0, 100.0, 302.0, 140.0), 10.0, 6, 10, (0.0, 1.0)), (2, 1, 2, 0, "x", (1.0, 1.0), None, 10.0, 11, 12, (1.0, 0.0))]
+    words = layout.words_of(spark.createDataFrame(rows, S_SCHEMA))
+    got = {r.word: (r.start_pos, round(r.x0), round(r.y0), round(r.x1), round(r.y1)) for r in words.collect()}
+    assert got == {"가나": (0, 10, 60, 30, 74), "다라": (3, 40, 60, 60, 74), "세로": (6, 290, 100, 302, 118), "글": (9, 290, 127, 302, 136)}
+    clicks = spark.createDataFrame([(1, 1, 0, 295.0, 130.0), (2, 1, 0, 45.0, 65.0), (3, 1, 0, 500.0, 65.0)], "click_id long, doc_id long, page_index int, px double, py double")
+    assert {r.click_id: r.word for r in layout.word_at(clicks, words).collect()} == {1: "글", 2: "다라"}
+    drags = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 595.0, 842.0), (2, 1, 0, 280.0, 90.0, 310.0, 120.0), (3, 1, 0, 400.0, 1.0, 410.0, 9.0)], "drag_id long, doc_id long, page_index int, rx0 double, ry0 double, rx1 double, ry1 double")
+    assert {r.drag_id: (r.start_pos, r.end_pos) for r in layout.region_of(drags, words).collect()} == {1: (0, 10), 2: (6, 8)}
