@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
@@ -62,29 +65,43 @@ def search(findings: DataFrame, terms: DataFrame, documents: DataFrame) -> DataF
     return occurrences_of(terms, documents).join(have, SPAN, "left").select("doc_id", "value", "start_pos", "end_pos", F.col("have").isNull().alias("checked"))
 
 
-def _history(acc: Column, action: Column) -> Column:
-    """One step of the undo stack: done and undone actions."""
-    done, undone = acc["done"], acc["undone"]
-    empty = F.slice(undone, 1, 0)
-    last = F.slice(done, -1, 1)
-    undo = F.struct(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))).alias("done"), F.concat(undone, last).alias("undone"))
-    redo = F.struct(F.concat(done, F.slice(undone, -1, 1)).alias("done"), F.slice(undone, F.lit(1), F.greatest(F.size(undone) - 1, F.lit(0))).alias("undone"))
-    do = F.struct(F.array_append(done, F.struct(action["seq"].alias("seq"), action["target"].alias("target"), action["approve"].alias("approve"))).alias("done"), empty.alias("undone"))
-    kind = action["kind"]
-    stuck = ((kind == "undo") & (F.size(done) == 0)) | ((kind == "redo") & (F.size(undone) == 0))
-    return F.when(stuck, acc).when(kind == "undo", undo).when(kind == "redo", redo).otherwise(do)
+def _standing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk actions sorted by document and order, with the stacks of one document in hand."""
+    doc, done, undone, out = None, [], [], []
+
+    def close() -> None:
+        out.extend((doc, t, a) for t, a in dict(done).items())
+
+    for b in batches:
+        for of, kind, target, approve in zip(b["doc_id"], b["kind"], b["target"], b["approve"], strict=True):
+            if of != doc:
+                close()
+                doc, done, undone = of, [], []
+            if kind == "undo":
+                undone += [done.pop()] if done else []
+            elif kind == "redo":
+                done += [undone.pop()] if undone else []
+            else:
+                done.append((target, approve))
+                undone = []
+        yield _approvals(out)
+        out = []
+    close()
+    yield _approvals(out)
+
+
+def _approvals(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["doc_id", "target", "approve"])
 
 
 def undo_redo(actions: DataFrame) -> DataFrame:
-    """Actions (doc_id, seq, kind set/undo/redo, target, approve) folded in order; the standing ones come
-    out: doc_id, target, approve. A new action forgets what was undone; undo or redo of nothing does nothing.
-    A document's actions are what its reviewers clicked, so one array of them is small."""
-    step = F.struct("seq", "kind", "target", "approve")
-    by_doc = actions.groupBy("doc_id").agg(F.array_sort(F.collect_list(step)).alias("a"))
-    none = F.array().cast("array<struct<seq:int,target:bigint,approve:boolean>>")
-    done = F.aggregate("a", F.struct(none.alias("done"), none.alias("undone")), _history, lambda s: s["done"])
-    rows = by_doc.select("doc_id", F.explode(done).alias("d")).select("doc_id", "d.*")
-    return rows.groupBy("doc_id", "target").agg(F.max_by("approve", "seq").alias("approve"))
+    """Actions (doc_id, seq, kind set/undo/redo, target, approve) taken in order; the standing ones come out:
+    doc_id, target, approve, the last of each target. A new action forgets what was undone; undo or redo of
+    nothing does nothing. Each document is walked once, in time linear in its actions. Actions without a
+    document are left out."""
+    rows = actions.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "kind", F.col("target").cast("long").alias("target"), "approve")
+    walked = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").select("doc_id", "kind", "target", "approve")
+    return walked.mapInPandas(_standing, "doc_id long, target long, approve boolean")
 
 
 def deleted(findings: DataFrame, removals: DataFrame) -> DataFrame:

@@ -324,6 +324,10 @@ ORACLE = {
     "r4_manual_additions": _ADDED + f" select doc_id, value, start_pos, {classify('value')} as type, exists (select 1 from f where f.doc_id = a.doc_id and f.start_pos = a.start_pos and f.end_pos = a.end_pos) as refused from a",
     "r4_retyped": _ADDED + f", n as (select doc_id, start_pos, end_pos, min({classify('value')}) as nt from a group by all), o as (select doc_id, start_pos, end_pos, min(type) as ot from f group by all) select doc_id, start_pos, end_pos, coalesce(nt, ot) as type from n full join o using (doc_id, start_pos, end_pos)",
     "r5_search": _F + f", q as (select doc_id, ['담당', '010-', '원'][doc_id % 3 + 1] as value from documents) select doc_id, value, start_pos, end_pos, not exists (select 1 from f where f.doc_id = o.doc_id and f.start_pos = o.start_pos and f.end_pos = o.end_pos) as checked from {_places('q')} o",
+    "r6_undo_redo": "with recursive " + _F[5:] + ", a as (select doc_id, row_number() over (partition by doc_id order by finding_id) as i, case when finding_id % 5 = 3 then 'undo' when finding_id % 7 = 5 then 'redo' else 'set' end as kind, {'n': finding_id, 't': finding_id % 4, 'a': finding_id % 3 = 0} as x from f where doc_id is not null), "
+    "st as (select distinct doc_id, 0::bigint as i, [x][1:0] as done, [x][1:0] as undone from a union all select a.doc_id, a.i, case kind when 'undo' then done[1:greatest(len(done) - 1, 0)] when 'redo' then done || undone[len(undone):len(undone)] else list_append(done, x) end, "
+    "case kind when 'undo' then undone || done[len(done):len(done)] when 'redo' then undone[1:greatest(len(undone) - 1, 0)] else undone[1:0] end from st join a on a.doc_id = st.doc_id and a.i = st.i + 1), "
+    "l as (select doc_id, unnest(arg_max(done, i)) as e from st group by 1) select doc_id, e.t as target, arg_max(e.a, e.n) as approve from l group by all",
     "r7_deleted": _F + " select finding_id from f where finding_id % 6 <> 0",
     "r8_retry": _F + " select finding_id from f where exists (select 1 from f g where g.finding_id % 9 = 0 and g.doc_id = f.doc_id and g.value = f.value)",
     "v1_leftovers": _MASKED + " select d.doc_id, d.type, d.value, d.start_pos from det d join masked m using (doc_id) where substr(m.masked, d.start_pos + 1, length(d.value)) = d.value",
@@ -336,6 +340,8 @@ ORACLE = {
     "s1_rebuild_text": _F + " select doc_id, page_index, string_agg(text, chr(10) order by span_ord, span_id) || chr(10) as text from s where text <> '' group by all",
     "s2_page_sizes": _F + f" select doc_id, page_index, {_WIDTH} as width, {_HEIGHT} as height from p",
     "s3_dictionary": f"select distinct {trim('word')} as word from candidate_events where {trim('word')} <> ''",
+    "s4_audit_log": "select logged_at as timestamp, processor, original_filename, original_sha256, output_filename, masked_counts, coalesce(rotated_text_warning, false) as rotated_text_warning, coalesce(hidden_content_warning, false) as hidden_content_warning, review_seconds from audit_log",
+    "s5_learning_logs": "select word, direction, '후보' as event, count(*) as n from candidate_events group by all union all select word, direction, event, count(*) from promotion_log group by all",
     "s8_failure_reason": "select audit_id, case audit_id % 6 when 0 then '매크로 보안 경고로 자동화가 차단됨' when 1 then '비밀번호로 잠긴 파일' when 2 then '한/글이 이미 다른 작업으로 사용 중' when 3 then '손상되었거나 지원하지 않는 파일 형식' when 4 then '손상되었거나 지원하지 않는 파일 형식' else '변환 실패 (원인 미분류, 로그 확인 필요): timeout' end as reason from audit_log",
     "s10_gold_spans": _GOLD + " select * from g1",
     "k1_audit_rows": _F + " select a.audit_id, string_agg(type || ':' || n, ';' order by type) as masked_counts from audit_log a join (select doc_id, type, count(*) as n from f where approved and type is not null group by all) c on c.doc_id = a.audit_id group by 1",

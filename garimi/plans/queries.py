@@ -16,8 +16,9 @@ from garimi.functions import masking as M
 from garimi.functions.offsets import each, occurrences
 from garimi.functions.text import line_end, line_start, strip_ws
 from garimi.operators import audit, detect, evaluate, findings as G, layout, learning, replay, review, templates, verify
+from garimi.sources import files
 from garimi.sources.tables import table
-from garimi.staging import spread, staged
+from garimi.staging import scratch_folder, spread, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -490,6 +491,38 @@ def s2_page_sizes(s, d):
     return _sizes(s, d)
 
 
+@query
+def s4_audit_log(s, d):
+    """The audit log appended to a CSV log in two parts and read back."""
+    path = scratch_folder(s, "audit-log")
+    flag = lambda c: F.when(F.col(c), "True").otherwise("False").alias(c)
+    log = table(s, d, "audit_log").select(F.col("logged_at").alias("timestamp"), "processor", "original_filename", "original_sha256", "output_filename", "masked_counts", flag("rotated_text_warning"), flag("hidden_content_warning"), F.col("review_seconds").cast("string").alias("review_seconds"), "audit_id")
+    for part in (0, 1):
+        files.append_audit_log(log.filter(F.col("audit_id") % 2 == part), path)
+    return files.read_audit_log(s, path)
+
+
+@query
+def s5_learning_logs(s, d):
+    """Candidates and promotions appended to their CSV logs and read back, counted by event."""
+    a, b = scratch_folder(s, "candidates"), scratch_folder(s, "promotions")
+    files.append_candidates(table(s, d, "candidate_events"), a)
+    files.append_promotions(table(s, d, "promotion_log"), b)
+    back = files.read_candidates(s, a).withColumn("event", F.lit("후보")).unionByName(files.read_promotions(s, b))
+    return back.groupBy("word", "direction", "event").agg(F.count("*").alias("n"))
+
+
+@query
+def s6_template_store(s, d):
+    """The learned templates written to a store (k10) and read back: their numbers of anchors and items."""
+    path, learned = scratch_folder(s, "templates"), _learned(s, d)[2]
+    anchor = F.array(F.col("page_index").cast("string"), "label", F.col("xb").cast("string"), F.col("yb").cast("string"))
+    item = F.struct("type", "page_index", F.col("xb").alias("x_bucket"), F.col("yb").alias("y_bucket"), "label")
+    store = learned.groupBy("template_id").agg(F.collect_list(F.when(F.col("kind") == "anchor", anchor)).alias("anchors"), F.collect_list(F.when(F.col("kind") == "item", item)).alias("items"), F.max("sample_count").alias("sample_count"))
+    files.write_templates(store.select(F.col("template_id").cast("string").alias("id"), F.lit(1).alias("page_count"), "anchors", "items", "sample_count", F.lit("").alias("updated_at")), path)
+    return files.read_templates(s, path).select(F.col("id").cast("long").alias("template_id"), F.size("anchors").alias("n_anchors"), F.size("items").alias("n_items"), "sample_count")
+
+
 @query
 def s8_failure_reason(s, d):
     m = F.element_at(F.array(*map(F.lit, ("Macro blocked", "파일 암호 필요", "Already open: in use", "CORRUPT header", "지원하지 않는 형식", "timeout"))), (F.col("audit_id") % 6 + 1).cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimi import dictionaries as D
 from garimi.functions.text import strip_ws
 
 AUDIT = T.StructType([T.StructField(n, T.StringType()) for n in ("timestamp", "processor", "original_filename", "original_sha256", "output_filename", "masked_counts", "rotated_text_warning", "hidden_content_warning", "review_seconds")])
@@ -24,6 +25,11 @@ SPANS = (
 PDF_COLUMNS = ["path", "span_ord", "page_index", "text", "origin", "bbox", "fontsize", "start_pos", "end_pos", "dir", "width", "height", "has_annot", "has_widget"]
 
 
+#: Values keep their outer white space. An empty text is written in quotation marks, a missing one as nothing.
+_AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_READ = {**_AS_IS, "multiLine": True, "escape": '"', "nullValue": "\uffff"}  # a mark that no text holds, so that an empty one stays
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
@@ -40,28 +46,48 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip_ws(F.col("value")).alias("word")).filter("word <> ''").distinct()
 
 
+def append_candidates(rows: DataFrame, path: str) -> None:
+    rows.select(*CANDIDATES.names).write.mode("append").csv(path, header=True, escape='"', **_AS_IS)
+
+
+def append_promotions(rows: DataFrame, path: str) -> None:
+    rows.select(*PROMOTIONS.names).write.mode("append").csv(path, header=True, escape='"', **_AS_IS)
+
+
+def make_folders(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folders of a workspace, made where they are missing: role to path. One that a file stands in the way
+    of is an error before anything is written."""
+    out = {}
+    for role, name in D.FOLDERS.items():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p):
+            raise OSError(f"{root}/{name} can't be made")
+        out[role] = f"{root}/{name}"
+    return out
+
+
 def write_dictionary(words: DataFrame, path: str) -> None:
     words.select("word").write.mode("overwrite").text(path)
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     """The audit log, typed; empty if there is none. ``"True"`` is true, anything else false."""
-    raw = _or_empty(spark, path, AUDIT, lambda: spark.read.schema(AUDIT).csv(path, header=True, multiLine=True, escape='"'))
+    raw = _or_empty(spark, path, AUDIT, lambda: spark.read.schema(AUDIT).csv(path, header=True, **_READ))
     flags = {c: F.coalesce(F.col(c) == "True", F.lit(False)) for c in ("rotated_text_warning", "hidden_content_warning")}
     return raw.withColumns(flags).withColumn("review_seconds", F.col("review_seconds").try_cast("double"))
 
 
 def append_audit_log(rows: DataFrame, path: str) -> None:
     """Append rows; each part file carries its own header."""
-    rows.select(*AUDIT.names).write.mode("append").csv(path, header=True, escape='"')
+    rows.select(*AUDIT.names).write.mode("append").csv(path, header=True, escape='"', **_AS_IS)
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(spark, path, CANDIDATES, lambda: _bom_free(spark.read.schema(CANDIDATES).csv(path, header=True, enforceSchema=True), "word"))
+    return _or_empty(spark, path, CANDIDATES, lambda: _bom_free(spark.read.schema(CANDIDATES).csv(path, header=True, enforceSchema=True, **_READ), "word"))
 
 
 def read_promotions(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(spark, path, PROMOTIONS, lambda: _bom_free(spark.read.schema(PROMOTIONS).csv(path, header=True, enforceSchema=True), "word"))
+    return _or_empty(spark, path, PROMOTIONS, lambda: _bom_free(spark.read.schema(PROMOTIONS).csv(path, header=True, enforceSchema=True, **_READ), "word"))
 
 
 def _bom_free(df: DataFrame, first: str) -> DataFrame:
@@ -69,8 +95,10 @@ def _bom_free(df: DataFrame, first: str) -> DataFrame:
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """A template store (a JSON list); empty if there is none."""
-    return _or_empty(spark, path, TEMPLATES, lambda: spark.read.schema(TEMPLATES).json(path, multiLine=True))
+    """A template store; empty if there is none. A file holds a JSON list, a folder (``write_templates``) a template a line."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(p)
+    return _or_empty(spark, path, TEMPLATES, lambda: spark.read.schema(TEMPLATES).json(path, multiLine=listed))
 
 
 def write_templates(templates: DataFrame, path: str) -> None:

@@ -37,6 +37,13 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(target)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; deleted when the application ends."""
+    path = f"{shared_root(spark)}/garimi-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back; deleted when the application ends."""
     spark = df.sparkSession

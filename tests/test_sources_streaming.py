@@ -27,6 +27,26 @@ def test_logs(spark, tmp_path):
     c.write_text("﻿word,direction,ts\n가,제외,2033-01-01T00:00:00\n", encoding="utf-8")
     assert [tuple(x) for x in files.read_candidates(spark, str(c)).collect()] == [("가", "제외", "2033-01-01T00:00:00")]
     assert files.read_templates(spark, str(tmp_path / "t.json")).count() == 0
+    (tmp_path / "t.json").write_text('[{"id": "a", "page_count": 1,\n "anchors": [[0, "성명", 1, 2]], "items": [], "sample_count": 3}, {"id": "b"}]', encoding="utf-8")
+    store = files.read_templates(spark, str(tmp_path / "t.json"))
+    assert [(r.id, r.anchors) for r in store.collect()] == [("a", [["0", "성명", "1", "2"]]), ("b", None)]
+    files.write_templates(store, str(tmp_path / "store"))
+    assert files.read_templates(spark, str(tmp_path / "store")).count() == 2
+
+
+def test_logs_keep_values_as_they_are(spark, tmp_path):
+    rows = [(" 가 ", "제외", 'a"b'), ("", None, "x\ny"), (None, "", ",")]
+    files.append_candidates(spark.createDataFrame(rows, files.CANDIDATES), str(tmp_path / "c"))
+    assert {tuple(r) for r in files.read_candidates(spark, str(tmp_path / "c")).collect()} == set(rows)
+
+
+def test_folders(spark, tmp_path):
+    made = files.make_folders(spark, f"file://{tmp_path}/ws")
+    assert set(made) == {"originals", "masked", "reports", "logs"} and (tmp_path / "ws" / "로그").is_dir()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "로그").write_text("x")
+    with pytest.raises(Exception):
+        files.make_folders(spark, f"file://{tmp_path}/bad")
 
 
 def test_pdf_source_needs_its_library(spark):
