@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,16 +215,25 @@ def raw_findings(text: Column, words: Words = WORDS) -> Column:
     return F.concat(phones(text), *[d(text) for d in NUMBERS], names(text, words), addresses(text))
 
 
-def detect_all(text: Column, words: Words = WORDS) -> Column:
+def detect_all(text: Column | str, words: Words = WORDS) -> Column:
     """Findings of a text: detect, cross-validate, dedupe, sort by start. Null text gives null.
 
+    The expression is large, and what it costs is building it: of a column given by its name it is built once.
+
     One dedupe at the end does for one before cross-validation as well: a name shares its span with other names
     alone, all of which move up together, and lead to the same candidates."""
+    if isinstance(text, str):
+        return _detect_named(text, words, id(SparkContext._gateway))
     raw = F.concat(_phones(text), *[_anywhere(d(text)) for d in NUMBERS], _names(text, words), _anywhere(addresses(text)))
     crossed = let(let(raw, bump_phone_lines), lambda fs: repeated_label_names(text, fs))
     return F.when(text.isNotNull(), _plain(dedupe(crossed, lambda e: e["f"], by_start=True)))
 
 
+@lru_cache(32)
+def _detect_named(text: str, words: Words, gateway: int) -> Column:
+    return detect_all(F.col(text), words)
+
+
 def hints(text: Column, found: Column) -> Column:
     """What looks like a number of a kind but fails its context or check digit, at no found span: for the
     reviewer only. Resident numbers, then account numbers, then card numbers."""
@@ -266,4 +277,4 @@ def exploded(documents: DataFrame, found: Column, *keep: str) -> DataFrame:
 
 def findings(documents: DataFrame, words: Words = WORDS) -> DataFrame:
     """The findings of all documents (doc_id, text)."""
-    return exploded(documents, detect_all(F.col("text"), words))
+    return exploded(documents, detect_all("text", words))

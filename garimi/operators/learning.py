@@ -26,7 +26,7 @@ def learned_words(spark: SparkSession, standing: DataFrame) -> Words:
     rows = base_dictionary(spark).unionByName(standing.filter(F.col("direction").isin(DIRECTIONS)).select("word", "direction")).distinct().limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
         raise ValueError(f"a dictionary of more than {MOST_WORDS} words is too large for a plan")
-    return Words(*(sorted(r["word"] for r in rows if r["direction"] == d) for d in (D.NAME_DIRECTION, D.EXCLUDE_DIRECTION)))
+    return Words(*(tuple(sorted(r["word"] for r in rows if r["direction"] == d)) for d in (D.NAME_DIRECTION, D.EXCLUDE_DIRECTION)))
 
 
 def valid_candidates(candidates: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def redaction_plan(findings: DataFrame, documents: DataFrame) -> DataFrame:
 
 def masked(documents: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text, found, masked: every text with all its findings masked. One pass, no shuffle."""
-    rows = documents.filter("text is not null").select("doc_id", *keep, "text", detect.detect_all(F.col("text")).alias("found"))
+    rows = documents.filter("text is not null").select("doc_id", *keep, "text", detect.detect_all("text").alias("found"))
     return rows.withColumn("masked", mask_text(F.col("text"), F.col("found")))
 
 
@@ -34,7 +34,7 @@ def leftovers(masked_rows: DataFrame) -> DataFrame:
 
 def redetected(masked_rows: DataFrame) -> DataFrame:
     """Strict recheck: findings of the masked text, by type. A masked address may be found again by its label."""
-    return detect.exploded(masked_rows.select("doc_id", F.col("masked").alias("text")), detect.detect_all(F.col("text")))
+    return detect.exploded(masked_rows.select("doc_id", F.col("masked").alias("text")), detect.detect_all("text"))
 
 
 def _kinds() -> Column:
@@ -80,6 +80,7 @@ def retry_spans(findings: DataFrame, left: DataFrame) -> DataFrame:
 def scrub_hidden(hidden: DataFrame) -> DataFrame:
     """Hidden strings (doc_id, kind, ord, content), each detected and masked by itself, without review.
     ``clean``: none of the original values is left."""
-    rows = hidden.withColumn("found", detect.detect_all(F.col("content"))).withColumn("masked", mask_text(F.col("content"), F.col("found")))
+    strings = hidden.select("doc_id", "kind", "ord", F.col("content").alias("text"))
+    rows = strings.withColumn("found", detect.detect_all("text")).withColumn("masked", mask_text(F.col("text"), F.col("found")))
     clean = F.when(F.col("found").isNotNull(), ~F.array_contains(within(F.col("masked"), F.transform("found", lambda f: f["value"])), True))
     return rows.select("doc_id", "kind", "ord", F.size("found").alias("n_found"), "masked", clean.alias("clean"))

@@ -330,7 +330,7 @@ ORACLE = {
     "l as (select doc_id, unnest(arg_max(done, i)) as e from st group by 1) select doc_id, e.t as target, arg_max(e.a, e.n) as approve from l group by all",
     "r7_deleted": _F + " select finding_id from f where finding_id % 6 <> 0",
     "r8_retry": _F + " select finding_id from f where exists (select 1 from f g where g.finding_id % 9 = 0 and g.doc_id = f.doc_id and g.value = f.value)",
-    "v1_leftovers": _MASKED + " select d.doc_id, d.type, d.value, d.start_pos from det d join masked m using (doc_id) where substr(m.masked, d.start_pos + 1, length(d.value)) = d.value",
+    "v1_leftovers": _MASKED + " select d.doc_id, d.type, d.value, d.start_pos from det d join masked m using (doc_id) where substr(case when d.doc_id % 10 = 0 then m.text else m.masked end, d.start_pos + 1, length(d.value)) = d.value",
     "v4_byte_residue": _MASKED + " select distinct d.doc_id, d.type, d.value from det d join masked m using (doc_id) where contains(m.masked, d.value)",
     "v3_hidden": f"with h as (select finding_id as hid, '메모: 연락처 010-9999-8888, ' || coalesce(type, '기타') || ': ' || coalesce(value, '') as content from (select distinct * from findings)), {masked_ctes('h', 'content', 'hid')} select hid as ord, (select count(*) from det d where d.hid = m.hid)::int as n_found, masked, not exists (select 1 from det d where d.hid = m.hid and contains(m.masked, d.value)) as clean from masked m",
     "v3_redetected": _MASKED + ", " + _again("masked", "masked") + " select type, count(*) as n from det_m group by 1",

@@ -105,8 +105,7 @@ def n6_names(s, d):
 
 @query
 def n8_hints(s, d):
-    x = F.col("text")
-    rows = each(_docs(s, d), detect.hints(x, detect.detect_all(x)), "f", "doc_id")
+    rows = each(_docs(s, d), detect.hints(F.col("text"), detect.detect_all("text")), "f", "doc_id")
     return rows.select("doc_id", "f.type", "f.value", "f.start_pos", "f.grp")
 
 
@@ -450,7 +449,9 @@ def r8_retry(s, d):
 
 @query
 def v1_leftovers(s, d):
-    return verify.leftovers(verify.masked(_docs(s, d)))
+    """Every tenth document comes back from its writer as it was."""
+    rows = verify.masked(_docs(s, d))
+    return verify.leftovers(rows.withColumn("masked", F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(F.col("masked"))))
 
 
 def _hidden(s, d):

@@ -28,7 +28,7 @@ def publish(batch: DataFrame, folder: str, batch_id: int) -> None:
 
     A batch that is run again overwrites its own part, so a retry neither doubles nor loses rows; readers see
     ``_SUCCESS`` only when all of it is there. The masked rows are computed once, into the shared folder."""
-    found = detect.detect_all(F.col("text"))
+    found = detect.detect_all("text")
     extra = ["hidden"] if "hidden" in batch.columns else []
     rows = batch.filter("text is not null").select("doc_id", "text", *extra, found.alias("found")).withColumn("masked", mask_text(F.col("text"), F.col("found")))
     rows = rows.join(checks(rows).groupBy("doc_id").agg(F.sum(F.col("left_over") + F.col("residue")).alias("left")), "doc_id")
