@@ -59,8 +59,6 @@ _EFFECT = T.StructType(
         T.StructField("change_id", T.LongType()),
         T.StructField("hit_count", T.IntegerType()),
         T.StructField("hit_known", T.BooleanType()),
-        T.StructField("n_applied", T.LongType()),
-        T.StructField("n_repeats", T.LongType()),
     ]
 )
 
@@ -71,11 +69,10 @@ def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
     kind = change = hits = first = last = None
     known = False
-    applied = repeats = 0
 
     def close() -> None:
         if key is not None:
-            out.append((*key, first[0], first[1], kind, change, hits, known, applied, repeats))
+            out.append((*key, first[0], first[1], kind, change, hits, known))
 
     for batch in batches:
         for word, direction, event, at, seq, hit in zip(
@@ -85,12 +82,10 @@ def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (word, direction) != key:
                 close()
                 key, first, last = (word, direction), (at, int(seq)), None
-                kind, change, hits, known, applied, repeats = "keep", None, None, False, 0, 0
+                kind, change, hits, known = "keep", None, None, False
             if last == (at, seq):
-                repeats += 1
                 continue  # already applied
             last = (at, seq)
-            applied += 1
             if event == PUT:
                 kind, change, hits, known = "put", int(seq), hit, True
             elif event == REMOVE:
