@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from garimi.staging import staged
 
 PARTS_A_SALT = 500_000  # parts of a size that one task numbers, about
 JOINT = "joint"
+MOST_SLOTS = 5_000_000  # entries of the look-up that every task gets, 40 bytes each
 
 
 @dataclass
@@ -131,13 +133,13 @@ _OUT = T.StructType(
 )
 
 
-def _place(plans: list[tuple[str, Assignment, dict[int, str]]]):
-    """Container of each ranked part, by look-up in its plan's assignment."""
+def _place(shared: Broadcast):
+    """Container of each ranked part, by look-up in its plan's assignment: (name, assignment, kinds) of each plan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-            for k, (plan, assign, kinds) in enumerate(plans):
+            for k, (plan, assign, kinds) in enumerate(shared.value):
                 mine = cols["plan_no"] == k
                 n = int(mine.sum())
                 if not n:
@@ -198,7 +200,10 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
         groups = best_fit({r["size"]: r["n"] for r in counted if r["plan_no"] == k}, permitted)
         ready.append((name, Assignment(groups), {c: kinds[c] for c in permitted}))
     ranked = _ranked(parts).select("plan_no", "doc_id", "part", "n_parts", "start_token", "size", "rank")
-    return ranked.mapInArrow(_place(ready), _OUT)
+    # Best fit makes at most a few groups for each size, so what is broadcast is bounded by the capacities alone.
+    if sum(len(a.size) for _, a, _ in ready) > MOST_SLOTS:
+        raise ValueError(f"containers of more than {MOST_SLOTS} slots in all: their capacity is too large for one look-up")
+    return ranked.mapInArrow(_place(sizes.sparkSession.sparkContext.broadcast(ready)), _OUT)
 
 
 def pack_documents(documents: DataFrame, containers: DataFrame, folder: str | None = None) -> DataFrame:
