@@ -37,7 +37,7 @@ from garimi.staging import spread, staged
 
 #: Fixed encodings: those text is written in, and those it is wrongly read in.
 WRITTEN = ("utf-8", "cp949")
-SINGLE_BYTE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8-r", "iso8859-2", "iso8859-15", "cp1254")
+SINGLE_BYTE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "iso8859-5", "cp1253", "iso8859-7", "cp852", "cp1257", "mac_cyrillic")
 MULTI_BYTE = ("cp949", "cp932", "shift_jis", "gbk", "big5", "euc_jp")
 TWICE = ("cp1252", "latin-1")
 RUN = r"[^\x00-\x7F]+"
@@ -131,7 +131,8 @@ def _forms(words: list[str], tokens: Bloom | None = None) -> Iterator[tuple[int,
     """Place of the word, garbled form and the first chain that makes it; with ``tokens`` only forms that may be one.
 
     A form of one character is kept only if it is all that a reading in pairs of bytes makes of a
-    character; else bytes were lost beyond recognition."""
+    character; else bytes were lost beyond recognition. One that is nothing but replacement characters shows
+    that text was garbled, but is no word's alone."""
     seen: set[tuple[int, int]] = set()
     korean = [i for i, w in enumerate(words) if w.encode("cp949", "ignore").decode("cp949") == w]
     for name, garble in chains().items():
@@ -141,11 +142,11 @@ def _forms(words: list[str], tokens: Bloom | None = None) -> Iterator[tuple[int,
         picked = range(len(made)) if tokens is None else np.flatnonzero(tokens.contains(np.array(hashes, np.uint64).view(np.int64)))
         for k in picked:
             form, i = made[k], at[k]
-            if form is None or form == words[i] or (i, hashes[k]) in seen or not regex.search(r"[^\x00-\x7f�]", form) or regex.search(r"[\x00-\x7f]", form):
+            if form is None or form == words[i] or (i, hashes[k]) in seen or not form or regex.search(r"[\x00-\x7f]", form):
                 continue
             if name == "cp949>utf-8:replace" and "�" not in form and regex.search("[가-힣]", form):
                 continue  # the word is garbled and the form its original
-            if len(form) > 1 or any(m in name for m in _MULTI):
+            if len(form) > 1 or form != "�" and any(m in name for m in _MULTI):
                 seen.add((i, hashes[k]))
                 yield i, form, name
 
@@ -164,6 +165,9 @@ def key(run: Column) -> Column:
     return F.when(F.length(run) <= LONGEST_KEY, run).otherwise(F.sha2(run, 256))
 
 
+_LOST = re.compile("�+")
+
+
 def _garbled_forms(tokens: Bloom):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -174,7 +178,8 @@ def _garbled_forms(tokens: Bloom):
                 for i, form, name in _forms(words, tokens):
                     if i not in clean:
                         clean[i] = bool(regex.search(_HANGUL, words[i])) or undo(words[i]) is None
-                    rows.append((_key(form), _key(words[i]), docs[i], clean[i], name))
+                    word = form if _LOST.fullmatch(form) else words[i]
+                    rows.append((_key(form), _key(word), docs[i], clean[i], name))
                 yield pd.DataFrame(rows, columns=["key", "word", "word_docs", "clean", "chain"])
 
     return run
@@ -356,7 +361,7 @@ def repair(text: str, chain: str, fixes: dict[str, str]) -> tuple[str, int, int]
                 word = back(run)
             except (UnicodeError, KeyError):
                 word = None
-        if word is not None:
+        if word is not None and word != run:
             done += 1
             return word
         left += bool(regex.search(r"[\x80-\x9f�]", run))

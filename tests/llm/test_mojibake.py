@@ -84,3 +84,24 @@ def test_plain_hangul_forms(spark):
     rows = [(i, " ".join(words)) for i in range(3)] + [(10, " ".join(map(chain, words))), (11, "앞 문장\n" + chain("예산")), (12, f"{chain('용산')} {chain('용역')}"), (13, "뷁톤산업 협의")]
     got = {r.doc_id: r.text for r in m.restored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {10: " ".join(words), 11: "앞 문장\n예산", 12: "용산 용역"}
+
+
+def test_lost_beyond_recognition(spark):
+    """A passage of which replacement characters alone came out is found; nothing is put in its place."""
+    lost = "예산".encode("cp949").decode("utf-8", "replace")
+    assert set(lost) == {"�"} and m.forms("예산")[lost] == "cp949>utf-8:replace"
+    rows = [(i, "예산 집행 내역") for i in range(3)] + [(9, f"앞 문장 {lost} 뒤"), (10, "한 글자 � 뿐")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_repaired, r.n_left) for r in m.restored(df).collect()}
+    assert got[9] == (f"앞 문장 {lost} 뒤", 0, 1) and not set(got) - {9, 10}
+
+
+def test_bulk_forms_equal_single_ones():
+    words = ["예산", "집행내역을", "Café", "見積書", "�x", "뷁", "①②", "😀가"]
+    bulk = {}
+    for i, form, name in m._forms(words):
+        bulk.setdefault(words[i], {})[form] = name
+    for w in words:
+        assert bulk.get(w, {}) == m.forms(w)
+        for form, name in m.forms(w).items():
+            assert m.chains()[name](w) == form
