@@ -313,14 +313,14 @@ ORACLE = {
     "t4_item_positions": f"with f as (select distinct * from findings), s as (select distinct * from spans where bbox is not null), c as (select finding_id, any_value(doc_id) as doc_id, arg_min({{'p': s_page, 'b': s_bbox}}, (s_span_ord, s_span_id)) as x from {_COVER} group by 1) select finding_id, x.p as page_index, {_CENTRE.replace('s_bbox', 'x.b')} from c",
     "t5_signatures": _ANCHORS + " select * from an",
     "t6_similarities": _ANCHORS + ", " + _similar("an") + " select * from sim",
-    "t7_best_match": _ANCHORS + ", cut as (select * from an where (doc_id + xb + yb) % 8 > 0), " + _similar("cut") + " select doc_id, template_id, score from sim where score >= 0.6 qualify row_number() over (partition by doc_id order by score desc, template_id) = 1",
+    "t7_best_match": _ANCHORS + ", cut as (select * from an where label <> '성명'), " + _similar("cut") + " select doc_id, template_id, score from sim where score >= 0.6 qualify row_number() over (partition by doc_id order by score desc, template_id) = 1",
     "u1_promotions": f"with {_EVENTS} select word, direction, event_id from e where tsz is not null and not {_HELD} qualify row_number() over (partition by word, direction order by tsz, event_id) = 3",
     "u2_epochs": f"with {_LAST_TS}, {_EVENTS}, c as (select word, direction, max(tsz) as cut from z where event = '취소' group by all) select e.word, e.direction, count(*) as n_since, count(*) >= 3 and not bool_or({_HELD.replace('word', 'e.word').replace('direction', 'e.direction')}) as promote from e left join c using (word, direction) where e.tsz is not null and (cut is null or e.tsz > cut) group by all",
     "u5_learned_names": _P4 + f", w as (select word, direction from s where last_set = '반영'), r as ({' union all '.join(f'select doc_id, {i} as rule, ord, value, start_pos, {chr(39)}{g}{chr(39)} as grp from ({rows.replace(_IS_NAME, _LEARNED)})' for i, (k, _, g, rows) in enumerate(_rules()) if k == D.NAME)}) select doc_id, value, start_pos, grp from r qualify row_number() over (partition by doc_id, start_pos, length(value) order by rule, ord) = 1",
     "u3_learning_signals": _F + f" select doc_id, finding_id, case when source = '{D.SOURCE_MANUAL}' then substr(value, 1, 1) else value end as word, case when source = '{D.SOURCE_MANUAL}' then '{D.NAME_DIRECTION}' else '{D.EXCLUDE_DIRECTION}' end as direction from f where type = '{D.NAME}' and value <> '' and ((source = '{D.SOURCE_AUTO}' and not approved) or source = '{D.SOURCE_MANUAL}')",
-    "r1_apply_decisions": _F + " select f.finding_id, case when exists (select 1 from f g where g.finding_id % 4 = 0 and g.doc_id = f.doc_id and g.start_pos = f.start_pos and g.end_pos = f.end_pos) then f.start_pos % 2 = 0 else true end as approved from f",
-    "r2_set_all": _F + " select finding_id, case when exists (select 1 from documents d where d.doc_id = f.doc_id and d.doc_id % 3 = 0) then f.doc_id % 2 = 0 else approved end as approved from f",
-    "r3_same_value": _F + f", k as (select doc_id, value from f where finding_id % 10 = 0 and value <> '' and type is not null) select doc_id, value, start_pos, grp, source from f where exists (select 1 from k where k.doc_id = f.doc_id and k.value = f.value) union all select doc_id, value, start_pos, '{D.GROUP_SAME_VALUE}', '{D.SOURCE_MANUAL}' from {_places('k')} o where not exists (select 1 from f where f.doc_id = o.doc_id and f.start_pos = o.start_pos and f.end_pos = o.end_pos)",
+    "r1_apply_decisions": _F + " select f.finding_id, case when exists (select 1 from f g where g.source = '자동' and g.doc_id = f.doc_id and g.start_pos = f.start_pos and g.end_pos = f.end_pos) then f.start_pos % 2 = 0 else true end as approved from f",
+    "r2_set_all": _F + " select finding_id, case when exists (select 1 from documents d where d.doc_id = f.doc_id and d.doc_type = '민원') then f.doc_id % 2 = 0 else approved end as approved from f",
+    "r3_same_value": _F + f", k as (select doc_id, value from f where value <> '' and type is not null) select doc_id, value, start_pos, grp, source from f where exists (select 1 from k where k.doc_id = f.doc_id and k.value = f.value) union all select doc_id, value, start_pos, '{D.GROUP_SAME_VALUE}', '{D.SOURCE_MANUAL}' from {_places('k')} o where not exists (select 1 from f where f.doc_id = o.doc_id and f.start_pos = o.start_pos and f.end_pos = o.end_pos)",
     "r4_manual_additions": _ADDED + f" select doc_id, value, start_pos, {classify('value')} as type, exists (select 1 from f where f.doc_id = a.doc_id and f.start_pos = a.start_pos and f.end_pos = a.end_pos) as refused from a",
     "r4_retyped": _ADDED + f", n as (select doc_id, start_pos, end_pos, min({classify('value')}) as nt from a group by all), o as (select doc_id, start_pos, end_pos, min(type) as ot from f group by all) select doc_id, start_pos, end_pos, coalesce(nt, ot) as type from n full join o using (doc_id, start_pos, end_pos)",
     "r5_search": _F + f", q as (select doc_id, ['담당', '010-', '원'][doc_id % 3 + 1] as value from documents) select doc_id, value, start_pos, end_pos, not exists (select 1 from f where f.doc_id = o.doc_id and f.start_pos = o.start_pos and f.end_pos = o.end_pos) as checked from {_places('q')} o",
@@ -328,8 +328,8 @@ ORACLE = {
     "st as (select distinct doc_id, 0::bigint as i, [x][1:0] as done, [x][1:0] as undone from a union all select a.doc_id, a.i, case kind when 'undo' then done[1:greatest(len(done) - 1, 0)] when 'redo' then done || undone[len(undone):len(undone)] else list_append(done, x) end, "
     "case kind when 'undo' then undone || done[len(done):len(done)] when 'redo' then undone[1:greatest(len(undone) - 1, 0)] else undone[1:0] end from st join a on a.doc_id = st.doc_id and a.i = st.i + 1), "
     "l as (select doc_id, unnest(arg_max(done, i)) as e from st group by 1) select doc_id, e.t as target, arg_max(e.a, e.n) as approve from l group by all",
-    "r7_deleted": _F + " select finding_id from f where finding_id % 6 <> 0",
-    "r8_retry": _F + " select finding_id from f where exists (select 1 from f g where g.finding_id % 9 = 0 and g.doc_id = f.doc_id and g.value = f.value)",
+    "r7_deleted": _F + " select finding_id from f where source is distinct from '수동'",
+    "r8_retry": _F + " select finding_id from f where exists (select 1 from f g where not g.approved and g.doc_id = f.doc_id and g.value = f.value)",
     "v1_leftovers": _MASKED + " select d.doc_id, d.type, d.value, d.start_pos from det d join masked m using (doc_id) where substr(case when d.doc_id % 10 = 0 then m.text else m.masked end, d.start_pos + 1, length(d.value)) = d.value",
     "v4_byte_residue": _MASKED + " select distinct d.doc_id, d.type, d.value from det d join masked m using (doc_id) where contains(m.masked, d.value)",
     "v3_hidden": f"with h as (select finding_id as hid, '메모: 연락처 010-9999-8888, ' || coalesce(type, '기타') || ': ' || coalesce(value, '') as content from (select distinct * from findings)), {masked_ctes('h', 'content', 'hid')} select hid as ord, (select count(*) from det d where d.hid = m.hid)::int as n_found, masked, not exists (select 1 from det d where d.hid = m.hid and contains(m.masked, d.value)) as clean from masked m",

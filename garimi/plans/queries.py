@@ -331,9 +331,9 @@ def t6_similarities(s, d):
 
 @query
 def t7_best_match(s, d):
-    """The best of all other documents' layouts, one anchor in eight apart."""
+    """The best of all documents' layouts for each without its names' labels."""
     a = _anchors(s, d)
-    return templates.best_match(a.filter((F.col("doc_id") + F.col("xb") + F.col("yb")) % 8 > 0), _forms(a))
+    return templates.best_match(a.filter("label <> '성명'"), _forms(a))
 
 
 def _learned(s, d):
@@ -383,7 +383,8 @@ def u3_learning_signals(s, d):
 
 
 def _decisions(s, d):
-    f = _findings(s, d).filter("finding_id % 4 = 0")
+    """Two decisions on every automatic finding, the later one counting."""
+    f = _findings(s, d).filter(F.col("source") == D.SOURCE_AUTO)
     return f.select("doc_id", "start_pos", "end_pos", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("doc_id", "start_pos", "end_pos", (F.col("start_pos") * 10 + F.col("k")).alias("seq"), ((F.col("start_pos") + F.col("k")) % 2 == 0).alias("approve"))
 
 
@@ -394,13 +395,13 @@ def r1_apply_decisions(s, d):
 
 @query
 def r2_set_all(s, d):
-    orders = table(s, d, "documents").filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("seq"), (F.col("doc_id") % 2 == 0).alias("approve"))
+    orders = table(s, d, "documents").filter("doc_type = '민원'").select("doc_id", F.lit(1).alias("seq"), (F.col("doc_id") % 2 == 0).alias("approve"))
     return review.set_all(_findings(s, d), orders).select("finding_id", "approved")
 
 
 @query
 def r3_same_value(s, d):
-    picked = _findings(s, d).filter("finding_id % 10 = 0 and value <> '' and type is not null").select("doc_id", "type", "value")
+    picked = _findings(s, d).filter("value <> '' and type is not null").select("doc_id", "type", "value")
     return review.same_value(_findings(s, d), picked, _docs(s, d)).select("doc_id", "value", "start_pos", "grp", "source")
 
 
@@ -437,13 +438,13 @@ def r6_undo_redo(s, d):
 
 @query
 def r7_deleted(s, d):
-    return review.deleted(_findings(s, d), _findings(s, d).filter("finding_id % 6 = 0")).select("finding_id")
+    return review.deleted(_findings(s, d), _findings(s, d).filter(F.col("source") == D.SOURCE_MANUAL)).select("finding_id")
 
 
 @query
 def r8_retry(s, d):
     f = _findings(s, d)
-    left = f.filter("finding_id % 9 = 0").select("doc_id", "value")
+    left = f.filter("not approved").select("doc_id", "value")
     return verify.retry_spans(f, left).select("finding_id")
 
 
