@@ -2,17 +2,22 @@
 
 Matching is an inverted index: anchors are exploded and joined on equality, shared ones counted; no
 document is compared with a template it shares nothing with. Documents and templates with the same anchors
-are one in the index, so a form in a million copies is one set; the best match joins on the rare anchors
+are one in the index, so a form in a million copies is one set; the best match joins on pairs of rare anchors
 alone, which a match cannot do without.
 
+What is exploded or read from a packed file is never broadcast, for it is far larger than its estimated size
+(``hint("merge")``).
+
 Sizes of pages come from a table ``pages`` (doc_id, page_index, width, height); what stands on a page that
 it doesn't hold has no place.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +28,11 @@ from garimi import patterns as P
 from garimi.functions.offsets import each, occurrences
 from garimi.functions.text import WS, line_start
 from garimi.operators.layout import spans_covering
+from garimi.staging import staged
 
 ANCHOR = ["page_index", "label", "xb", "yb"]
-SALTS = 16  # parts that the documents of one template are cut into, for a form may be a third of all
+PART = 1000  # documents of one template that meet its items in one task, for a form may be a third of all
+MANY = 40  # anchors of a set up to which it is looked up by pairs
 
 
 def bucket(value: Column, size: Column) -> Column:
@@ -74,7 +81,7 @@ def _sets(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
     and which set each key has."""
     sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*ANCHOR))).alias("anchors"))
     one = sets.groupBy("anchors").agg(F.min(key).alias(name))
-    return one, sets.join(one, "anchors").select(key, name)
+    return one, sets.join(one.hint("merge"), "anchors").select(key, name)
 
 
 def _scored(pairs: DataFrame, shared: str = "shared") -> DataFrame:
@@ -91,13 +98,24 @@ def similarities(a: DataFrame, templates: DataFrame) -> DataFrame:
     return _scored(shared).join(doc_of, "d").join(form_of, "t").select("doc_id", "template_id", "shared", "score")
 
 
-def _rare_first(sets: DataFrame, name: str, frequency: DataFrame) -> DataFrame:
-    """``name`` and the anchors of which a set that matches at ``MATCH_AT`` must share one: its rarest, all but
-    so many that the others alone could not be enough."""
-    each_ = sets.select(name, F.size("anchors").alias("n"), F.explode("anchors").alias("a")).join(frequency, "a")
-    ranked = each_.groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct("f", "a"))).alias("r"))
-    need = F.col("n") - F.ceil(F.col("n") * D.MATCH_AT - 1e-9).cast("int") + 1
-    return ranked.select(name, F.explode(F.slice("r", F.lit(1), need)).alias("r")).select(name, F.col("r.a").alias("a"))
+def _coded(sets: DataFrame) -> DataFrame:
+    """Anchor sets (doc, k, anchors) as (doc, k, ids): numbers for the anchors, the rarest first."""
+    rows = sets.select("doc", "k", F.explode("anchors").alias("a"))
+    numbered = rows.groupBy("a").agg(F.count("*").alias("f")).withColumn("id", F.monotonically_increasing_id())
+    own = rows.hint("merge").join(staged(numbered, "anchor-ids"), "a").groupBy("doc", "k").agg(F.array_sort(F.collect_list(F.struct("f", "id"))).alias("r"))
+    return own.select("doc", "k", F.transform("r", lambda x: x["id"]).alias("ids"))
+
+
+def _keys(ids: Column) -> Column:
+    """What two sets that match at ``MATCH_AT`` have in common: a pair of the rarest anchors of each, all but so
+    many that with one of these the others could not be enough. Sets of many anchors have many pairs: they, and
+    those small enough to match them, meet by single anchors as well, the others then being too few alone."""
+    n = F.size(ids)
+    rare = lambda more: F.slice(ids, F.lit(1), n - F.ceil(n * D.MATCH_AT - 1e-9).cast("int") + more)
+    pairs = F.flatten(F.transform(rare(2), lambda x, i: F.transform(F.slice(rare(2), i + 2, n), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    single = F.transform(rare(1), lambda x: F.struct(x.alias("x"), F.lit(-1).cast("long").alias("y")))
+    none = F.slice(single, F.lit(1), F.lit(0))
+    return F.concat(F.when(n <= MANY, pairs).otherwise(none), F.when(n >= MANY * D.MATCH_AT, single).otherwise(none))
 
 
 def best_match(a: DataFrame, templates: DataFrame) -> DataFrame:
@@ -105,10 +123,13 @@ def best_match(a: DataFrame, templates: DataFrame) -> DataFrame:
     anchors in common; the earliest of equals."""
     docs, doc_of = _sets(a, "doc_id", "d")
     forms, _ = _sets(templates.select("template_id", *ANCHOR), "template_id", "t")
-    both = docs.select(F.explode("anchors").alias("a")).unionByName(forms.select(F.explode("anchors").alias("a")))
-    frequency = both.groupBy("a").agg(F.count("*").alias("f"))
-    pairs = _rare_first(docs, "d", frequency).join(_rare_first(forms, "t", frequency), "a").select("d", "t").distinct()
-    x = pairs.join(docs.withColumnRenamed("anchors", "da"), "d").join(forms.withColumnRenamed("anchors", "ta"), "t")
+    both = docs.select(F.lit(True).alias("doc"), F.col("d").alias("k"), "anchors").unionByName(forms.select(F.lit(False).alias("doc"), F.col("t").alias("k"), "anchors"))
+    coded = staged(_coded(both), "anchor-sets")
+    docs, forms = coded.filter("doc").select(F.col("k").alias("d"), F.col("ids").alias("da")), coded.filter("not doc").select(F.col("k").alias("t"), F.col("ids").alias("ta"))
+    keyed = lambda x, k, ids, n: x.select(k, F.size(ids).alias(n), F.explode(_keys(F.col(ids))).alias("x")).select(k, n, "x.x", "x.y")
+    pairs = keyed(docs, "d", "da", "na").join(keyed(forms, "t", "ta", "nt").hint("merge"), ["x", "y"])
+    pairs = pairs.filter(F.least("na", "nt") >= F.greatest("na", "nt") * D.MATCH_AT - 1e-9).select("d", "t").distinct()
+    x = pairs.join(docs.hint("merge"), "d").join(forms.hint("merge"), "t")
     x = x.select("d", "t", F.size("da").alias("na"), F.size("ta").alias("nt"), F.size(F.array_intersect("da", "ta")).alias("shared")).filter(F.col("shared") >= D.MIN_SHARED)
     good = _scored(x).filter(F.col("score") >= D.MATCH_AT)
     best = good.groupBy("d").agg(F.max(F.struct("score", (-F.col("t")).alias("back"))).alias("b"))
@@ -124,21 +145,23 @@ def suggestions(matched: DataFrame, items: DataFrame, positions: DataFrame, span
 
     ``items``: template_id, item_ord, type, page_index, xb, yb, label. Columns: doc_id, type, value, start_pos,
     end_pos. A place and what is near it meet by equality of cells, each item being known in the cells around its own."""
-    salted = items.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    want = matched.select("doc_id", "template_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_s")).join(salted, ["template_id", "_s"]).drop("_s")
+    parts = matched.groupBy("template_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_p"))
+    cut = items.hint("merge").join(parts, "template_id").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).drop("_p")
+    mine = matched.join(parts, "template_id").select("doc_id", "template_id", F.pmod(F.xxhash64("doc_id"), F.col("_p")).cast("int").alias("_s"))
+    want = mine.join(cut.hint("merge"), ["template_id", "_s"]).drop("_s")
     cell = ["doc_id", "page_index", "xb", "yb"]
     have = positions.select("doc_id", "type", "page_index", _around("xb").alias("xb"), "yb").select("doc_id", "type", "page_index", "xb", _around("yb").alias("yb")).distinct()
-    open_ = want.join(have, [*cell, "type"], "left_anti")
+    open_ = want.join(have.hint("merge"), [*cell, "type"], "left_anti")
     places = spans.filter(F.col("bbox").isNotNull() & (F.regexp_replace("text", f"[{WS}]", "") != "")).select("doc_id", "page_index", "span_ord", "span_id", "text", F.col("start_pos").alias("at"), "bbox")
     places = _cells(places, pages, F.col("bbox")).drop("bbox")
-    near = open_.withColumnRenamed("xb", "ix").withColumnRenamed("yb", "iy").withColumn("xb", _around("ix")).withColumn("yb", _around("iy")).join(places, cell)
+    near = open_.withColumnRenamed("xb", "ix").withColumnRenamed("yb", "iy").withColumn("xb", _around("ix")).withColumn("yb", _around("iy")).hint("merge").join(places, cell)
     dx, dy = F.col("xb") - F.col("ix"), F.col("yb") - F.col("iy")
     w = Window.partitionBy("doc_id", "template_id", "item_ord").orderBy(dx * dx + dy * dy, "span_ord", "span_id")
     first = near.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     found = value_after_label(F.col("text"), F.col("label"))
     out = first.select("doc_id", "item_ord", "type", found["value"].alias("value"), (F.col("at") + found["start_pos"]).cast("int").alias("start_pos"))
     out = out.filter("value <> ''").withColumn("end_pos", (F.col("start_pos") + F.length("value")).cast("int"))
-    out = out.join(findings.select("doc_id", "start_pos", "end_pos").distinct(), ["doc_id", "start_pos", "end_pos"], "left_anti")
+    out = out.join(findings.select("doc_id", "start_pos", "end_pos").distinct().hint("merge"), ["doc_id", "start_pos", "end_pos"], "left_anti")
     w = Window.partitionBy("doc_id", "start_pos", "end_pos").orderBy("item_ord")
     return out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("doc_id", "type", "value", "start_pos", "end_pos")
 
@@ -164,21 +187,24 @@ def signatures(a: DataFrame, positions: DataFrame) -> DataFrame:
     left = a.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(*ANCHOR))).alias("anchors"))
     item = F.struct("start_pos", "finding_id", "type", "page_index", "xb", "yb", "label")
     right = positions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return left.join(right, "doc_id")
+    return left.join(right.hint("merge"), "doc_id")
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk the signatures in order; the store of templates is all that is held. A document meets the templates
-    that share an anchor with it, by an index of anchors."""
+    by an index of anchors: a match must share two of its rarest, all but so many that with one of these the others
+    could not be enough."""
     kept: list[dict] = []
+    once: dict = {}  # one copy of what the store holds many times
     holders: dict[tuple, list[int]] = defaultdict(list)
     for b in batches:
         for doc, anchors_, items in zip(b["doc_id"], b["anchors"], b["items"], strict=True):
-            mine = {(x["page_index"], x["label"], x["xb"], x["yb"]) for x in anchors_}
-            shared = Counter(k for x in mine for k in holders[x])
+            mine = {once.setdefault(x, x) for x in ((x["page_index"], x["label"], x["xb"], x["yb"]) for x in anchors_)}
+            rare = sorted(mine, key=lambda x: len(holders[x]))[: len(mine) - math.ceil(len(mine) * D.MATCH_AT - 1e-9) + 2]
+            met = Counter(chain.from_iterable(holders[x] for x in rare))
             best, score = -1, 0.0
-            for k in sorted(shared):
-                n = shared[k]
+            for k in sorted(k for k, n in met.items() if n > 1):
+                n = len(mine & kept[k]["anchors"])
                 s = n / (len(mine) + len(kept[k]["anchors"]) - n) if n >= D.MIN_SHARED else 0.0
                 if s >= D.MATCH_AT and s > score:
                     best, score = k, s
@@ -190,7 +216,8 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 holders[x].append(best)
             t["anchors"] |= mine
             for i in items:
-                t["items"].setdefault((i["type"], i["page_index"], i["xb"], i["yb"]), i["label"])
+                at = (i["type"], i["page_index"], i["xb"], i["yb"])
+                t["items"].setdefault(once.setdefault(at, at), once.setdefault(i["label"], i["label"]))
             t["n"] += 1
     out = []
     for t in kept:

@@ -354,8 +354,8 @@ def t12_suggestions(s, d):
     """What the learned templates add to the findings that were made automatically."""
     a, positions, learned = _learned(s, d)
     auto = _findings(s, d).filter(F.col("source") == D.SOURCE_AUTO)
-    have = positions.join(auto.select("finding_id").distinct(), "finding_id", "left_semi")
-    matched = templates.best_match(a, templates.anchors_of(learned))
+    have = positions.join(auto.select("finding_id").distinct().hint("merge"), "finding_id", "left_semi")
+    matched = staged(templates.best_match(a, templates.anchors_of(learned)), "matched")
     return templates.suggestions(matched, templates.items_of(learned), have, _spans(s, d), auto, _sizes(s, d))
 
 

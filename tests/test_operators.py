@@ -152,6 +152,42 @@ def test_one_store_in_true_order(spark):
     assert {x.doc_id: (x.template_id, x.score) for x in templates.best_match(a, templates.anchors_of(got)).collect()} == best
 
 
+def test_match_of_many_anchors(spark):
+    """Sets around the size from which they meet by single anchors, against all pairs."""
+    r = random.Random(4)
+    pool = [(0, "가", x, y) for x in range(15) for y in range(10)]
+    sets = {d: set(r.sample(pool, n)) for d, n in enumerate([2, 3, 20, 24, 25, 30, 39, 40, 41, 60, 66, 90])}
+    for d in range(12, 60):
+        sets[d] = set(r.sample(sorted(sets[d % 12]), max(2, round(len(sets[d % 12]) * r.uniform(0.55, 1))))) | set(r.sample(pool, r.randrange(8)))
+    rows = lambda ids, key: spark.createDataFrame([(d, *x) for d in ids for x in sets[d]], f"{key} long, page_index int, label string, xb int, yb int")
+    want = {}
+    for d in range(12, 60):
+        scores = [(len(sets[d] & sets[t]) / len(sets[d] | sets[t]), -t) for t in range(12) if len(sets[d] & sets[t]) > 1]
+        if scores and max(scores)[0] >= 0.6:
+            want[d] = (-max(scores)[1], max(scores)[0])
+    got = templates.best_match(rows(range(12, 60), "doc_id"), rows(range(12), "template_id"))
+    assert len(want) > 15 and {x.doc_id: (x.template_id, x.score) for x in got.collect()} == want
+
+
+def test_nothing_exploded_is_broadcast(spark):
+    """Items go to the documents, and anchors to their sets, without a broadcast that grows with the input."""
+    docs, spans, found = forms(spark, 2, 3, 4)
+    p = sizes(spans)
+    t = learned(spark, 1)
+    matched = templates.best_match(templates.anchors(docs, spans, p), templates.anchors_of(t))
+    got = templates.suggestions(spark.createDataFrame(matched.collect(), matched.schema), templates.items_of(t), templates.item_positions(found, spans, docs, p), spans, found, p)
+
+    def broadcasts(node, inside=False):
+        name = node.nodeName()
+        inside = (inside or "BroadcastExchange" in name) and name != "Exchange"
+        below = node.children()
+        return [name] * (inside and "Generate" in name) + [x for i in range(below.size()) for x in broadcasts(below.apply(i), inside)]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    assert not broadcasts(got.select("*")._jdf.queryExecution().executedPlan())
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_undo_redo(spark):
     rows = [(1, 1, "set", 7, True), (1, 2, "set", 7, False), (1, 3, "undo", None, None), (1, 4, "redo", None, None), (1, 5, "undo", None, None), (1, 6, "set", 8, True), (1, 7, "redo", None, None), (2, 1, "undo", None, None), (2, 2, "set", 9, True)]
     got = {(r.doc_id, r.target): r.approve for r in review.undo_redo(spark.createDataFrame(rows, "doc_id long, seq int, kind string, target long, approve boolean")).collect()}
