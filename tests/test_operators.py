@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from garimi.operators import audit, evaluate, layout, learning, replay, review, templates
 from garimi.operators import findings as G
+from garimi.plans import queries
 
 
 def test_replay_against_plain_fold(spark):
@@ -188,6 +189,15 @@ def test_nothing_exploded_is_broadcast(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_undo_redo_of_large_ids(spark, tmp_path):
+    """Finding ids beyond 2^31 are an order like any other."""
+    base = 7 * 2**31 * 60
+    rows = [(base + i, 1, "이름", "x", i, i + 1, "기본", True, "낮음", 0, "자동", i) for i in (1, 3, 4, 6)]
+    spark.createDataFrame(rows, F_SCHEMA).write.parquet(f"{tmp_path}/findings.parquet")
+    got = queries.QUERIES["r6_undo_redo"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.target, r.approve) for r in got} == {(1, 0, False), (1, 2, True)}
+
+
 def test_undo_redo(spark):
     rows = [(1, 1, "set", 7, True), (1, 2, "set", 7, False), (1, 3, "undo", None, None), (1, 4, "redo", None, None), (1, 5, "undo", None, None), (1, 6, "set", 8, True), (1, 7, "redo", None, None), (2, 1, "undo", None, None), (2, 2, "set", 9, True)]
     got = {(r.doc_id, r.target): r.approve for r in review.undo_redo(spark.createDataFrame(rows, "doc_id long, seq int, kind string, target long, approve boolean")).collect()}
