@@ -120,9 +120,9 @@ def surname_word(word: Column, words: Words = WORDS) -> Column:
     return ~word.isin(list(words.exclude)) & starts
 
 
-def _names(text: Column, words: Words) -> Column:
+def _names(text: Column, words: Words | None) -> Column:
     """After name labels, after approval labels, after titles."""
-    is_name = lambda w: surname_word(w["value"], words)
+    is_name = lambda w: surname_word(w["value"], words) if words else F.lit(True)
     basic = _on_line(F.filter(after_labels(text, P.NAME_LABEL), is_name), D.NAME)
     approval = _on_line(F.filter(after_labels(text, P.BUSINESS_LABEL), is_name), D.NAME, grp=D.GROUP_BUSINESS, confidence=0)
     last = lambda m: F.regexp_extract(m["value"], f"{P.HANGUL}$", 0)
@@ -131,8 +131,9 @@ def _names(text: Column, words: Words) -> Column:
     return F.concat(basic, approval, titled)
 
 
-def names(text: Column, words: Words = WORDS) -> Column:
-    """Names by all rules; the first rule to claim a span keeps it."""
+def names(text: Column, words: Words | None = WORDS) -> Column:
+    """Names by all rules; the first rule to claim a span keeps it. Without ``words``, whatever stands where a name
+    would: which of it is a name is up to the value alone."""
     return dedupe(_plain(_names(text, words)))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimi import dictionaries as D
+from garimi.functions.offsets import each
 from garimi.functions.text import strip_ws
-from garimi.operators.detect import MOST_WORDS, Words
+from garimi.operators.detect import MOST_WORDS, Words, names
 from garimi.operators.replay import PUT, REMOVE, instant
-
+from garimi.staging import staged
 
 DIRECTIONS = [D.EXCLUDE_DIRECTION, D.NAME_DIRECTION]
 
@@ -29,6 +30,21 @@ def learned_words(spark: SparkSession, standing: DataFrame) -> Words:
     return Words(*(tuple(sorted(r["word"] for r in rows if r["direction"] == d)) for d in (D.NAME_DIRECTION, D.EXCLUDE_DIRECTION)))
 
 
+def learned_names(documents: DataFrame, standing: DataFrame) -> DataFrame:
+    """(doc_id, value, start_pos, grp): the names of the documents by the base and the ``standing`` entries (word,
+    direction) of the log, however many: they are joined with the words that stand where a name would and the
+    beginnings of these."""
+    kept = standing.filter(F.col("direction").isin(DIRECTIONS)).select("word", "direction")
+    held = staged(base_dictionary(documents.sparkSession).unionByName(kept).distinct(), "dictionary")
+    of = lambda direction: held.filter(F.col("direction") == direction).select("word")
+    rows = each(documents, names(F.col("text"), None), "f", "doc_id").select("doc_id", "f.value", "f.start_pos", "f.grp")
+    rows = staged(rows, "name-places")
+    begin = rows.select("value").distinct().withColumn("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("value")), lambda n: F.substring("value", F.lit(1), n))))
+    good = begin.join(of(D.NAME_DIRECTION), "word", "left_semi").select("value").distinct()
+    good = good.join(of(D.EXCLUDE_DIRECTION), F.col("value") == F.col("word"), "left_anti")
+    return rows.join(good, "value", "left_semi").select("doc_id", "value", "start_pos", "grp")
+
+
 def valid_candidates(candidates: DataFrame) -> DataFrame:
     """event_id, word, direction, tsz. Left out: blank words, directions but the two that a dictionary has, and
     events without an id or an instant, which have no place in the order."""

@@ -372,9 +372,7 @@ def u2_epochs(s, d):
 @query
 def u5_learned_names(s, d):
     """Names of all documents by the dictionary as it stands after the whole log."""
-    words = learning.learned_words(s, p4_state(s, d))
-    rows = each(_docs(s, d), detect.names(F.col("text"), words), "f", "doc_id")
-    return rows.select("doc_id", "f.value", "f.start_pos", "f.grp")
+    return learning.learned_names(_docs(s, d), p4_state(s, d))
 
 
 @query

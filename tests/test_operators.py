@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from garimi import dictionaries as D
 from garimi.operators import audit, evaluate, layout, learning, replay, review, templates
 from garimi.operators import findings as G
 from garimi.plans import queries
@@ -189,6 +190,20 @@ def test_nothing_exploded_is_broadcast(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_names_by_a_large_dictionary(spark, tmp_path):
+    """More learned words than a plan can hold: all of them count."""
+    put = lambda i, w, direction: (i, i, w, direction, "반영", 3, "2033-01-01T00:00:00")
+    learned_ = [f"{a}{b}{c}" for a in "쀼쁘뿌" for b in map(chr, range(0xAC00, 0xAC00 + 90)) for c in map(chr, range(0xB000, 0xB000 + 90))]
+    rows = [put(i, w, D.NAME_DIRECTION) for i, w in enumerate(learned_)] + [put(90_000, "김가람", D.EXCLUDE_DIRECTION), put(90_001, f"{learned_[-1]}라", D.EXCLUDE_DIRECTION)]
+    spark.createDataFrame(rows, "log_id long, change_id long, word string, direction string, event string, hit_count int, ts string").write.parquet(f"{tmp_path}/promotion_log.parquet")
+    text = f"성명: {learned_[-1]}\n성명: {learned_[7]}나\n성명: {learned_[-1]}라\n성명: 김가람\n성명: 김나람\n성명: 뽀가각\n팀장 {learned_[9]}\n"
+    spark.createDataFrame([(1, text, "기타", None)], "doc_id long, text string, doc_type string, received_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["u5_learned_names"](spark, str(tmp_path)).collect()
+    want = [learned_[-1], f"{learned_[7]}나", "김나람", learned_[9]]
+    assert len(learned_) > 20_000 and [r.value for r in sorted(got, key=lambda r: r.start_pos)] == want
+    assert all(text[r.start_pos :].startswith(r.value) for r in got)
+
+
 def test_undo_redo_of_large_ids(spark, tmp_path):
     """Finding ids beyond 2^31 are an order like any other."""
     base = 7 * 2**31 * 60
